@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from strandlake.llm.minhash import OP5_SQL, op5_minhash_near_dedup
+from strandlake.llm.quality import op1_quality_classifier
 from strandlake.llm.substrings import OP7_SQL, op7_substring_dedup
+from strandlake.llm.toxicity import op10_toxicity
 
-QUERIES = {
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op7_substring_dedup": op7_substring_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_minhash_near_dedup, op7_substring_dedup, op10_toxicity)}
 ORACLE_SQL = {
     "op5_minhash_near_dedup": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
