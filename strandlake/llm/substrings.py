@@ -206,11 +206,11 @@ def kept_words(text: object, runs: np.ndarray) -> tuple[list[bytes], int]:
     return [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c], len(words)
 
 
-def _with_runs(docs: DataFrame, key: str) -> DataFrame:
-    """docs and _runs (flat array of start, windows); key is docs' long id column."""
-    found = repeated_windows(docs.select(F.col(key).alias("doc_id"), "text"))
-    per_doc = cut(found.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("_runs")).withColumnRenamed("doc_id", "_id"), "op7-runs")
-    return docs.join(per_doc, docs[key] == per_doc["_id"], "left").drop("_id")
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text, runs (flat array of start, windows), row (all columns of docs, whatever their names)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    found = repeated_windows(own).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("runs"))
+    return own.join(cut(found, "op7-runs"), "doc_id", "left")
 
 
 def _pairs(runs: object) -> np.ndarray:
@@ -223,13 +223,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, runs in zip(pdf["doc_id"].array, pdf["text"].array, pdf["_runs"], strict=True):
+            for doc_id, text, runs in zip(pdf["doc_id"].array, pdf["text"].array, pdf["runs"], strict=True):
                 words, n = kept_words(text, _pairs(runs))
                 rows.append((doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_runs(own, "doc_id").select("doc_id", "text", "_runs").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs.select("doc_id", "text")).select("doc_id", "text", "runs").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def with_repeats_removed(docs: DataFrame) -> DataFrame:
@@ -239,8 +238,8 @@ def with_repeats_removed(docs: DataFrame) -> DataFrame:
     def rewrite(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([b" ".join(kept_words(t, _pairs(r))[0]).decode("utf-8", "surrogatepass") for t, r in zip(text, runs, strict=True)], dtype=object)
 
-    new = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(rewrite("text", "_runs"))
-    return _with_runs(docs, "doc_id").withColumn("text", new).select(*docs.columns)
+    new = F.when(F.col("runs").isNull(), F.col("text")).otherwise(rewrite("text", "runs"))
+    return _with_runs(docs).withColumn("new", new).select(*(F.col("new").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
