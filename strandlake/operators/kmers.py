@@ -1,0 +1,60 @@
+"""K-mers: explosion, counts, and the seed table.
+
+A sequence is tiled before its k-mers are exploded, so that no row carries, and
+no substring scans, more than ``TILE`` bases.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandlake.functions.dna import kmer_hash
+
+TILE = 256
+
+
+def tiles(seqs: DataFrame, k: int, *keep: str, residues: str = "residues", tile: int = TILE) -> DataFrame:
+    """keep columns, tile (text), at (its first base): windows that overlap by k - 1."""
+    n = F.length(residues)
+    long_enough = seqs.filter(n >= k)
+    start = F.explode(F.sequence(F.lit(0), n - k, F.lit(tile))).alias("at")
+    return long_enough.select(*keep, F.col(residues).alias("_r"), start).select(*keep, F.col("_r").substr(F.col("at") + 1, F.lit(tile + k - 1)).alias("tile"), "at")
+
+
+def kmers(seqs: DataFrame, k: int, *keep: str, residues: str = "residues", step: int = 1) -> DataFrame:
+    """keep columns, kmer, pos for every k-mer of A, C, G, T at a position divisible by step."""
+    own = tiles(seqs, k, *keep, residues=residues, tile=TILE - TILE % step)
+    spots = own.select(*keep, "tile", "at", F.explode(F.sequence(F.lit(0), F.length("tile") - k, F.lit(step))).alias("i"))
+    out = spots.select(*keep, F.col("tile").substr(F.col("i") + 1, F.lit(k)).alias("kmer"), (F.col("at") + F.col("i")).alias("pos"))
+    return out.filter(~F.contains("kmer", F.lit("N")))
+
+
+def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
+    return kmers(seqs, k).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1) -> DataFrame:
+    """h, key, pos, rn: at most ``most`` places of each k-mer, the first by key and position.
+
+    The limit is part of the index's meaning; Spark applies it in each map task
+    before the shuffle as well, so a k-mer that is everywhere stays small.
+    """
+    places = kmers(seqs, k, key, step=step).select(kmer_hash("kmer", k).alias("h"), key, "pos")
+    ranked = places.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
+    return ranked.filter(F.col("rn") <= most)
+
+
+def hash_of_revcomp(k: int) -> Column:
+    from strandlake.functions.dna import revcomp
+
+    return kmer_hash(revcomp("kmer"), k)
+
+
+def seed_hits(queries: DataFrame, seeds: DataFrame, k: int, query_key: str, key: str = "seq_id") -> DataFrame:
+    """query_key, qpos, key, pos, fwd: places of the seed table that share a k-mer, on either strand."""
+    found = kmers(queries, k, query_key)
+    forward = found.select(query_key, F.col("pos").alias("qpos"), kmer_hash("kmer", k).alias("h"), F.lit(True).alias("fwd"))
+    backward = found.select(query_key, F.col("pos").alias("qpos"), hash_of_revcomp(k).alias("h"), F.lit(False).alias("fwd"))
+    return forward.unionByName(backward).join(seeds.select("h", key, "pos"), "h").drop("h")
