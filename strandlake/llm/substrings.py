@@ -155,6 +155,8 @@ def repeats(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, blobs: li
 
 def intervals(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     """Consecutive window starts of a document as (doc_id, start, windows)."""
+    if not len(doc):
+        return pd.DataFrame({"doc_id": doc, "start": start, "windows": start})
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     head = np.ones(len(doc), bool)
