@@ -34,12 +34,15 @@ COMMON = {
 }
 #: Character classes in order: the pattern of what each removes.
 CLASSES = (("lower", r"\p{Ll}"), ("upper", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("space", r"[\x20\x09-\x0D]"), ("stop", r"[.,;:!?'\"()\-]"))
+SPACE = 3
 #: Largest distance from the nearest reference that is kept, and the least characters or words to judge.
 MOST_CLASS, LEAST_CHARS = 0.30, 200
 MOST_WORD, LEAST_WORDS = 0.33, 100
 MIN_WORDS = 50
 
 WORDS = tuple(dict.fromkeys(w for ws in COMMON.values() for w in ws))
+#: As they are met in texts.
+SPELT = tuple(dict.fromkeys(x for w in WORDS for x in (w, w.capitalize(), w.upper())))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,7 +69,7 @@ def repeated_words(ws: Column, n: Column) -> Column:
     Windows are sorted by hash with their place; those with an equal neighbour
     are repeats, and each covers up to three words not covered by the next.
     """
-    grams = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
 
     def places(g: Column) -> Column:
         again = F.filter(g, lambda x, k: (x["h"] == F.get(g, k - 1)["h"]) | (x["h"] == F.get(g, k + 1)["h"]))
@@ -75,22 +78,32 @@ def repeated_words(ws: Column, n: Column) -> Column:
     def covered(at: Column) -> Column:
         return F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
-    return F.when(n >= 3, bound(grams, lambda g: bound(places(g), covered))).otherwise(F.lit(0).cast("long"))
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), bound(placed, lambda g: bound(places(g), covered))).otherwise(F.lit(0).cast("long"))
+
+    return F.when(n >= 3, bound(hashes, counted)).otherwise(F.lit(0).cast("long"))
 
 
 def class_counts(text: Column) -> Column:
-    """Characters of each class, and the rest."""
+    """struct<classes (characters of each class, and the rest), n_symbols>.
+
+    Each class is taken out of what the ones before have left, so that only the
+    first pass reads the whole text; symbols are in none of the classes.
+    """
 
-    def counts(t: Column) -> Column:
-        own = [F.regexp_count(t, F.lit(p)).cast("double") for _, p in CLASSES]
-        return F.array(*own, F.length(t) - reduce(Column.__add__, own))
+    def level(t: Column, own: list[Column], rest: tuple) -> Column:
+        if not rest:
+            left = F.length(t)
+            return F.struct(F.array(*own, left.cast("double")).alias("classes"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+        return bound(F.regexp_replace(t, f"(?:{rest[0][1]})+", ""), lambda r: level(r, [*own, (F.length(t) - F.length(r)).cast("double")], rest[1:]))
 
-    return bound(text, counts)
+    return bound(text, lambda t: level(t, [], CLASSES))
 
 
 def common_counts(ws: Column) -> Column:
     """array<struct<word, count>> of the words in WORDS, by word."""
-    found = F.sort_array(F.transform(F.filter(F.transform(ws, lambda w: F.lower(w)), lambda w: w.isin(*WORDS)), lambda w: F.struct(w.alias("w"))))
+    found = F.sort_array(F.transform(F.filter(ws, lambda w: w.isin(*SPELT)), lambda w: F.struct(F.lower(w).alias("w"))))
 
     def runs(s: Column) -> Column:
         heads = F.filter(F.transform(s, lambda x, k: F.struct(x["w"].alias("w"), k.alias("k"))), lambda x: (x["k"] == 0) | (x["w"] != F.get(s, x["k"] - 1)["w"]))
@@ -107,13 +120,14 @@ def measured(docs: DataFrame) -> DataFrame:
     def fields(ws: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.aggregate(ws, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
             repeated_words(ws, F.size(ws)).alias("n_repeat_words"),
             common_counts(ws).alias("common"),
         )
 
-    base = own.select("doc_id", "lang", bound(words(F.col("text")), fields).alias("w"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), duplicate_lines(F.col("text")).alias("n_dup_lines"), class_counts(F.col("text")).alias("classes"))
-    return base.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.common", "classes")
+    base = own.select("doc_id", "lang", bound(words(F.col("text")), fields).alias("w"), duplicate_lines(F.col("text")).alias("n_dup_lines"), class_counts(F.col("text")).alias("c"))
+    # Words are what lies between white space.
+    word_chars = sum((F.get("c.classes", F.lit(i)) for i in range(len(CLASSES) + 1) if i != SPACE), F.lit(0.0)).cast("long")
+    return base.select("doc_id", "lang", "w.n_words", word_chars.alias("word_chars"), "c.n_symbols", "n_dup_lines", "w.n_repeat_words", "w.common", "c.classes")
 
 
 def references(counted: DataFrame) -> DataFrame:
