@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Ids up to this many (16 MB) may be broadcast after counting; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -39,7 +40,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Batches of whole texts are what a Python worker's memory goes into.
+    batch = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, batch)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,7 +65,7 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of a word (bytes); remembers words up to a bound, then starts anew."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -6,11 +6,14 @@ MinHash signatures; a candidate pair's signatures are compared batch by batch
 and dropped as soon as the posterior probability that the similarity reaches
 the threshold falls under ``MISS``; survivors are confirmed on their full sets.
 
-No bucket is expanded into all of its pairs. First each class is tried against
-the bucket head (smallest id) it shares most bands with, which joins large
-groups of copies into components with one comparison per member. Only pairs
-that share a bucket and are still in different components are compared next,
-so no link that could join two components is passed over.
+No bucket is expanded into all of its pairs. In rounds, each class is tried
+against the one bucket head it shares most bands with, heads changing from
+round to round; this joins large groups of copies into components with one
+comparison per member and round. Then every pair that shares a bucket and is
+still in different components is compared, so no link that could join two
+components is passed over; pairs are left out only where bounds on their
+intersection rule a link out: a histogram of each set over ``CELLS`` cells, and
+the number of shingles that no other document at hand has.
 
 Defined results: null or wordless text is an empty set, linked with nothing
 (its component is its own id); fewer than five words are one shingle; repeated
@@ -37,6 +40,10 @@ PERCENT = 85
 #: 32 bands of 6: a pair at similarity 0.85 shares no band with probability 2.6e-7.
 BANDS, ROWS = 32, 6
 PERMUTATIONS = BANDS * ROWS
+#: Cells of the histogram that bounds intersections.
+CELLS = 128
+#: Rounds of one trial per class go on while they halve the pairs left and more than this are left per class.
+PAIRS_PER_CLASS = 1
 #: Chosen probability to prune a pair that reaches the threshold, per batch of BATCH hashes.
 MISS, BATCH = 1e-7, 32
 
@@ -91,7 +98,7 @@ def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), signature."""
+    """doc_id, n_shingles, digest of the set (null if empty), signature, shingles per cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -100,10 +107,10 @@ def features(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
                 s = shingle_set(text, hashes)
                 full = len(s) > 0
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if full else None, signature(s).tobytes() if full else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if full else None, signature(s).tobytes() if full else None, np.bincount((s >> U64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig", "cells"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, cells array<int>")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -126,6 +133,34 @@ def sizes_allow(a: str, b: str) -> "F.Column":
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def shared_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, u): how many shingles of each document among ids (doc_id) occur in no other of them."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                sets = [shingle_set(t, hashes) for t in part["text"].array]
+                yield pd.DataFrame({"doc": np.repeat(part["doc_id"].to_numpy(np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
+
+    rows = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id").mapInPandas(shingles, "doc long, s long")
+    alone = rows.groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last").groupBy("doc").agg(F.count("*").alias("u"))
+    return cut(alone, "op5-alone")
+
+
+def known_allow(n: str, e: str, other_n: str, other_e: str) -> "F.Column":
+    """Whether sets of n shingles, of which at most e occur in any other set, can be similar enough."""
+    most = F.least(e, other_e)
+    return most * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT
+
+
+def cells_allow(n: str, cells: str, other_n: str, other_cells: str) -> "F.Column":
+    """Whether two sets can be similar enough: what they share lies in the same cells of both."""
+    most = F.aggregate(F.zip_with(cells, other_cells, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    return most * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) those that the signatures keep and the full sets confirm."""
     least = least_matches()
@@ -180,28 +215,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def stars(placed: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) for each class: with the head it shares most bands with, of a component other than its own.
+
+    placed: key, doc, n, c (component). A bucket's head is its smallest doc on
+    the first turn and another at each later one; its own component is tried
+    against the first doc of the others.
+    """
+    order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+    rows = placed.select("key", "doc", "n", "c", order.alias("o"))
+    first = cut(rows.groupBy("key").agg(F.min(F.struct("o", "doc", "n", "c")).alias("h")).select("key", "h"), "op5-heads")
+    others = rows.join(first, "key").filter(F.col("c") != F.col("h.c"))
+    second = cut(others.groupBy("key").agg(F.min(F.struct("o", "doc", "n", "c")).alias("h")), "op5-heads")
+    to_second = rows.join(first.select("key", F.col("h.c").alias("c")), ["key", "c"]).join(second, "key")
+    tried = others.select("doc", "n", "h").unionByName(to_second.select("doc", "n", "h")).select("doc", "n", F.col("h.doc").alias("head"), F.col("h.n").alias("head_n"))
+    shared = tried.filter(sizes_allow("n", "head_n")).groupBy("doc", "head").agg(F.count("*").alias("times"))
+    best = shared.groupBy("doc").agg(F.max(F.struct("times", F.xxhash64("head", F.lit(turn)).alias("o"), "head")).alias("x")).select("doc", "x.head")
+    return best.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+
+
+def _still_open(met: DataFrame, whole: DataFrame) -> DataFrame:
+    """met with each class's component, in the buckets that hold several, and main, the largest of them there."""
+    placed = met.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("x")).filter("k > 1").select("key", F.col("x.c").alias("main"))
+    return cut(placed.join(cut(keys, "op5-open"), "key"), "op5-placed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     found = cut(features(docs), "op5-features")
-    first = found.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
+    first = found.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "cells")).alias("x"))
     reps = cut(first.select("digest", "x.*"), "op5-classes")
 
-    heads = bands(reps).groupBy("key").agg(F.min(F.struct("doc", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    heads = cut(heads.select("key", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n")), "op5-heads")
-    met = cut(bands(reps).join(heads, "key"), "op5-met")  # only buckets where classes meet
-    shared = met.filter("doc <> head").filter(sizes_allow("n", "head_n")).groupBy("doc", "head").agg(F.count("*").alias("times"))
-    best = shared.groupBy("doc").agg(F.max(F.struct("times", (-F.col("head")).alias("least"))).alias("x"))
-    stars = verified(best.select(F.col("doc").alias("a"), (-F.col("x.least")).alias("b")), reps, docs)
-    grouped = components(stars)
-
-    placed = met.join(grouped.select(F.col("v").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    open_keys = cut(placed.groupBy("key").agg(F.min("c").alias("main"), F.max("c").alias("other")).filter("main <> other").select("key", "main"), "op5-open")
-    left = placed.join(open_keys, "key").filter("c <> main").select("key", F.col("doc").alias("p"), F.col("n").alias("p_n"), F.col("c").alias("p_c"))
-    right = placed.select("key", F.col("doc").alias("q"), F.col("n").alias("q_n"), F.col("c").alias("q_c"))
-    across = left.join(right, "key").filter("p_c <> q_c").filter(sizes_allow("p_n", "q_n"))
-    more = verified(across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), reps, docs)
-
-    whole = components(stars.unionByName(more)) if not more.isEmpty() else grouped
+    crowded = cut(bands(reps).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "op5-crowded")
+    met = cut(bands(reps).join(crowded, "key"), "op5-met")  # only buckets where classes meet
+    placed, links, turn, before = met.withColumn("c", F.col("doc")), None, 0, None
+    while True:
+        new = verified(stars(placed, turn), reps, docs)
+        links = new if links is None else cut(links.unionByName(new), "op5-all-links")
+        whole = components(links)
+        placed = _still_open(met, whole)
+        rest = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("m")).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+        turn += 1
+        if rest <= PAIRS_PER_CLASS * reps.count() or (before is not None and 2 * rest > before):
+            break
+        before = rest
+    placed = placed.withColumn("e", F.col("n"))
+    if rest > PAIRS_PER_CLASS * reps.count():
+        # Many pairs are left: documents with too many shingles of their own can't link with any.
+        alone = shared_sizes(docs, placed.select(F.col("doc").alias("doc_id")).distinct())
+        placed = cut(placed.join(alone, "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e")).drop("u"), "op5-placed")
+    # A pair that shares several buckets comes from the first of them only.
+    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most BANDS
+    rows = cut(placed.join(keys, "doc").join(reps.select(F.col("doc_id").alias("doc"), "cells"), "doc"), "op5-rows")
+    left, right = (rows.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells")), *(["main"] if side == "p" else ())) for side in "pq")
+    pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe") & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key"))
+    across = left.filter("pc <> main").join(right, "key").filter(pair & cells_allow("pn", "pcells", "qn", "qcells"))
+    more = verified(across.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct(), reps, docs)
+    if not more.isEmpty():
+        whole = components(links.unionByName(more))
     named = reps.select("digest", F.col("doc_id").alias("rep"), F.col("doc_id").alias("v")).join(whole, "v", "left")
     # Smallest id reachable: classes are named after their smallest document.
     named = cut(named.select("digest", F.coalesce("component", "rep").alias("component")), "op5-named")
