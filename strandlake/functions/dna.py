@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +43,9 @@ def bases_match(a: Column | str, b: Column | str, same_strand: bool = True) -> C
 def kmer_hash(kmer: Column | str, k: int) -> Column:
     """Sum of value(base i) * 4**i; -1 if a base is not A, C, G or T."""
     c = _col(kmer)
-    digits = F.translate(c, BASES, "0123")
-    value = reduce(Column.__add__, [F.substring(digits, i + 1, 1).cast("long") * F.lit(4**i) for i in range(k)])
-    return F.when(c.rlike(f"^[ACGT]{{{k}}}$"), value).otherwise(F.lit(-1).cast("long"))
+    # The first base is the least significant digit of a number to base four.
+    value = F.conv(F.reverse(F.translate(c, BASES, "0123")), 4, 10).cast("long")
+    return F.when((F.length(c) == k) & (F.translate(c, BASES, "") == ""), value).otherwise(F.lit(-1).cast("long"))
 
 
 def nogap_length(aligned: Column | str) -> Column:

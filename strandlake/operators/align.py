@@ -183,9 +183,9 @@ class Match:
     org: str
 
 
-def match_at(coarse: str, at: int, org: str, pos: int, forward: bool, opts: CompressOptions, org_from: int = 0, org_to: int | None = None) -> Match | None:
+def match_at(coarse: str, at: int, org: str, pos: int, forward: bool, opts: CompressOptions, org_from: int = 0, org_to: int | None = None, k: int | None = None) -> Match | None:
     """The match around the k-mer at coarse[at] and org[pos], if it is long enough; org is used within [org_from, org_to)."""
-    k = opts.map_seed_size
+    k = k or opts.map_seed_size
     org_to = len(org) if org_to is None else org_to
     section, pos = org[org_from:org_to], pos - org_from
     step = 1 if forward else -1

@@ -1,7 +1,7 @@
 """Compression: representative (coarse) pieces, and links with edit scripts to them.
 
 ``batch`` is the scalable form. Sequences are cut into chunks; equal chunks
-collapse; chunks that share capped k-mers become candidates of one another, an
+collapse; chunks that share capped k-mers (longer than seeds) become candidates of one another, an
 edge pointing to the smaller id. Chunks without an edge to a smaller one are
 representatives at once, together with all coarse pieces of an existing
 database; every other chunk is aligned against the representative it shares
@@ -36,8 +36,9 @@ COARSE = "coarse_id long, residues string, length int"
 PIECES = "chunk_id long, start int, end int, coarse_id long, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
 #: Chunks of one sequence are numbered below this; so are the coarse pieces cut from one chunk.
 PER_SEQUENCE, PER_CHUNK = 1 << 20, 4
-#: K-mers compared between chunks start at positions divisible by this on the indexed side.
-STEP = 4
+#: K-mers that make chunks candidates: long ones, as short ones are everywhere in a large
+#: collection. On the indexed side they start at positions divisible by STEP.
+CANDIDATE_K, STEP = 20, 4
 #: A seed on a diagonal that was refused is not tried again within so many bases.
 SKIP = 32
 
@@ -50,9 +51,10 @@ def kmer_places(seq: str, k: int) -> dict[str, list[int]]:
     return found
 
 
-def first_match(org: str, coarse: str, opts: CompressOptions, places: dict[str, list[int]] | None = None) -> Match | None:
+def first_match(org: str, coarse: str, opts: CompressOptions, k: int | None = None) -> Match | None:
     """The first acceptable match by position in org, forward before reverse; a refused diagonal rests for SKIP bases."""
-    k, places, refused = opts.map_seed_size, places if places is not None else kmer_places(coarse, opts.map_seed_size), {}
+    k, refused = k or opts.map_seed_size, {}
+    places = kmer_places(coarse, k)
     for pos in range(len(org) - k + 1):
         word = org[pos : pos + k]
         for forward, key in ((True, word), (False, reverse_complement(word))):
@@ -60,15 +62,15 @@ def first_match(org: str, coarse: str, opts: CompressOptions, places: dict[str,
                 diagonal = (forward, (at - pos if forward else at + pos) // 16)
                 if pos < refused.get(diagonal, 0):
                     continue
-                if found := match_at(coarse, at, org, pos, forward, opts):
+                if found := match_at(coarse, at, org, pos, forward, opts, k=k):
                     return found
                 refused[diagonal] = pos + SKIP
     return None
 
 
-def pieces_of(org: str, coarse: str, coarse_id: int, opts: CompressOptions) -> list[tuple]:
+def pieces_of(org: str, coarse: str, coarse_id: int, opts: CompressOptions, k: int | None = None) -> list[tuple]:
     """(start, end exclusive, coarse_id or None, coarse_start, coarse_end, fwd, script): a cover of org."""
-    found = first_match(org, coarse, opts)
+    found = first_match(org, coarse, opts, k)
     if found is None:
         return [(0, len(org), None, 0, len(org) - 1, True, "")]
     link = (found.original_start, found.original_end + 1, coarse_id, found.coarse_start, found.coarse_end, found.forward, script_of(found.org, found.coarse))
@@ -84,13 +86,13 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
     firsts = chunks.groupBy("key").agg(F.min("chunk_id").alias("chunk_id"))
     distinct = cut(chunks.join(firsts, ["key", "chunk_id"], "left_semi").select("chunk_id", "key", "residues"), "distinct-chunks")
 
-    k = opts.map_seed_size
+    k = max(opts.map_seed_size, CANDIDATE_K)
     indexed = distinct.select(F.col("chunk_id").alias("other"), "residues")
     seeds = cut(seed_table(indexed, k, opts.max_kmer_freq, "other", STEP).select("h", "other", "pos"), "chunk-seeds")
     hits = seed_hits(distinct.select("chunk_id", "residues"), seeds, k, "chunk_id", "other").filter("other < chunk_id")
     # A match leaves its k-mers on neighbouring diagonals.
     band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / 64)
-    enough = max(2, opts.min_match_len // (STEP * 8))
+    enough = max(2, opts.min_match_len // (STEP * 16))
     edges = hits.groupBy("chunk_id", "other", "fwd", band.alias("band")).agg(F.count("*").alias("n")).groupBy("chunk_id", "other").agg(F.max("n").alias("n")).filter(F.col("n") >= enough)
     edges = cut(edges, "chunk-edges")
     heads = distinct.join(edges.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id")
@@ -111,7 +113,7 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
             rows = []
             for r in pdf.itertuples():
                 target = None if r.target_residues is None else int(r.target) * (PER_CHUNK if r.kind == 1 else 1)
-                own = [(0, len(r.residues), None, 0, len(r.residues) - 1, True, "")] if target is None else pieces_of(r.residues, r.target_residues, target, opts)
+                own = [(0, len(r.residues), None, 0, len(r.residues) - 1, True, "")] if target is None else pieces_of(r.residues, r.target_residues, target, opts, k)
                 for i, (start, end, cid, *rest) in enumerate(own):
                     literal = cid is None
                     rows.append((r.chunk_id, start, end, r.chunk_id * PER_CHUNK + i if literal else cid, *rest, r.residues[start:end] if literal else None))

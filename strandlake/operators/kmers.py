@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.functions.dna import kmer_hash
+from strandlake.functions.dna import kmer_hash, revcomp
 
 TILE = 256
 
@@ -35,26 +35,33 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1) -> DataFrame:
+def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1, only: DataFrame | None = None) -> DataFrame:
     """h, key, pos, rn: at most ``most`` places of each k-mer, the first by key and position.
 
+    only (h, distinct), if given, holds the k-mers to look for: the others go
+    before anything is sorted.
     The limit is part of the index's meaning; Spark applies it in each map task
     before the shuffle as well, so a k-mer that is everywhere stays small.
     """
     places = kmers(seqs, k, key, step=step).select(kmer_hash("kmer", k).alias("h"), key, "pos")
+    if only is not None:
+        places = places.join(only, "h", "left_semi")
     ranked = places.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
     return ranked.filter(F.col("rn") <= most)
 
 
 def hash_of_revcomp(k: int) -> Column:
-    from strandlake.functions.dna import revcomp
-
     return kmer_hash(revcomp("kmer"), k)
 
 
-def seed_hits(queries: DataFrame, seeds: DataFrame, k: int, query_key: str, key: str = "seq_id") -> DataFrame:
-    """query_key, qpos, key, pos, fwd: places of the seed table that share a k-mer, on either strand."""
+def probes(queries: DataFrame, k: int, query_key: str) -> DataFrame:
+    """query_key, qpos, h, fwd: the k-mers of queries as they read on either strand."""
     found = kmers(queries, k, query_key)
     forward = found.select(query_key, F.col("pos").alias("qpos"), kmer_hash("kmer", k).alias("h"), F.lit(True).alias("fwd"))
     backward = found.select(query_key, F.col("pos").alias("qpos"), hash_of_revcomp(k).alias("h"), F.lit(False).alias("fwd"))
-    return forward.unionByName(backward).join(seeds.select("h", key, "pos"), "h").drop("h")
+    return forward.unionByName(backward)
+
+
+def seed_hits(queries: DataFrame, seeds: DataFrame, k: int, query_key: str, key: str = "seq_id") -> DataFrame:
+    """query_key, qpos, key, pos, fwd: places of the seed table that share a k-mer, on either strand."""
+    return probes(queries, k, query_key).join(seeds.select("h", key, "pos"), "h").drop("h")
