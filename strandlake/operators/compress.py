@@ -29,7 +29,7 @@ from strandlake.config import CompressOptions
 from strandlake.functions.edits import apply_script, reverse_complement, script_of
 from strandlake.operators.align import Match, match_at
 from strandlake.operators.chunks import chunk_windows
-from strandlake.operators.kmers import seed_hits, seed_table
+from strandlake.operators.kmers import sample_hits, sampled
 
 LINKS = "seq_id long, link_no int, coarse_id long, original_start long, original_end long, coarse_start int, coarse_end int, fwd boolean, script string"
 COARSE = "coarse_id long, residues string, length int"
@@ -37,8 +37,8 @@ PIECES = "chunk_id long, start int, end int, coarse_id long, coarse_start int, c
 #: Chunks of one sequence are numbered below this; so are the coarse pieces cut from one chunk.
 PER_SEQUENCE, PER_CHUNK = 1 << 20, 4
 #: K-mers that make chunks candidates: long ones, as short ones are everywhere in a large
-#: collection. On the indexed side they start at positions divisible by STEP.
-CANDIDATE_K, STEP = 20, 4
+#: collection, and one in RATE of them, chosen by content.
+CANDIDATE_K, RATE = 20, 8
 #: A seed on a diagonal that was refused is not tried again within so many bases.
 SKIP = 32
 
@@ -87,19 +87,18 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
     distinct = cut(chunks.join(firsts, ["key", "chunk_id"], "left_semi").select("chunk_id", "key", "residues"), "distinct-chunks")
 
     k = max(opts.map_seed_size, CANDIDATE_K)
-    indexed = distinct.select(F.col("chunk_id").alias("other"), "residues")
-    seeds = cut(seed_table(indexed, k, opts.max_kmer_freq, "other", STEP).select("h", "other", "pos"), "chunk-seeds")
-    hits = seed_hits(distinct.select("chunk_id", "residues"), seeds, k, "chunk_id", "other").filter("other < chunk_id")
+    marks = cut(sampled(distinct, k, RATE, "chunk_id"), "chunk-marks")
+    hits = sample_hits(marks, marks.withColumnRenamed("chunk_id", "other"), opts.max_kmer_freq, "chunk_id", "other").filter("other < chunk_id")
     # A match leaves its k-mers on neighbouring diagonals.
     band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / 64)
-    enough = max(2, opts.min_match_len // (STEP * 16))
+    enough = max(2, opts.min_match_len // (RATE * 8))
     edges = hits.groupBy("chunk_id", "other", "fwd", band.alias("band")).agg(F.count("*").alias("n")).groupBy("chunk_id", "other").agg(F.max("n").alias("n")).filter(F.col("n") >= enough)
     edges = cut(edges, "chunk-edges")
     heads = distinct.join(edges.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id")
     to_heads = edges.join(heads.select(F.col("chunk_id").alias("other")), "other").select("chunk_id", F.col("other").alias("target"), "n", F.lit(1).alias("kind"))
     texts = distinct.select(F.col("chunk_id").alias("target"), F.lit(1).alias("kind"), F.col("residues").alias("target_residues"))
     if coarse is not None:
-        known = seed_hits(distinct.select("chunk_id", "residues"), seed_table(coarse.select("coarse_id", "residues"), k, opts.max_kmer_freq, "coarse_id", STEP), k, "chunk_id", "coarse_id")
+        known = sample_hits(marks, sampled(coarse, k, RATE, "coarse_id"), opts.max_kmer_freq, "chunk_id", "coarse_id")
         near = known.groupBy("chunk_id", "coarse_id").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
         to_heads = to_heads.unionByName(near.select("chunk_id", F.col("coarse_id").alias("target"), "n", F.lit(0).alias("kind")))
         texts = texts.unionByName(coarse.select(F.col("coarse_id").alias("target"), F.lit(0).alias("kind"), F.col("residues").alias("target_residues")))

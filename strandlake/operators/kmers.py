@@ -65,3 +65,21 @@ def probes(queries: DataFrame, k: int, query_key: str) -> DataFrame:
 def seed_hits(queries: DataFrame, seeds: DataFrame, k: int, query_key: str, key: str = "seq_id") -> DataFrame:
     """query_key, qpos, key, pos, fwd: places of the seed table that share a k-mer, on either strand."""
     return probes(queries, k, query_key).join(seeds.select("h", key, "pos"), "h").drop("h")
+
+
+def sampled(seqs: DataFrame, k: int, rate: int, *keep: str, residues: str = "residues") -> DataFrame:
+    """keep columns, h, pos, flipped: one k-mer in ``rate``, chosen by its content and read on its smaller strand.
+
+    Equal stretches of two sequences, on either strand, give equal samples.
+    """
+    both = kmers(seqs, k, *keep, residues=residues).withColumn("rc", revcomp("kmer"))
+    read = both.select(*keep, "pos", F.xxhash64(F.least("kmer", "rc")).alias("h"), (F.col("rc") < F.col("kmer")).alias("flipped"))
+    return read.filter(F.pmod("h", F.lit(rate)) == 0)
+
+
+def sample_hits(left: DataFrame, right: DataFrame, most: int, left_key: str, right_key: str) -> DataFrame:
+    """left_key, qpos, right_key, pos, fwd: samples of one k-mer; of right at most ``most`` places of each, the first."""
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(right_key, "pos"))
+    places = right.withColumn("rn", rank).filter(F.col("rn") <= most).select("h", right_key, "pos", F.col("flipped").alias("turned"))
+    own = left.select("h", left_key, F.col("pos").alias("qpos"), "flipped")
+    return own.join(places, "h").select(left_key, "qpos", right_key, "pos", (F.col("flipped") == F.col("turned")).alias("fwd"))
