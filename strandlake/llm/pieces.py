@@ -25,9 +25,13 @@ get a row each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -39,7 +43,9 @@ from strandlake.llm.quality_rules import bound
 
 MARK = "▁"
 #: Units that are broadcast at most (tens of MB).
-HOT = 200_000
+HOT = 150_000
+#: Words that a task remembers, rows it hands on at once.
+WORDS, ROWS = 50_000, 500
 #: A rank beyond all ranks: never used up.
 NEVER = 2**31 - 1
 #: Edges before and after an edge that can reach across its border, at most: 16 letters, 16 lengths.
@@ -100,15 +106,17 @@ class Model:
             yield piece, i, self.rank[piece], *spines
 
 
+    def raw(self) -> list[bytes]:
+        """The UTF-8 that each id stands for, marks included."""
+        of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
+        return [of_byte.get(i, b"" if i in self.control else p.encode()) for i, p in enumerate(self.names)]
+
+
 @lru_cache(2)
 def load(path: str) -> Model:
     return Model(path)
 
 
-def marked(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.translate(text, " ", MARK)))
-
-
 def _path(edges: Column, n: Column) -> Column:
     """The edges (id, s, e) of the encoding of a unit of n characters. edges: by end, longest first."""
 
@@ -144,17 +152,18 @@ def _path(edges: Column, n: Column) -> Column:
 
 
 def dictionary(units: DataFrame, path: str) -> DataFrame:
-    """unit, ids for each distinct unit of units (one column, unit, distinct)."""
+    """unit, n, ids for each row of units (unit, distinct, and n, any number)."""
     spark, model = units.sparkSession, load(path)
     pieces = spark.createDataFrame(list(model.rows()), PIECES)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spots = units.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    cells = spots.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("s")))).alias("n"))
-    edges = cells.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("n"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or n = 1")
+    # From here to the grouping by unit nothing is shuffled.
+    spots = units.repartition(parts, "unit").select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    cells = spots.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("s")))).alias("l"))
+    edges = cells.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
     alone = lambda o: F.array(F.struct(F.lit(o).alias("o"), F.lit(NEVER).alias("d")))
-    edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("rs", alone(0)).alias("rs"), F.coalesce("ls", alone(1)).alias("ls"))
-    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    found = grouped.select("unit", _path(F.col("edges"), F.length("unit")).alias("path"))
+    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("rs", alone(0)).alias("rs"), F.coalesce("ls", alone(1)).alias("ls"))
+    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    found = grouped.select("unit", "n", _path(F.col("edges"), F.length("unit")).alias("path"))
     as_byte = F.array(*(F.lit(model.bytes[b]) for b in range(256)))
 
     def ids(x: Column) -> Column:
@@ -162,40 +171,100 @@ def dictionary(units: DataFrame, path: str) -> DataFrame:
         own = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(as_byte, F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
         return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(own)
 
-    return found.select("unit", F.flatten(F.transform("path", ids)).alias("ids"))
+    return found.select("unit", "n", F.flatten(F.transform("path", ids)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text, ids for every row of docs."""
+    """doc_id, ids, round_trip (whether decoding gives the text again) for every row of docs."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     model = load(path)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = own.select(F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(model.unit), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    units = cut(units, "op6-units")
-    known = cut(dictionary(units.select("unit"), path).join(units, "unit"), "op6-dictionary")
-    hot = {r["unit"]: r["ids"] for r in known.orderBy(F.desc("n"), "unit").limit(HOT).select("unit", "ids").toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    pattern = model.unit
+    pattern = regex.compile(model.unit)
+
+    def words(text: object) -> list[str]:
+        """A text's words with the marks before them; units never reach across."""
+        if not isinstance(text, str) or not text:
+            return []
+        found = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
+        if "" not in found:
+            return [MARK + w for w in found]
+        out, marks = [], 0
+        for w in found:
+            marks += 1
+            if w:
+                out.append(MARK * marks + w)
+                marks = 0
+        return out + [MARK * marks] * (marks > 0)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+
+        def units() -> pd.DataFrame:
+            n: Counter[str] = Counter()
+            for w, k in seen.items():
+                for u in pattern.findall(w):
+                    n[u] += k
+            seen.clear()
+            return pd.DataFrame({"unit": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
 
-    def units_of(text: object) -> list[str]:
-        return regex.findall(pattern, MARK + text.replace(" ", MARK)) if isinstance(text, str) and text else []
+        for pdf in batches:
+            seen.update(chain.from_iterable(map(words, pdf["text"].array)))
+            if len(seen) > 4 * WORDS:
+                yield units()
+        yield units()
+
+    units = cut(own.select("text").mapInPandas(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "op6-units")
+    known = cut(dictionary(units, path), "op6-dictionary")
+    hot = {r["unit"]: array("i", r["ids"]) for r in known.orderBy(F.desc("n"), "unit").limit(HOT).select("unit", "ids").toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known_words: dict[str, list[str]] = {}
         for pdf in batches:
-            rows = [(d, u) for d, t in zip(pdf["doc_id"].array, pdf["text"].array, strict=True) for u in set(units_of(t)) if u not in shared.value]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit"]).astype({"doc_id": "Int64"})
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
+                found = set()
+                for w in set(words(text)):
+                    if (out := known_words.get(w)) is None:
+                        if len(known_words) > WORDS:
+                            known_words.clear()
+                        out = known_words[w] = [u for u in pattern.findall(w) if u not in shared.value]
+                    found.update(out)
+                rows += [(doc_id, u) for u in found]
+            yield pd.DataFrame(rows, columns=["doc_id", "unit"], dtype=object).astype({"doc_id": "Int64"})
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known_words: dict[str, array] = {}
+        raw = model.raw()
         for pdf in batches:
-            out = []
-            for text, more in zip(pdf["text"].array, pdf["more"], strict=True):
-                extra = {x["unit"]: x["ids"] for x in more} if more is not None else {}
-                out.append([i for u in units_of(text) for i in (extra[u] if u in extra else shared.value[u])])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": pdf["text"], "ids": pd.Series(out, dtype=object)})
-
-    others = own.mapInPandas(rare, "doc_id long, unit string").distinct().join(known.select("unit", "ids"), "unit")
+            for lo in range(0, len(pdf), ROWS):
+                part, out, same = pdf.iloc[lo : lo + ROWS], [], []
+                for text, more in zip(part["text"].array, part["more"], strict=True):
+                    extra = {x["unit"]: x["ids"] for x in more} if more is not None else {}
+                    ids = array("i")
+                    for w in words(text):
+                        own = known_words.get(w)
+                        if own is None:
+                            own, whole = array("i"), True
+                            for u in pattern.findall(w):
+                                whole = whole and u in shared.value
+                                own.extend(shared.value[u] if u in shared.value else extra[u])
+                            if whole:  # of hot units only, so the same in every document
+                                if len(known_words) > WORDS:
+                                    known_words.clear()
+                                known_words[w] = own
+                        ids.extend(own)
+                    out.append(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32))
+                    same.append(decoded(ids, raw) == (text.replace(MARK, " ") if isinstance(text, str) else ""))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": pd.Series(out, index=part.index, dtype=object), "round_trip": pd.Series(same, index=part.index, dtype=bool)})
+
+    others = own.mapInPandas(rare, "doc_id long, unit string").join(known.select("unit", "ids"), "unit")
     fills = cut(others.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "ids")).alias("more")), "op6-rare").withColumnRenamed("doc_id", "_id")
-    return own.join(fills, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "more").mapInPandas(look_up, "doc_id long, text string, ids array<int>")
+    return own.join(fills, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "more").mapInPandas(look_up, "doc_id long, ids array<int>, round_trip boolean")
+
+
+def decoded(ids: object, raw: list[bytes]) -> str:
+    return b"".join([raw[i] for i in ids]).replace(MARK.encode(), b" ").removeprefix(b" ").decode("utf-8", "replace")
 
 
 def decoder(path: str | None = None):
@@ -204,12 +273,9 @@ def decoder(path: str | None = None):
 
     @F.pandas_udf("string")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load(path)
-        of_byte = {i: bytes([b]) for b, i in model.bytes.items()}
-        raw = [of_byte.get(i, b"" if i in model.control else p.encode()) for i, p in enumerate(model.names)]
-        mark = MARK.encode()
+        raw = load(path).raw()
         for ids in parts:
-            yield pd.Series([None if x is None else b"".join([raw[i] for i in x]).replace(mark, b" ").removeprefix(b" ").decode("utf-8", "replace") for x in ids], dtype=object)
+            yield pd.Series([None if x is None else decoded(x, raw) for x in ids], dtype=object)
 
     return decode
 
@@ -217,5 +283,4 @@ def decoder(path: str | None = None):
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding gives the text again."""
     found = encode(table(spark, sf_dir, "documents"))
-    plain = F.coalesce(F.translate("text", MARK, " "), F.lit(""))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (decoder()(F.col("ids")) == plain).alias("round_trip"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
