@@ -54,7 +54,6 @@ class BlatOptions(SearchOptions):
     pad: int = 10
     min_identity: float = 80.0
     max_target_span: int = 1000
-    number_queries: bool = False
     number_targets: bool = False
     show_offsets: bool = False
     complete_psl: bool = False

@@ -7,6 +7,7 @@ from strandlake.config import BlatOptions, CompressOptions, SearchOptions
 from strandlake.functions.edits import reverse_complement
 from strandlake.operators import compress, intervals, search
 from strandlake.plans.database import Database, scratch
+from strandlake.sources.psl import parse_psl
 from strandlake.streaming.incremental import compress_stream
 from tests.test_align import bases, changed
 
@@ -75,6 +76,19 @@ def test_database(spark, seqs, tmp_path):
     assert db.search(queries, SearchOptions(pooled=True)).count() >= hits.count()
     assert db.search(queries, BlatOptions(min_identity=90.0)).filter("identity < 90").count() == 0
 
+    assert db.search(queries, SearchOptions(load_coarse=True, load_compressed=True)).count() == hits.count()
+    spark.catalog.clearCache()
+
+    line = "\t".join(f"59 1 0 0 0 0 1 7 + 5 60 0 60 {0} 200 10 77 2 30,30, 0,30, 10,47,".split())
+    psl_rows = parse_psl(spark.createDataFrame([(line,)], "value string"))
+    assert [tuple(r) for r in db.hits_of_psl(psl_rows, BlatOptions()).collect()] == [(5, 0, 10, 76)]
+    assert [r["hit_to"] for r in db.hits_of_psl(psl_rows, BlatOptions(half_open_hits=True)).collect()] == [77]
+    assert db.hits_of_psl(psl_rows, BlatOptions(max_target_span=60)).count() == 0
+    some = spark.createDataFrame([(0, 13, 40, "ACGT")], "exp_id long, seq_id long, exp_start long, residues string")
+    headers = {o: db.fine_records(some, BlatOptions(**o and dict.fromkeys(o.split(), True))).first()["value"] for o in ("number_targets show_offsets", "show_offsets", "complete_psl")}
+    assert headers == {"number_targets show_offsets": "> 0 13 (offset 40)\nACGT", "show_offsets": "> 13 (offset 40)\nACGT", "complete_psl": "> 0 13\nACGT"}
+    assert tuple(db.complete(psl_rows, some).select("t_name", "t_size", "t_start", "t_starts").first()) == ("13", len(texts[13]), 50, [50, 87])
+
     expansions = db.expansions(db.coarse_hits(queries, SearchOptions()), SearchOptions()).collect()
     assert expansions and all("?" not in r["residues"] and r["residues"] == texts[r["seq_id"]][r["exp_start"] : r["exp_end"] + 1] for r in expansions)
 
