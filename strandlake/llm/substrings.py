@@ -34,9 +34,9 @@ WINDOW, GRAM = 20, 5
 #: Grams per window.
 SPAN = WINDOW - GRAM + 1
 #: Text handled at once by a task, in bytes, and packed strings it remembers.
-CHUNK, SEEN = 6 << 20, 60_000
+CHUNK, SEEN = 2 << 20, 30_000
 #: Buckets for each shuffle partition: a task holds one bucket at a time.
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 16
 OTHER_BASE = 0xD6E8FEB86659FD93
 
 PACKED = "bucket int, docs binary, starts binary, windows binary, blob binary"
@@ -101,7 +101,7 @@ def pack(buckets: int):
         return pd.DataFrame(rows, columns=["bucket", "docs", "starts", "windows", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen = WordHashes(200_000), {}
+        hashes, seen = WordHashes(), {}
         ids, words, lens, held = [], [], [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
@@ -230,7 +230,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    return _with_runs(docs.select("doc_id", "text")).select("doc_id", "text", "runs").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = _with_runs(docs.select("doc_id", "text")).select("doc_id", "text", "runs").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return cut(out, "op7-counts")  # in small batches of texts
 
 
 def with_repeats_removed(docs: DataFrame) -> DataFrame:
