@@ -12,9 +12,10 @@ once per task.
 
 Defined results: null, empty or white text has no words and hashes the empty
 string; texts under 20 words lose nothing; rows with null doc_id are left
-whole and others are not compared with them; of repeated rows of a doc_id only
-one is scanned, and each gets the removals found for it; other columns are
-ignored by ``remove_repeats`` and kept by ``with_repeats_removed``.
+whole and others are not compared with them; repeated rows of a doc_id and
+text count as one, and each gets the removals found for it; different texts of
+a doc_id are told apart by a 64-bit hash of the text, in whose order they come;
+other columns are ignored by ``remove_repeats`` and kept by ``with_repeats_removed``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import U64, WordHashes, as_bytes, cut, mixed, rolling, table
@@ -39,7 +40,9 @@ CHUNK, SEEN = 2 << 20, 30_000
 BUCKETS_PER_PARTITION = 16
 OTHER_BASE = 0xD6E8FEB86659FD93
 
-PACKED = "bucket int, docs binary, starts binary, windows binary, blob binary"
+PACKED = "bucket int, docs binary, versions binary, starts binary, windows binary, blob binary"
+#: Runs of windows of a text: version is the hash of the text.
+RUNS = "doc_id long, version long, start long, windows long"
 
 
 def sliding_min(g: np.ndarray, span: int) -> np.ndarray:
@@ -71,10 +74,10 @@ def super_kmers(lens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def pack(buckets: int):
-    """Batches of (doc_id, text) to PACKED rows; rows without blob are repeats found on the spot."""
+    """Batches of (doc_id, version, text) to PACKED rows; rows without blob are repeats found on the spot."""
 
-    def flush(ids: list[int], words: list[bytes], lens: list[int], hashes: WordHashes, seen: dict) -> pd.DataFrame | None:
-        lens, ids = np.array(lens), np.array(ids, np.int64)
+    def flush(ids: list[int], versions: list[int], words: list[bytes], lens: list[int], hashes: WordHashes, seen: dict) -> pd.DataFrame | None:
+        lens, ids, versions = np.array(lens), np.array(ids, np.int64), np.array(versions, np.int64)
         doc, begin, windows, least = super_kmers(lens, hashes.array(words))
         if not len(doc):
             return None
@@ -83,47 +86,54 @@ def pack(buckets: int):
         offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
         strings = [joined[i:j] for i, j in zip(offset[begin].tolist(), (offset[begin + windows + WINDOW - 1] - 1).tolist(), strict=True)]
         bucket = (mixed(least) % U64(buckets)).astype(np.int64)
-        for k, (s, at) in enumerate(zip(strings, zip(ids[doc].tolist(), start.tolist(), strict=True), strict=True)):
+        sent = np.ones(len(bucket), bool)
+        for k, (s, at) in enumerate(zip(strings, zip(ids[doc].tolist(), versions[doc].tolist(), start.tolist(), strict=True), strict=True)):
             if (first := seen.get(s)) is not None and first < at:
                 bucket[k] = -1 - bucket[k]
+            elif first == at:  # the same place of a repeated row
+                sent[k] = False
             else:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen[s] = at
         order = np.argsort(bucket, kind="stable")
+        order = order[sent[order]]
+        if not len(order):
+            return None
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         zip_ = zstandard.ZstdCompressor(level=1)
         rows = []
         for part in np.split(order, cuts):
             b = int(bucket[part[0]])
             blob = None if b < 0 else zip_.compress(b"\n".join([strings[k] for k in part]))
-            rows.append((b if b >= 0 else -1 - b, ids[doc[part]].tobytes(), start[part].astype(np.int64).tobytes(), windows[part].astype(np.int64).tobytes(), blob))
-        return pd.DataFrame(rows, columns=["bucket", "docs", "starts", "windows", "blob"])
+            rows.append((b if b >= 0 else -1 - b, ids[doc[part]].tobytes(), versions[doc[part]].tobytes(), start[part].astype(np.int64).tobytes(), windows[part].astype(np.int64).tobytes(), blob))
+        return pd.DataFrame(rows, columns=["bucket", "docs", "versions", "starts", "windows", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), {}
-        ids, words, lens, held = [], [], [], 0
+        ids, versions, words, lens, held = [], [], [], [], 0
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
+            for doc_id, version, text in zip(pdf["doc_id"].array, pdf["version"].array, pdf["text"].array, strict=True):
                 own = as_bytes(text).split()
                 if len(own) < WINDOW:
                     continue
                 ids.append(int(doc_id))
+                versions.append(int(version))
                 words += own
                 lens.append(len(own))
                 held += len(text)
                 if held >= CHUNK:
-                    if (out := flush(ids, words, lens, hashes, seen)) is not None:
+                    if (out := flush(ids, versions, words, lens, hashes, seen)) is not None:
                         yield out
-                    ids, words, lens, held = [], [], [], 0
-        if ids and (out := flush(ids, words, lens, hashes, seen)) is not None:
+                    ids, versions, words, lens, held = [], [], [], [], 0
+        if ids and (out := flush(ids, versions, words, lens, hashes, seen)) is not None:
             yield out
 
     return run
 
 
-def repeats(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of each window of a bucket whose words start earlier elsewhere in it."""
+def repeats(docs: np.ndarray, versions: np.ndarray, starts: np.ndarray, windows: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, version, start) of each window of a bucket whose words start earlier elsewhere in it."""
     hashes = WordHashes()
     one, two = [], []
     for blob in blobs:
@@ -139,31 +149,37 @@ def repeats(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, blobs: li
     step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     at = np.repeat(first, windows) + step
     one, two = one[at], two[at]
-    doc, start = np.repeat(docs, windows), np.repeat(starts, windows) + step
+    string, start = np.repeat(np.arange(len(docs), dtype=np.int32), windows), np.repeat(starts, windows) + step
     order = np.argsort(one, kind="stable")
     same = one[order][1:] == one[order][:-1]
     if not same.any():
-        return doc[:0], start[:0]
+        return docs[:0], versions[:0], starts[:0]
     pick = np.zeros(len(order), bool)
     pick[1:] |= same
     pick[:-1] |= same
     order = order[pick]
-    order = order[np.lexsort((start[order], doc[order], two[order], one[order]))]
-    again = order[1:][(one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
-    return doc[again], start[again]
-
-
-def intervals(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """Consecutive window starts of a document as (doc_id, start, windows)."""
+    one, two, start, doc, version = one[order], two[order], start[order], docs[string[order]], versions[string[order]]
+    order = np.lexsort((start, version, doc, two, one))
+    one, two, start, doc, version = (x[order] for x in (one, two, start, doc, version))
+    head = np.ones(len(order), bool)
+    head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    # A repeated row brings the place of the first once more: that is no repeat.
+    again = (doc != doc[first]) | (version != version[first]) | (start != start[first])
+    return doc[again], version[again], start[again]
+
+
+def intervals(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """Consecutive window starts of a text as RUNS."""
     if not len(doc):
-        return pd.DataFrame({"doc_id": doc, "start": start, "windows": start})
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+        return pd.DataFrame({"doc_id": doc, "version": version, "start": start, "windows": start})
+    order = np.lexsort((start, version, doc))
+    doc, version, start = doc[order], version[order], start[order]
     head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    head[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(doc)) - 1
-    return pd.DataFrame({"doc_id": doc[at], "start": start[at], "windows": start[last] - start[at] + 1})
+    return pd.DataFrame({"doc_id": doc[at], "version": version[at], "start": start[at], "windows": start[last] - start[at] + 1})
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,14 +187,14 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unzip = zstandard.ZstdDecompressor()
 
     def close(rows: list) -> pd.DataFrame:
-        d, s, w = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in range(3))
-        return intervals(*repeats(d, s, w, [unzip.decompress(r[3]) for r in rows]))
+        d, v, s, w = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in range(4))
+        return intervals(*repeats(d, v, s, w, [unzip.decompress(r[4]) for r in rows]))
 
     held, bucket = [], None
     for pdf in batches:
-        for b, *row in pdf[["bucket", "docs", "starts", "windows", "blob"]].itertuples(index=False):
-            if row[3] is None:
-                yield pd.DataFrame({"doc_id": np.frombuffer(row[0], np.int64), "start": np.frombuffer(row[1], np.int64), "windows": np.frombuffer(row[2], np.int64)})
+        for b, *row in pdf[["bucket", "docs", "versions", "starts", "windows", "blob"]].itertuples(index=False):
+            if row[4] is None:
+                yield pd.DataFrame({c: np.frombuffer(x, np.int64) for c, x in zip(("doc_id", "version", "start", "windows"), row, strict=False)})
                 continue
             if b != bucket and held:
                 yield close(held)
@@ -189,12 +205,16 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close(held)
 
 
+def _version(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows): runs of windows that also start earlier."""
+    """RUNS of windows that also start earlier."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version("text").alias("version"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     packed = texts.mapInPandas(pack(parts * BUCKETS_PER_PARTITION), PACKED)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_scan, "doc_id long, start long, windows long")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_scan, RUNS)
 
 
 def kept_words(text: object, runs: np.ndarray) -> tuple[list[bytes], int]:
@@ -209,10 +229,10 @@ def kept_words(text: object, runs: np.ndarray) -> tuple[list[bytes], int]:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, runs (flat array of start, windows), row (all columns of docs, whatever their names)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
-    found = repeated_windows(own).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "windows"))).alias("runs"))
-    return own.join(cut(found, "op7-runs"), "doc_id", "left")
+    """doc_id, version, text, runs (flat array of start, windows), row (all columns of docs, whatever their names)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version("text").alias("version"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    found = repeated_windows(own).groupBy("doc_id", "version").agg(F.flatten(F.collect_set(F.array("start", "windows"))).alias("runs"))
+    return own.join(cut(found, "op7-runs"), ["doc_id", "version"], "left")
 
 
 def _pairs(runs: object) -> np.ndarray:

@@ -371,6 +371,18 @@ def test_texts_without_repeats(spark, edge_docs):
     assert texts[50] == "tail"
 
 
+def test_repeated_rows_of_an_id_keep_their_text(spark):
+    text, inner, other = " ".join(words(300, 21)), " ".join(words(40, 22)), " ".join(words(50, 23))
+    twice = f"{inner} {text} {inner}"
+    rows = [(1, twice), (2, other), (2, text), (3, twice), *[(1, twice)] * 3, (4, other)]
+    out = substrings.with_repeats_removed(frame(spark, rows).repartition(3)).collect()
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    # Every copy of row 1 keeps the whole of what is first in it; of id 2 each text is judged by itself.
+    assert left == Counter({(1, f"{inner} {text}"): 4, (2, other): 1, (2, ""): 1, (3, ""): 1, (4, ""): 1})
+    one_task = substrings.remove_repeats(frame(spark, [(7, text), (7, text)]).coalesce(1)).collect()
+    assert [(r["n_words"], r["n_removed"]) for r in one_task] == [(300, 0)] * 2
+
+
 def test_sliding_minimum():
     g = np.random.default_rng(1).integers(0, 99, 100).astype(np.uint64)
     assert (substrings.sliding_min(g, 16) == [g[i : i + 16].min() for i in range(85)]).all()
