@@ -3,8 +3,10 @@
 A tree is a sorted array of long hash strings, here ``BITS`` sign bits of random
 projections per vector. A query descends to its longest prefix match in every
 tree by binary search and then ascends all trees at once, a bit at a time,
-until the ranges under its shortened prefix hold ``SHARE`` of the index; the
-union of these ranges is scored exactly. Vectors get one more coordinate that
+until the ranges under its shortened prefix hold ``SHARE`` of the index and at
+least ``FLOOR`` entries a tree; the union of these ranges is scored exactly.
+Entries of one tree are distinct, so that many classes are scored, or all of
+them when the index has no more. Vectors get one more coordinate that
 makes their norms equal, which turns inner product into angle.
 
 Equal vectors form one class, so that a vector held by a third of all rows is
@@ -36,6 +38,8 @@ from strandlake.llm.common import U64, cut, table
 TREES, BITS = 32, 24
 #: Entries met in all trees together before a query stops to ascend, as a share of the classes.
 SHARE = 1.2
+#: Distinct classes that a query meets for each neighbour wanted, where there are so many.
+FLOOR = 20
 BLOCK, CHUNK = 8192, 4096
 NEAREST = 20
 
@@ -82,7 +86,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST) -> DataFrame:
     total, norm = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     norm = math.sqrt(norm or 0.0)
     blocks, chunks = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(searched.count() / CHUNK))
-    wanted = SHARE * total
+    # The fullest tree has a TREES-th of the entries at least; one class is the query's own.
+    wanted = max(SHARE * total, TREES * (FLOOR * k + 1))
 
     def spread(level: DataFrame | None) -> DataFrame:
         """Entries and queries of each (dimension, block, chunk)."""
