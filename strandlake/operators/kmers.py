@@ -35,18 +35,18 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1, only: DataFrame | None = None) -> DataFrame:
+def seed_places(seqs: DataFrame, k: int, key: str = "seq_id", step: int = 1) -> DataFrame:
+    """h, key, pos: every place of each k-mer."""
+    return kmers(seqs, k, key, step=step).select(kmer_hash("kmer", k).alias("h"), key, "pos")
+
+
+def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1) -> DataFrame:
     """h, key, pos, rn: at most ``most`` places of each k-mer, the first by key and position.
 
-    only (h, distinct), if given, holds the k-mers to look for: the others go
-    before anything is sorted.
     The limit is part of the index's meaning; Spark applies it in each map task
     before the shuffle as well, so a k-mer that is everywhere stays small.
     """
-    places = kmers(seqs, k, key, step=step).select(kmer_hash("kmer", k).alias("h"), key, "pos")
-    if only is not None:
-        places = places.join(only, "h", "left_semi")
-    ranked = places.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
+    ranked = seed_places(seqs, k, key, step).withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
     return ranked.filter(F.col("rn") <= most)
 
 

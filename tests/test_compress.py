@@ -128,3 +128,15 @@ def test_lambda_solves_its_equation():
 
     rate = search.karlin_lambda()
     assert abs(0.25 * math.exp(rate) + 0.75 * math.exp(-3 * rate) - 1) < 1e-9
+
+
+def test_a_passage_is_found_in_every_target_that_holds_it(spark):
+    r = random.Random(23)
+    passage, other = bases(r, 80), bases(r, 80)
+    targets = spark.createDataFrame([(i, bases(r, 30) + passage + bases(r, 30)) for i in range(520)] + [(520, other)], "target long, residues string")
+    queries = spark.createDataFrame([(0, passage), (1, other), (2, passage)], "query_no long, residues string")
+    hits = search.local_hits(queries, targets, SearchOptions(), 1e-5, 10**5)
+    assert {(h["query_no"], h["target"]) for h in hits.collect()} == {(q, i) for q in (0, 2) for i in range(520)} | {(1, 520)}
+    same = spark.createDataFrame([(0, i) for i in range(500)] + [(2, 515), (1, 3), (1, 520)], "query_no long, target long")
+    fine = search.local_hits(queries, targets, SearchOptions(), 1e-5, 10**5, same)
+    assert {(h["query_no"], h["target"]) for h in fine.collect()} == {(0, i) for i in range(500)} | {(2, 515), (1, 520)}
