@@ -6,8 +6,10 @@ Words are runs of characters other than ASCII white space
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -25,31 +27,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is set (tests)."""
+    """The folder that all executors share. Where none is set a local one is made, if Spark runs in this process only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it again: cuts lineage, outlives lost executors.
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
-    The folder goes when the application ends.
-    """
+
+def forgotten(spark: SparkSession, path: str) -> str:
+    """path, which goes when the application ends."""
+    files, hadoop = _folder(spark, path)
+    files.deleteOnExit(hadoop)
+    return path
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # Batches of whole texts are what a Python worker's memory goes into.
+    # Batches of whole texts are what a Python worker's memory goes into. The size
+    # is read when a plan with Python in it is made: this one's, and none that
+    # another thread makes meanwhile, as each session has its own settings.
     batch = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, batch)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(forgotten(spark, path)), path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df into the shared folder and read it again: cuts lineage, outlives lost executors.
+
+    The folder goes when the application ends.
+    """
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Tables in the shared folder that one computation needs: they go when it ends, or when others take their place."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*self.paths)
+
+    def cut(self, df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+        """As cut(); the table instead_of, which may be read by df, is not needed any more."""
+        out, path = _write(df, name)
+        self.paths[id(out)] = (out, path)  # holds out, so that its id stays its own
+        if instead_of is not None:
+            self.drop(id(instead_of))
+        return out
+
+    def drop(self, *keys: int) -> None:
+        for key in keys:
+            files, hadoop = _folder(self.spark, self.paths.pop(key)[1])
+            files.delete(hadoop, True)
 
 
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -62,6 +109,22 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, column, "left_semi")
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are split into words at once.
+BLOCK = 4 << 20
+
+
+def word_blocks(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, those of a long one in several lists."""
+    at = 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > BLOCK and (space := SPACE.search(raw, at + BLOCK)):
+            end = space.start()
+        yield (raw[at:end] if end - at < len(raw) else raw).split()
+        at = end
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes); remembers words up to a bound, then starts anew."""
 
@@ -87,15 +150,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each run of n consecutive entries of h."""
+    """Polynomial hash modulo 2**64 of each run of n consecutive entries of h, put together from runs of powers of two."""
     if len(h) < n:
         return np.empty(0, U64)
-    m = len(h) - n + 1
-    out = np.zeros(m, U64)
-    for i in range(n):
-        out *= U64(base)
-        out += h[i : i + m]
-    return out
+    power = lambda k: U64(pow(base, k, 1 << 64))
+    out, size, part, width = None, 0, h, 1
+    while True:
+        if n & width:
+            m = len(h) - width - size + 1
+            out = part if out is None else part[:m] * power(size) + out[width : width + m]
+            size += width
+        if size == n:
+            return out
+        part = part[:-width] * power(width) + part[width:]
+        width *= 2
 
 
 def as_bytes(text: object) -> bytes:
