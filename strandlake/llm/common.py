@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-#: Ids up to this many (16 MB) may be broadcast after counting; beyond it the join shuffles.
+#: Ids up to this many (tens of MB) may be broadcast after counting; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
 
@@ -99,16 +99,6 @@ class Scratch:
             files.delete(hadoop, True)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose column is among ids (one column of that name, distinct).
-
-    The ids are counted: up to BROADCAST_IDS they are broadcast so that df's
-    wide rows stay where they are, beyond that Spark shuffles both sides.
-    """
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, column, "left_semi")
-
-
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of a text that are split into words at once.
 BLOCK = 4 << 20

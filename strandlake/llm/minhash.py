@@ -15,15 +15,21 @@ components is passed over; pairs are left out only where bounds on their
 intersection rule a link out: a histogram of each set over ``CELLS`` cells, and
 the number of shingles that no other document at hand has.
 
+Classes have numbers of their own; ids of documents come back at the end, as
+the smallest of each component.
+
 Defined results: null or wordless text is an empty set, linked with nothing
 (its component is its own id); fewer than five words are one shingle; repeated
-rows of one doc_id get a row each; a row with null doc_id is linked with
-nothing and keeps a null component; other columns are ignored.
+rows of one doc_id get a row each, and if their texts differ each is linked by
+its own text, its doc_id counting wherever one of its texts is; a row with null
+doc_id is linked with nothing and keeps a null component; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from math import comb
 
@@ -32,14 +38,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import U64, WordHashes, as_bytes, cut, mixed, only_ids, rolling, table
+from strandlake.llm.common import BROADCAST_IDS, U64, Scratch, WordHashes, as_bytes, cut, mixed, rolling, table
 
 SHINGLE = 5
-#: 100 * intersection >= PERCENT * union links two documents.
+#: 100 * intersection >= PERCENT * union links two documents, unless another percentage is given.
 PERCENT = 85
-#: 32 bands of 6: a pair at similarity 0.85 shares no band with probability 2.6e-7.
-BANDS, ROWS = 32, 6
-PERMUTATIONS = BANDS * ROWS
+#: Chosen probability that a pair at the threshold shares no band, and hash functions at most.
+NO_BAND, PERMUTATIONS = 3e-7, 200
 #: Cells of the histogram that bounds intersections.
 CELLS = 128
 #: Rounds of one trial per class go on while they halve the pairs left and more than this are left per class.
@@ -52,6 +57,15 @@ _MUL = (_rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64) << U64
 _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that still miss a pair at the threshold with NO_BAND at most; 32 of 6 at 85."""
+    for rows in range(6, 0, -1):
+        bands = math.ceil(math.log(NO_BAND) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+        if bands * rows <= PERMUTATIONS:
+            return bands, rows
+    raise ValueError(f"no banding for {percent} percent")
+
+
 def shingle_set(text: object, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text."""
     words = as_bytes(text).lower().split()
@@ -63,11 +77,11 @@ def shingle_set(text: object, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(rolling(h, SHINGLE)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash signature of a set, by blocks so that memory is bounded for very long texts."""
-    least = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint32)
+def signature(shingles: np.ndarray, n: int) -> np.ndarray:
+    """MinHash signature of a set under n functions, by blocks so that memory is bounded for very long texts."""
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(shingles), 4096):
-        h = (shingles[i : i + 4096, None] * _MUL + _ADD) >> U64(32)
+        h = (shingles[i : i + 4096, None] * _MUL[:n] + _ADD[:n]) >> U64(32)
         np.minimum(least, h.min(axis=0).astype(np.uint32), out=least)
     return least
 
@@ -90,14 +104,22 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
 
 def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     """Rows of two signature matrices that no batch prunes; pruned rows are not compared further."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for i in range(0, PERMUTATIONS, BATCH):
+    alive, matches, n = np.arange(len(a)), np.zeros(len(a), np.int64), a.shape[1]
+    for i in range(0, n, BATCH):
         matches[alive] += (a[alive, i : i + BATCH] == b[alive, i : i + BATCH]).sum(axis=1)
-        alive = alive[matches[alive] >= least[i + BATCH]]
+        alive = alive[matches[alive] >= least[min(n, i + BATCH)]]
     return alive
 
 
-def features(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def features(docs: DataFrame, hashes_: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), signature, shingles per cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,64 +129,81 @@ def features(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
                 s = shingle_set(text, hashes)
                 full = len(s) > 0
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if full else None, signature(s).tobytes() if full else None, np.bincount((s >> U64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32)))
+                rows.append((doc_id, len(s), set_digest(s) if full else None, signature(s, hashes_).tobytes() if full else None, np.bincount((s >> U64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig", "cells"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, cells array<int>")
+    return _named(docs).mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary, cells array<int>")
 
 
-def bands(reps: DataFrame) -> DataFrame:
+def bands(reps: DataFrame, percent: int) -> DataFrame:
     """A row (key, doc, n) for each class and band."""
+    n_bands, rows = banding(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), BANDS, ROWS).astype(U64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), sig.shape[:2]).copy()
-            for r in range(ROWS):
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), n_bands, rows).astype(U64)
+            key = np.broadcast_to(np.arange(1, n_bands + 1, dtype=U64), sig.shape[:2]).copy()
+            for r in range(rows):
                 key = mixed(key * U64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            yield pd.DataFrame({"key": key.ravel().view(np.int64), "doc": np.repeat(pdf["doc_id"].to_numpy(), BANDS), "n": np.repeat(pdf["n_shingles"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"key": key.ravel().view(np.int64), "doc": np.repeat(pdf["doc"].to_numpy(), n_bands), "n": np.repeat(pdf["n_shingles"].to_numpy(), n_bands)})
 
-    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "key long, doc long, n long")
+    return reps.select("doc", "n_shingles", "sig").mapInPandas(run, "key long, doc long, n long")
 
 
-def sizes_allow(a: str, b: str) -> "F.Column":
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+def sizes_allow(a: str, b: str, percent: int) -> "F.Column":
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def shared_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, u): how many shingles of each document among ids (doc_id) occur in no other of them."""
+def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, s: the full set of each class among wanted (doc), from a text of the document that the class is known by."""
+    ids = reps.join(wanted, "doc", "left_semi").select("doc_id", "doc", "digest")
+    small = ids.count() <= BROADCAST_IDS
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
+        for pdf in batches:
+            rows = []
+            for doc, digest, text in zip(pdf["doc"].array, pdf["digest"].array, pdf["text"].array, strict=True):
+                s = shingle_set(text, hashes)
+                if set_digest(s) == bytes(digest):  # else another text of that document
+                    rows.append((doc, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc", "s"]).astype({"doc": "int64"})
+
+    found = _named(docs).join(F.broadcast(ids) if small else ids, "doc_id").select("doc", "digest", "text").mapInPandas(shingles, "doc long, s binary")
+    return found.groupBy("doc").agg(F.first("s").alias("s"))
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(doc, u): how many shingles of each of the sets (doc, s) are in no other of them."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                sets = [shingle_set(t, hashes) for t in part["text"].array]
-                yield pd.DataFrame({"doc": np.repeat(part["doc_id"].to_numpy(np.int64), [len(x) for x in sets]), "s": np.concatenate(sets).view(np.int64)})
+                found = [np.frombuffer(s, np.int64) for s in part["s"]]
+                yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(np.int64), [len(x) for x in found]), "s": np.concatenate(found)})
 
-    rows = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id").mapInPandas(shingles, "doc long, s long")
-    alone = rows.groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last").groupBy("doc").agg(F.count("*").alias("u"))
-    return cut(alone, "op5-alone")
+    rows = sets.mapInPandas(shingles, "doc long, s long")
+    return rows.groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last").groupBy("doc").agg(F.count("*").alias("u"))
 
 
-def known_allow(n: str, e: str, other_n: str, other_e: str) -> "F.Column":
+def known_allow(n: str, e: str, other_n: str, other_e: str, percent: int) -> "F.Column":
     """Whether sets of n shingles, of which at most e occur in any other set, can be similar enough."""
     most = F.least(e, other_e)
-    return most * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT
+    return most * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
 
 
-def cells_allow(n: str, cells: str, other_n: str, other_cells: str) -> "F.Column":
+def cells_allow(n: str, cells: str, other_n: str, other_cells: str, percent: int) -> "F.Column":
     """Whether two sets can be similar enough: what they share lies in the same cells of both."""
     most = F.aggregate(F.zip_with(cells, other_cells, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    return most * (100 + PERCENT) >= (F.col(n) + F.col(other_n)) * PERCENT
+    return most * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a, b) those that the signatures keep and the full sets confirm."""
-    least = least_matches()
-    sigs = reps.select("doc_id", "sig")
+    least = least_matches(percent)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -172,50 +211,62 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("sig_a", "sig_b"))
                 yield pdf.iloc[survives(a, b, least)][["a", "b"]]
 
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    kept = cut(both.select("a", "b", "sig_a", "sig_b").mapInPandas(prune, "a long, b long"), "op5-survivors")
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingle_set(t, hashes).tobytes() for t in pdf["text"].array]})
-
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["s_a"], pdf["s_b"], strict=True):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf[np.array(keep, bool)][["a", "b"]]
 
-    ends = kept.select(F.col("a").alias("doc_id")).union(kept.select(F.col("b").alias("doc_id"))).distinct()
-    # Repeated rows of a doc_id: the set of the class is that of the row the class was named after.
-    named = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ends, "doc_id")
-    sets = cut(named.mapInPandas(shingles, "doc_id long, s binary"), "op5-sets")
-    pair_sets = kept.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
-    return cut(pair_sets.select("a", "b", "s_a", "s_b").mapInPandas(confirm, "a long, b long"), "op5-links")
+    def with_both(found: DataFrame, df: DataFrame, value: str) -> DataFrame:
+        a, b = (df.select(F.col("doc").alias(c), F.col(value).alias(f"{value}_{c}")) for c in "ab")
+        return found.join(a, "a").join(b, "b").select("a", "b", f"{value}_a", f"{value}_b")
 
+    kept = scratch.cut(with_both(pairs, reps, "sig").mapInPandas(prune, "a long, b long"), "op5-survivors")
+    wanted = kept.select(F.col("a").alias("doc")).union(kept.select("b")).distinct()
+    sets = scratch.cut(sets_of(docs, reps, wanted), "op5-sets")
+    links = scratch.cut(with_both(kept, sets, "s").mapInPandas(confirm, "a long, b long"), "op5-links", sets)
+    scratch.drop(id(kept))
+    return links
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for each end of edges (a, b): contraction to the smallest neighbour until no edge is left."""
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, component) for each end of edges (a, b); component: the smallest v that can be reached.
+
+    Every node points to its smallest neighbour, pointers are followed to their
+    ends by doubling, and the graph is contracted, until no edge is left. Each
+    round leaves half of the nodes at most, and a path in order takes one.
+    """
     around = edges.filter("a <> b")
-    graph = cut(around.union(around.select("b", "a")).distinct(), "cc-graph")
+    graph = scratch.cut(around.union(around.select("b", "a")).distinct(), "cc-graph")
     labels = None
     while True:
-        step = cut(graph.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to")), "cc-step")
+        step = scratch.cut(graph.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to")), "cc-step")
+        while True:
+            # Every pointer's end is a node, too.
+            ahead = step.select(F.col("v").alias("to"), F.col("to").alias("then"))
+            jumped = scratch.cut(step.join(ahead, "to").select("v", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")), "cc-step")
+            done = jumped.filter("moved").isEmpty()
+            scratch.drop(id(step))
+            step = jumped
+            if done:
+                break
         if labels is None:
-            labels = step.withColumnRenamed("to", "component")
+            labels = scratch.cut(step.select("v", F.col("to").alias("component")), "cc-labels")
         else:
-            labels = labels.join(step.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
-            labels = cut(labels, "cc-labels")
+            further = step.select(F.col("v").alias("component"), "to")
+            labels = scratch.cut(labels.join(further, "component", "left").select("v", F.coalesce("to", "component").alias("component")), "cc-labels", labels)
         ends = [step.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
-        graph = cut(graph.join(ends[0], "a").join(ends[1], "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "cc-graph")
+        graph = scratch.cut(graph.join(ends[0], "a").join(ends[1], "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "cc-graph", graph)
+        scratch.drop(id(step))
         if graph.isEmpty():
+            scratch.drop(id(graph))
             return labels
 
 
-def stars(placed: DataFrame, turn: int) -> DataFrame:
+def stars(placed: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataFrame:
     """One pair (a, b) for each class: with the head it shares most bands with, of a component other than its own.
 
     placed: key, doc, n, c (component). A bucket's head is its smallest doc on
@@ -224,63 +275,85 @@ def stars(placed: DataFrame, turn: int) -> DataFrame:
     """
     order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
     rows = placed.select("key", "doc", "n", "c", order.alias("o"))
-    first = cut(rows.groupBy("key").agg(F.min(F.struct("o", "doc", "n", "c")).alias("h")).select("key", "h"), "op5-heads")
+    first = scratch.cut(rows.groupBy("key").agg(F.min(F.struct("o", "doc", "n", "c")).alias("h")).select("key", "h"), "op5-heads")
     others = rows.join(first, "key").filter(F.col("c") != F.col("h.c"))
-    second = cut(others.groupBy("key").agg(F.min(F.struct("o", "doc", "n", "c")).alias("h")), "op5-heads")
+    # Grouped by another form of the key, so that the rows of a large bucket, which the
+    # join has dealt by the key itself, are reduced where they are before they meet.
+    second = others.groupBy(F.bitwise_not("key").alias("yek")).agg(F.min(F.struct("o", "doc", "n", "c")).alias("h"))
+    second = scratch.cut(second.select(F.bitwise_not("yek").alias("key"), "h"), "op5-heads")
     to_second = rows.join(first.select("key", F.col("h.c").alias("c")), ["key", "c"]).join(second, "key")
     tried = others.select("doc", "n", "h").unionByName(to_second.select("doc", "n", "h")).select("doc", "n", F.col("h.doc").alias("head"), F.col("h.n").alias("head_n"))
-    shared = tried.filter(sizes_allow("n", "head_n")).groupBy("doc", "head").agg(F.count("*").alias("times"))
+    shared = tried.filter(sizes_allow("n", "head_n", percent)).groupBy("doc", "head").agg(F.count("*").alias("times"))
     best = shared.groupBy("doc").agg(F.max(F.struct("times", F.xxhash64("head", F.lit(turn)).alias("o"), "head")).alias("x")).select("doc", "x.head")
-    return best.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+    pairs = scratch.cut(best.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct(), "op5-pairs", first)
+    scratch.drop(id(second))
+    return pairs
 
 
-def _still_open(met: DataFrame, whole: DataFrame) -> DataFrame:
+def _still_open(met: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
     """met with each class's component, in the buckets that hold several, and main, the largest of them there."""
     placed = met.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("x")).filter("k > 1").select("key", F.col("x.c").alias("main"))
-    return cut(placed.join(cut(keys, "op5-open"), "key"), "op5-placed")
+    keys = scratch.cut(keys, "op5-open")
+    return scratch.cut(placed.join(keys, "key"), "op5-placed", keys)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    found = cut(features(docs), "op5-features")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; percent: the similarity that links."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, percent, scratch)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    found = scratch.cut(features(docs, math.prod(banding(percent))), "op5-features")
     first = found.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "cells")).alias("x"))
-    reps = cut(first.select("digest", "x.*"), "op5-classes")
+    reps = scratch.cut(first.select(F.monotonically_increasing_id().alias("doc"), "digest", "x.*"), "op5-classes")
+    found = scratch.cut(found.select("doc_id", "n_shingles", "digest"), "op5-rows", found)
 
-    crowded = cut(bands(reps).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "op5-crowded")
-    met = cut(bands(reps).join(crowded, "key"), "op5-met")  # only buckets where classes meet
+    crowded = scratch.cut(bands(reps, percent).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "op5-crowded")
+    met = scratch.cut(bands(reps, percent).join(crowded, "key"), "op5-met", crowded)  # only buckets where classes meet
     placed, links, turn, before = met.withColumn("c", F.col("doc")), None, 0, None
+    n_classes = reps.count()
     while True:
-        new = verified(stars(placed, turn), reps, docs)
-        links = new if links is None else cut(links.unionByName(new), "op5-all-links")
-        whole = components(links)
-        placed = _still_open(met, whole)
+        pairs = stars(placed, turn, percent, scratch)
+        new = verified(pairs, reps, docs, percent, scratch)
+        scratch.drop(id(pairs))
+        if links is None:
+            links = new
+        else:
+            links = scratch.cut(links.unionByName(new), "op5-all-links", links)
+            scratch.drop(id(new), id(whole), id(placed))
+        whole = components(links, scratch)
+        placed = _still_open(met, whole, scratch)
         rest = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("m")).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
         turn += 1
-        if rest <= PAIRS_PER_CLASS * reps.count() or (before is not None and 2 * rest > before):
+        if rest <= PAIRS_PER_CLASS * n_classes or (before is not None and 2 * rest > before):
             break
         before = rest
+    scratch.drop(id(met))
     placed = placed.withColumn("e", F.col("n"))
-    if rest > PAIRS_PER_CLASS * reps.count():
+    if rest > PAIRS_PER_CLASS * n_classes:
         # Many pairs are left: documents with too many shingles of their own can't link with any.
-        alone = shared_sizes(docs, placed.select(F.col("doc").alias("doc_id")).distinct())
-        placed = cut(placed.join(alone, "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e")).drop("u"), "op5-placed")
+        sets = scratch.cut(sets_of(docs, reps, placed.select("doc").distinct()), "op5-sets")
+        alone = scratch.cut(shared_sizes(sets), "op5-alone", sets)
+        placed = scratch.cut(placed.join(alone, "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e", percent)).drop("u"), "op5-placed")
     # A pair that shares several buckets comes from the first of them only.
-    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most BANDS
-    rows = cut(placed.join(keys, "doc").join(reps.select(F.col("doc_id").alias("doc"), "cells"), "doc"), "op5-rows")
+    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most one for each band
+    rows = scratch.cut(placed.join(keys, "doc").join(reps.select("doc", "cells"), "doc"), "op5-rows")
     left, right = (rows.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells")), *(["main"] if side == "p" else ())) for side in "pq")
-    pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe") & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key"))
-    across = left.filter("pc <> main").join(right, "key").filter(pair & cells_allow("pn", "pcells", "qn", "qcells"))
-    more = verified(across.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct(), reps, docs)
+    pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe", percent) & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key"))
+    across = left.filter("pc <> main").join(right, "key").filter(pair & cells_allow("pn", "pcells", "qn", "qcells", percent))
+    more = verified(across.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct(), reps, docs, percent, scratch)
     if not more.isEmpty():
-        whole = components(links.unionByName(more))
-    named = reps.select("digest", F.col("doc_id").alias("rep"), F.col("doc_id").alias("v")).join(whole, "v", "left")
-    # Smallest id reachable: classes are named after their smallest document.
-    named = cut(named.select("digest", F.coalesce("component", "rep").alias("component")), "op5-named")
-    out = found.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        whole = components(links.unionByName(more), scratch)
+    named = reps.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("digest", "doc_id", F.coalesce("component", "doc").alias("component"))
+    # Every class knows its smallest document, so a component does.
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("digest", "component").join(smallest, "component").select("digest", "component_id")
+    out = found.join(named, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "op5-result")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
