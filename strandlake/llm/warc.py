@@ -1,14 +1,16 @@
 """WARC archives with revisit resolution.
 
-Record headers (page id, payload digest) are shuffled by digest to find the
-record that keeps each payload; pages then join these owners, and one pass
-writes archives in which every payload is stored once, later copies being
-revisit records with fresh headers that refer to the response. Archives are
-written by Spark's text sink, a record per line of text ending in CR LF CR LF,
-so they are committed by task and land on any store that Spark can write;
-``maxRecordsPerFile`` bounds a file. Reading streams each file through a parser
-that follows Content-Length, checks every response's digest and never splits on
-payload contents.
+Record headers (page id, payload digest, size) are shuffled by digest to find
+the record that keeps each payload, and joined to it; what comes back to the
+pages is the list of revisits only, counted first and broadcast while it is
+small, so that payloads stay where they are. One pass for each class of sizes
+that occurs writes archives in which every payload is stored once, later copies
+being revisit records with fresh headers that refer to the response. Archives
+are written by Spark's text sink, a record per line of text ending in CR LF CR
+LF, so they are committed by task and land on any store that Spark can write; a
+file is one gzip stream and holds ``FILE_BYTES`` of payloads at most, or one
+record. Reading parses each file as it is decompressed, follows Content-Length,
+checks every response's digest and never splits on payload contents.
 
 Defined results: null html is the empty payload; null or blank url becomes
 urn:unknown, control characters and spaces in it are percent-encoded; of
@@ -30,10 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, shared_dir, table
+from strandlake.llm.common import BROADCAST_IDS, Scratch, forgotten, shared_dir, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_PER_FILE = 2000
+#: Payload bytes of a file at most, unless a single record has more, and the sizes up to which classes of payloads go.
+FILE_BYTES, SIZES = 64 << 20, (1 << 16, 1 << 20, 1 << 24)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
 
@@ -59,15 +62,20 @@ def owners(found: DataFrame, least: int = 0) -> DataFrame:
     return found.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("owner"))
 
 
+def revisits(keys: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, digest, owner of the records (page_id, digest, n) whose payload another one keeps, each pair once."""
+    big = keys.filter(F.col("n") >= least)
+    return big.join(owners(keys, least), "digest").filter("page_id <> owner").select("page_id", "digest", "owner").distinct()
+
+
 def _urn(page_id: Column) -> Column:
     h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit("null"))).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def records(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """One column, value: the text of each record without its last line feed."""
-    joined = found.join(kept, "digest", "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("owner"), F.lit(False))
+def records(joined: DataFrame) -> DataFrame:
+    """One column, value: the text of each record without its last line feed. joined: headers, and the owner of revisits."""
+    revisit = F.col("owner").isNotNull()
     uri = F.when(F.trim(F.coalesce("url", F.lit(""))) == "", F.lit("urn:unknown")).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -90,8 +98,22 @@ def records(found: DataFrame, kept: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes gzipped archives of all pages into the folder path, which must not exist."""
-    kept = cut(owners(headers(pages.select("page_id", F.lit(None).alias("url"), "html")), least), "op9-owners")
-    records(headers(pages), kept).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    every = headers(pages)
+    with Scratch(pages.sparkSession) as scratch:
+        keys = scratch.cut(every.select("page_id", "digest", "n"), "op9-headers")
+        again = scratch.cut(revisits(keys, least), "op9-revisits")
+        if again.count() <= BROADCAST_IDS:
+            again = F.broadcast(again)
+        edges = [-1, *SIZES, float("inf")]
+        low, high = edges[:-1], edges[1:]
+        found = keys.agg(*(F.count_if((F.col("n") > a) & (F.col("n") <= b)) for a, b in zip(low, high, strict=True))).first()
+        mode = "errorifexists"
+        for a, b, n in zip(low, high, found, strict=True):
+            if n or (a < 0 and not any(found)):  # no pages: an empty folder
+                own = every.filter((F.col("n") > a) & (F.col("n") <= b)).join(again, ["page_id", "digest"], "left")
+                per_file = max(1, int(FILE_BYTES // b)) if b < edges[-1] else 1
+                records(own).write.mode(mode).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+                mode = "append"
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,9 +163,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/op9-archives-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, forgotten(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _SQL_LETTERS = " || ".join(f"substr('{BASE32}', CAST((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
