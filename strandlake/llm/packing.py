@@ -141,7 +141,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 
 
 def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found (PIECE columns at least) with sequence_id and offset."""
+    """found (PIECE columns at least, a written table) with sequence_id and offset."""
     shards = max(1, math.ceil(found.count() / SHARD))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +150,9 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pdf.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
-    return found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
+    # Rows are dealt by their place in the table found, not by an id that many of them may share.
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return found.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
