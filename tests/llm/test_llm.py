@@ -1,6 +1,7 @@
 """Each operator on edge cases, and against brute force where SQL can't express it."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import minhash, packing, pieces, prefix_forest, quality, quality_rules, secret_ledger, substrings, toxicity, warc
+from strandlake.llm.common import Scratch
 from strandlake.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF, rows_of
 
@@ -198,6 +200,19 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert found[99] == found[20] != ""
 
 
+def test_a_ledger_that_holds_a_blob_twice(spark, tmp_path):
+    ledger = secret_ledger.SecretLedger(spark, str(tmp_path / "ledger"))
+    docs = frame(spark, SECRETS)
+    ledger.scan(docs)
+    ledger.rows().write.parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(ledger.path)  # as a scan at the same time would
+    out = secret_ledger.digest(ledger.scan(docs)).toPandas()
+    assert rows_of(out) == rows_of(secret_ledger.digest(secret_ledger.scan(docs)[0]).toPandas())
+    assert ledger.rows().count() == 2 * len(SECRETS)
+    other = ledger.rows().withColumn("rule_version", F.col("rule_version") + 1)
+    assert secret_ledger.scan(docs, other)[1].count() == len(SECRETS)  # found under other rules
+
+
 def test_redaction(spark, edge_docs):
     docs = edge_docs.unionByName(frame(spark, SECRETS))
     out = secret_ledger.redacted(docs)
@@ -251,6 +266,42 @@ def test_few_classes_are_all_met(spark, n):
     assert hits == total if n <= 400 else hits / total >= 0.97
 
 
+def share_and_recall(x, queries, k=20):
+    """Of numpy vectors: the share of the index that queries score, and the recall of the k nearest; as nearest() does it."""
+    norm = float(np.sqrt((x * x).sum(axis=1).max()))
+    forest, q = prefix_forest.Forest(x, norm), x[queries]
+    level = prefix_forest.first_level(forest.counts(q), k)
+
+    def found(level):
+        out = [at[np.argsort(-(x[at] @ v), kind="stable")][: k + 1] for v, at in zip(q, forest.met(q, level), strict=True)]
+        return out, np.array([(x[at] @ v)[-1] for v, at in zip(q, out, strict=True)])
+
+    near, last = found(level)
+    level = np.minimum(level, prefix_forest.safe_level(last, np.sqrt((q * q).sum(axis=1)), norm))
+    near, _ = found(level)
+    exact = [np.argsort(-(x @ v), kind="stable")[: k + 1] for v in q]
+    scored = sum(len(at) for at in forest.met(q, level)) / len(q) / len(x)
+    return scored, sum(len(np.intersect1d(a, b)) for a, b in zip(near, exact, strict=True)) / sum(map(len, exact))
+
+
+def test_recall_beside_the_share_scored():
+    r = np.random.default_rng(7)
+    for n in (10_000, 40_000):  # four times the index: 540 and 750 candidates
+        centres = r.standard_normal((n // 100, 64)) * 3
+        x = centres[r.integers(0, len(centres), n)] + 0.75 * r.standard_normal((n, 64))
+        share, recall = share_and_recall(x / np.sqrt((x * x).sum(axis=1))[:, None], np.arange(0, n, n // 100))
+        assert recall >= 0.9 and share * n < 1000, (n, share, recall)
+    x = np.stack(pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")["embedding"]).astype(float)
+    share, recall = share_and_recall(x, np.arange(0, len(x), 20))
+    assert recall >= 0.9 and share < 0.75, (share, recall)
+
+
+def test_repeated_rows_take_no_places(spark):
+    rows = [(20, [1.0, 0.5])] + [(5, [2.0, 1.0])] * 60 + [(6, [2.0, 1.0]), (7, [1.0, 0.0])]
+    got = prefix_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 5), (2, 6), (3, 7)]
+
+
 def test_prefix_ranges():
     tree = np.sort(np.random.default_rng(1).integers(0, 1 << prefix_forest.BITS, 300).astype(np.uint64))
     for q in tree[::50]:
@@ -309,11 +360,12 @@ def test_near_duplicates_equal_brute_force(spark, edge_docs):
 
 
 def test_pruning_bounds():
+    assert minhash.banding(85) == (32, 6) and minhash.banding(80)[1] == 5
     least = minhash.least_matches()
     assert least[0] == 0 and all(0 <= b - a <= 1 for a, b in zip(least, least[1:], strict=False))
     r = np.random.default_rng(2)
     for similarity, kept in ((0.85, True), (0.5, False)):
-        a = r.integers(0, 2**32, (300, minhash.PERMUTATIONS), dtype=np.uint32)
+        a = r.integers(0, 2**32, (300, math.prod(minhash.banding(85))), dtype=np.uint32)
         b = np.where(r.random(a.shape) < similarity, a, a + 1).astype(np.uint32)
         n = len(minhash.survives(a, b, least))
         assert n == 300 if kept else n == 0
@@ -322,7 +374,8 @@ def test_pruning_bounds():
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
-    got = {x["v"]: x["component"] for x in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {x["v"]: x["component"] for x in minhash.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     label = {v: v for e in edges for v in e}
     for _ in range(400):
         for a, b in edges:
@@ -330,6 +383,35 @@ def test_components(spark):
     assert got == {v: c for v, c in label.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
+    written, plain = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name, instead_of=None: (written.append(name), plain(self, df, name, instead_of))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(999)], "a long, b long")
+    with Scratch(spark) as scratch:
+        found = minhash.components(edges, scratch)
+        assert [tuple(x) for x in found.groupBy("component").count().collect()] == [(0, 1000)]
+    assert written.count("cc-graph") == 2 and written.count("cc-step") < 15
+
+
+def test_several_texts_of_an_id_are_linked_each_by_its_own(spark):
+    one, two = words(60, 41), words(60, 42)
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, " ".join(one[:-1])), (7, " ".join([*two[:-1], "x"])), (3, " ".join(words(60, 43))), (3, " ".join(two))]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == Counter([(5, 56, 5), (5, 56, 3), (6, 55, 5), (7, 56, 3), (3, 56, 3), (3, 56, 3)])
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_other_percentages_equal_brute_force(spark, percent):
+    rows = list(enumerate(copies(percent, 4, 30, 120, 9)))
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in combinations(sets, 2):
+            both = len(sets[a] & sets[b])
+            if parent[a] != parent[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), percent).collect()} == parent
+
+
 # ---- 6: pieces
 
 
@@ -465,6 +547,10 @@ def test_archives_round_trip(spark, tmp_path):
     for name in glob.glob(f"{path}/*.gz"):
         for fields, _ in warc.parse(io.BytesIO(gzip.open(name).read())):
             assert fields["warc-record-id"].startswith("<urn:uuid:") and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+    sizes = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate([1, 1 << 16, (1 << 16) + 1, 1 << 20, (1 << 20) + 1, 1 << 20])], "page_id long, url string, html string")
+    classes = str(tmp_path / "classes")
+    warc.write_archives(sizes, classes)
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(spark, classes).collect()) == [(0, 1, None), (1, 1 << 16, None), (2, (1 << 16) + 1, None), (3, 1 << 20, 5), (4, (1 << 20) + 1, None), (5, 1 << 20, None)]
     empty = str(tmp_path / "empty")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
@@ -482,7 +568,7 @@ def test_pipeline_stages(spark):
     scores = QUERIES["op1_quality_classifier"](spark, SF).filter("score >= 0.5").select("doc_id")
     assert rows_of(one.select("doc_id").toPandas()) == rows_of(scores.toPandas()) and one.columns == docs.columns
     two = p.near_dedup(spark, docs, SF).select("doc_id").toPandas()
-    assert rows_of(two) == rows_of(minhash.near_duplicates(docs).filter("kept").select("doc_id").toPandas())
+    assert rows_of(two) == rows_of(minhash.near_duplicates(docs, 80).filter("kept").select("doc_id").toPandas())
     three = p.substring_dedup(spark, docs, SF)
     left = three.select("doc_id", F.sha2(F.array_join(quality_rules.words(F.col("text")), " "), 256).alias("kept_sha256")).toPandas()
     assert rows_of(left) == rows_of(substrings.remove_repeats(docs).select("doc_id", "kept_sha256").toPandas())
