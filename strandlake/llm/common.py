@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Ids up to this many (tens of MB) may be broadcast after counting; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
