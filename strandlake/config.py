@@ -43,6 +43,7 @@ class SearchOptions:
     min_seeds: int = 3
     pooled: bool = False  # every query against every expansion, not only its own
     distinct_expansions: bool = True
+    merged_expansions: bool = False  # one expansion where those of a query touch
     load_coarse: bool = False  # keep the coarse tables in memory
     load_compressed: bool = False
 

@@ -4,12 +4,19 @@ A walk is a string read away from a seed: the part of a sequence to be aligned
 in the direction of extension, complemented where strands differ. So every
 kernel reads left to right, whatever the strands and directions; ``walks``
 makes the two strings. N agrees with nothing.
+
+What an extension does depends on the last square it aligned, so an extension
+is a generator that asks for squares. ``together`` runs many of them and aligns
+all squares asked for at a time in one set of array operations.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import Any
 
 import numpy as np
 
@@ -91,49 +98,98 @@ def ungapped(c: str, o: str, history: History, opts: CompressOptions) -> tuple[i
     return min(len(c), len(o)), False
 
 
-def square(c: str, o: str) -> tuple[list[list[int]], list[list[int]]]:
-    """Scores and moves (0 both, 1 coarse only, 2 original only) of global alignment of two short walks.
+Squares = Generator[tuple[str, str], "tuple[str, str, list[bool]] | None", Any]
+
+
+def squares(walks_: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and moves (0 both, 1 coarse only, 2 original only) of global alignment of pairs of short walks.
 
-    A tie prefers both, then the original's move.
+    Both are arrays (pairs, 1 + longest coarse, 1 + longest original); a tie
+    prefers both, then the original's move. Cells beyond a walk's end mean nothing.
     """
-    score = [[GAP * j for j in range(len(o) + 1)]]
-    move = [[0] + [2] * len(o)]
-    for i, a in enumerate(c, 1):
-        row, steps, above = [GAP * i], [1], score[-1]
-        for j, b in enumerate(o, 1):
-            both = above[j - 1] + (MATCH if a == b and a != "N" else MISMATCH)
-            up, left = above[j] + GAP, row[-1] + GAP
-            best = max(both, up, left)
-            row.append(best)
-            steps.append(0 if both == best else 2 if left == best else 1)
-        score.append(row)
-        move.append(steps)
+    cs, os_ = (np.array([len(w[k]) for w in walks_]) for k in (0, 1))
+    rows, columns = int(cs.max(initial=0)), int(os_.max(initial=0))
+    c, o = (np.frombuffer("".join(w[k].ljust(n, "N") for w in walks_).encode(), np.uint8).reshape(len(walks_), n) for k, n in ((0, rows), (1, columns)))
+    gain = np.where((c[:, :, None] == o[:, None, :]) & (c != ord("N"))[:, :, None], MATCH, MISMATCH).astype(np.int32)
+    n = len(walks_)
+    score, move = np.zeros((n, rows + 1, columns + 1), np.int32), np.zeros((n, rows + 1, columns + 1), np.uint8)
+    score[:, 0], score[:, :, 0] = GAP * np.arange(columns + 1), GAP * np.arange(rows + 1)
+    move[:, 0, 1:], move[:, 1:, 0] = 2, 1
+    # Cells of one antidiagonal, i + j = d, depend on those of the two before only.
+    wide = columns + 1
+    flat, flat_move, flat_gain = score.reshape(n, -1), move.reshape(n, -1), gain.reshape(n, -1)
+    for d in range(2, rows + columns + 1):
+        low, high = max(1, d - columns), min(rows, d - 1)
+        if low > high:
+            continue
+        # In a flat array the next cell of an antidiagonal is wide - 1 further on.
+        own = slice(low * wide + d - low, high * wide + d - high + 1, columns)
+        at = lambda shift: flat[:, own.start - shift : own.stop - shift : columns]
+        both = at(wide + 1) + flat_gain[:, (low - 1) * columns + d - low - 1 : (high - 1) * columns + d - high : max(1, columns - 1)]
+        left, up = at(1) + GAP, at(wide) + GAP
+        best = np.maximum(np.maximum(both, left), up)
+        flat[:, own] = best
+        flat_move[:, own] = np.where(both == best, 0, np.where(left == best, 2, 1))
     return score, move
 
 
+def square(c: str, o: str) -> tuple[np.ndarray, np.ndarray]:
+    score, move = squares([(c, o)])
+    return score[0], move[0]
+
+
+def all_gapped(walks_: list[tuple[str, str]], clump: int) -> Iterator[tuple[str, str, list[bool]] | None]:
+    """For each pair the aligned strings and outcomes of the best path to the far edge, cut back to its last run of ``clump`` matches."""
+    walks_ = [(c[:SQUARE], o[:SQUARE]) for c, o in walks_]
+    if not walks_:
+        return
+    score, move = squares(walks_)
+    n, last_row, last_column = np.arange(len(walks_)), *(np.array([len(w[k]) for w in walks_]) for k in (0, 1))
+    # The far edge: the last row, then the last column; of equal ones the last.
+    lowest = np.iinfo(np.int32).min
+    bottom = np.where(np.arange(score.shape[2]) <= last_column[:, None], score[n, last_row], lowest)
+    side = np.where(np.arange(score.shape[1]) <= last_row[:, None], score[n, :, last_column], lowest)
+    edge = np.concatenate([bottom, side], axis=1)
+    ends = (edge.shape[1] - 1 - np.argmax(edge[:, ::-1], axis=1)).tolist()
+    wide = move.shape[2]
+    for k, (c, o) in enumerate(walks_):
+        i, j = (len(c), ends[k]) if ends[k] < wide else (ends[k] - wide, len(o))
+        moves, columns = move[k].tobytes(), []
+        while i or j:
+            kind = moves[i * wide + j]
+            a, b = c[i - 1] if kind != 2 else "-", o[j - 1] if kind != 1 else "-"
+            columns.append((a, b, kind == 0 and a == b != "N"))
+            i, j = i - (kind != 2), j - (kind != 1)
+        columns.reverse()
+        end = run = 0
+        for at in range(len(columns) - 1, -1, -1):
+            run = run + 1 if columns[at][2] else 0
+            if run == clump:
+                end = at + clump
+                break
+        columns = columns[:end]
+        yield ("".join(x[0] for x in columns), "".join(x[1] for x in columns), [x[2] for x in columns]) if columns else None
+
+
 def gapped(c: str, o: str, clump: int) -> tuple[str, str, list[bool]] | None:
-    """Aligned strings and outcomes of the best path to the far edge, cut back to its last run of ``clump`` matches."""
-    c, o = c[:SQUARE], o[:SQUARE]
-    score, move = square(c, o)
-    edge = [(len(c), j) for j in range(len(o) + 1)] + [(i, len(o)) for i in range(len(c) + 1)]
-    i, j = max(reversed(edge), key=lambda x: score[x[0]][x[1]])  # of equal ones the last
-    columns = []
-    while i or j:
-        kind = move[i][j]
-        before = (i - (kind != 2), j - (kind != 1))
-        columns.append((c[i - 1] if kind != 2 else "-", o[j - 1] if kind != 1 else "-", score[i][j] > score[before[0]][before[1]] and kind == 0))
-        i, j = before
-    columns.reverse()
-    end, run = len(columns), 0
-    for k in range(len(columns) - 1, -1, -1):
-        run = run + 1 if columns[k][2] else 0
-        if run == clump:
-            end = k + clump
-            break
-    if run < clump or not end:
-        return None
-    columns = columns[:end]
-    return "".join(x[0] for x in columns), "".join(x[1] for x in columns), [x[2] for x in columns]
+    return next(all_gapped([(c, o)], clump))
+
+
+def together(tasks: Iterable[Squares], clump: int, at_once: int = 2000) -> Iterator[Any]:
+    """What each task returns, in order; at most ``at_once`` tasks run at a time."""
+    tasks = iter(tasks)
+    while group := list(islice(tasks, at_once)):
+        results: list[Any] = [None] * len(group)
+        answers: dict[int, Any] = dict.fromkeys(range(len(group)))
+        while answers:
+            asked = {}
+            for k, answer in answers.items():
+                try:
+                    asked[k] = group[k].send(answer)
+                except StopIteration as stop:
+                    results[k] = stop.value
+            answers = dict(zip(asked, all_gapped(list(asked.values()), clump), strict=True))
+        yield from results
 
 
 @dataclass
@@ -146,7 +202,7 @@ class Extension:
     org_used: int = 0
 
 
-def extend(c: str, o: str, opts: CompressOptions) -> Extension:
+def extension(c: str, o: str, opts: CompressOptions) -> Squares:
     """Alternates comparison without gaps and small gapped squares until a window is bad or a walk ends."""
     history, out, parts = History(opts), Extension(), []
     columns = 0
@@ -159,7 +215,7 @@ def extend(c: str, o: str, opts: CompressOptions) -> Extension:
         out.org_used += n
         if bad:
             break
-        found = gapped(rest_c[n:], rest_o[n:], opts.consec_match_clump_size)
+        found = yield rest_c[n : n + SQUARE], rest_o[n : n + SQUARE]
         if found is None or history.take(found[2]) < len(found[2]):
             break
         parts.append(found[:2])
@@ -170,6 +226,10 @@ def extend(c: str, o: str, opts: CompressOptions) -> Extension:
     return out
 
 
+def extend(c: str, o: str, opts: CompressOptions) -> Extension:
+    return next(together([extension(c, o, opts)], opts.consec_match_clump_size))
+
+
 @dataclass
 class Match:
     """Inclusive ends on both sequences, strand, and the aligned strings in coarse orientation."""
@@ -183,9 +243,9 @@ class Match:
     org: str
 
 
-def match_at(coarse: str, at: int, org: str, pos: int, forward: bool, opts: CompressOptions, org_from: int = 0, org_to: int | None = None, k: int | None = None) -> Match | None:
-    """The match around the k-mer at coarse[at] and org[pos], if it is long enough; org is used within [org_from, org_to)."""
-    k = k or opts.map_seed_size
+def match_at(coarse: str, at: int, org: str, pos: int, forward: bool, opts: CompressOptions, org_from: int = 0, org_to: int | None = None) -> Squares:
+    """Gives the Match around the k-mer at coarse[at] and org[pos], or None if it is not long enough; org is used within [org_from, org_to)."""
+    k = opts.map_seed_size
     org_to = len(org) if org_to is None else org_to
     section, pos = org[org_from:org_to], pos - org_from
     step = 1 if forward else -1
@@ -194,7 +254,8 @@ def match_at(coarse: str, at: int, org: str, pos: int, forward: bool, opts: Comp
     down = walks(coarse, at, -1, section, pos if forward else pos + k - 1, -step)
     if cheap_extension(*up, opts) + cheap_extension(*down, opts) <= opts.min_progress:
         return None
-    high, low = extend(*up, opts), extend(*down, opts)
+    high = yield from extension(*up, opts)
+    low = yield from extension(*down, opts)
     if high.org_used + low.org_used + k - 1 < opts.min_match_len:
         return None
     seed = coarse[at : at + k]

@@ -15,3 +15,8 @@ def chunk_windows(seqs: DataFrame, size: int, overlap: int) -> DataFrame:
     start = F.col("chunk_no") * step
     end = F.least(start + size, F.length("residues"))
     return own.select("seq_id", "chunk_no", start.alias("start"), end.cast("int").alias("end"), F.col("residues").substr(start + 1, F.lit(size)).alias("residues"))
+
+
+def dealt(df: DataFrame, *keys: str, times: int = 4) -> DataFrame:
+    """df over several tasks for each shuffle partition: for rows that take long for their size, which Spark would put into few tasks."""
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -1,13 +1,14 @@
 """Compression: representative (coarse) pieces, and links with edit scripts to them.
 
 ``batch`` is the scalable form. Sequences are cut into chunks; equal chunks
-collapse; chunks that share capped k-mers (longer than seeds) become candidates of one another, an
-edge pointing to the smaller id. Chunks without an edge to a smaller one are
-representatives at once, together with all coarse pieces of an existing
-database; every other chunk is aligned against the representative it shares
-most k-mers with. Where a long enough match is accepted, the chunk becomes a
-link; what a match leaves over, and chunks without one, become coarse pieces of
-their own. Nothing depends on the order of execution.
+collapse; chunks that share a sample of long k-mers on a diagonal are neighbours.
+In rounds, chunks that come before all their undecided neighbours, in an order
+by hash, become representatives, and their neighbours are covered by them, until
+every chunk is one or the other. A covered chunk is aligned, from seeds of the
+size asked for, against the representative, or the coarse piece of an existing
+database, that it shares most k-mers with. Every long enough match that is
+accepted, one after the other, becomes a link; what matches leave over becomes
+coarse pieces of its own. Nothing depends on the order of execution.
 
 ``serial`` covers one sequence after the other in one task, each against all
 coarse pieces before it, first match first: for small inputs and tests.
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +29,20 @@ from pyspark.sql.window import Window
 
 from strandlake.config import CompressOptions
 from strandlake.functions.edits import apply_script, reverse_complement, script_of
-from strandlake.operators.align import Match, match_at
-from strandlake.operators.chunks import chunk_windows
-from strandlake.operators.kmers import sample_hits, sampled
+from strandlake.operators.align import Match, Squares, match_at, together
+from strandlake.operators.chunks import chunk_windows, dealt
+from strandlake.operators.kmers import codes, sample_hits, sampled
 
 LINKS = "seq_id long, link_no int, coarse_id long, original_start long, original_end long, coarse_start int, coarse_end int, fwd boolean, script string"
 COARSE = "coarse_id long, residues string, length int"
 PIECES = "chunk_id long, start int, end int, coarse_id long, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
 #: Chunks of one sequence are numbered below this; so are the coarse pieces cut from one chunk.
-PER_SEQUENCE, PER_CHUNK = 1 << 20, 4
+PER_SEQUENCE, PER_CHUNK = 1 << 20, 1 << 10
 #: K-mers that make chunks candidates: long ones, as short ones are everywhere in a large
 #: collection, and one in RATE of them, chosen by content.
 CANDIDATE_K, RATE = 20, 8
+#: Diagonals of a band in which samples are counted and seeds looked for.
+BAND = 64
 #: A seed on a diagonal that was refused is not tried again within so many bases.
 SKIP = 32
 
@@ -51,32 +55,100 @@ def kmer_places(seq: str, k: int) -> dict[str, list[int]]:
     return found
 
 
-def first_match(org: str, coarse: str, opts: CompressOptions, k: int | None = None) -> Match | None:
-    """The first acceptable match by position in org, forward before reverse; a refused diagonal rests for SKIP bases."""
-    k, refused = k or opts.map_seed_size, {}
-    places = kmer_places(coarse, k)
+def nothing() -> Squares:
+    return []
+    yield
+
+
+def seeds(org: str, coarse: str, k: int, bands: set[tuple[bool, int]]) -> list[tuple[int, bool, int]]:
+    """(pos in org, whether forward, place in coarse) of equal k-mers in the given bands of diagonals, by pos, forward ones first."""
+    o, reverse = codes(org, k)
+    c, _ = codes(coarse, k)
+    out = []
+    for forward, band in sorted(bands):
+        own = o if forward else reverse
+        for d in range(band * BAND, (band + 1) * BAND):
+            # at = pos + d, or on the other strand at = d - pos.
+            lo, hi = (max(0, -d), min(len(o), len(c) - d)) if forward else (max(0, d - len(c) + 1), min(len(o), d + 1))
+            if lo >= hi:
+                continue
+            other = c[lo + d : hi + d] if forward else c[d - hi + 1 : d - lo + 1][::-1]
+            at = np.flatnonzero((own[lo:hi] == other) & (other >= 0)) + lo
+            out += [(p, forward, p + d if forward else d - p) for p in at.tolist()]
+    return sorted(out, key=lambda x: (x[0], not x[1], x[2]))
+
+
+def _every_seed(org: str, coarse: str, opts: CompressOptions) -> Iterator[tuple[int, bool, int]]:
+    places, k = kmer_places(coarse, opts.map_seed_size), opts.map_seed_size
     for pos in range(len(org) - k + 1):
         word = org[pos : pos + k]
         for forward, key in ((True, word), (False, reverse_complement(word))):
             for at in places.get(key, ())[: opts.max_kmer_freq]:
-                diagonal = (forward, (at - pos if forward else at + pos) // 16)
-                if pos < refused.get(diagonal, 0):
-                    continue
-                if found := match_at(coarse, at, org, pos, forward, opts, k=k):
-                    return found
-                refused[diagonal] = pos + SKIP
-    return None
-
-
-def pieces_of(org: str, coarse: str, coarse_id: int, opts: CompressOptions, k: int | None = None) -> list[tuple]:
-    """(start, end exclusive, coarse_id or None, coarse_start, coarse_end, fwd, script): a cover of org."""
-    found = first_match(org, coarse, opts, k)
-    if found is None:
-        return [(0, len(org), None, 0, len(org) - 1, True, "")]
-    link = (found.original_start, found.original_end + 1, coarse_id, found.coarse_start, found.coarse_end, found.forward, script_of(found.org, found.coarse))
-    before = [(0, link[0], None, 0, link[0] - 1, True, "")] if link[0] else []
-    after = [(link[1], len(org), None, 0, len(org) - link[1] - 1, True, "")] if link[1] < len(org) else []
-    return [*before, link, *after]
+                yield pos, forward, at
+
+
+def matches(org: str, coarse: str, opts: CompressOptions, most: int | None = None, bands: set[tuple[bool, int]] | None = None) -> Squares:
+    """Gives acceptable matches, at most ``most``, by position in org and without overlap there, forward before
+    reverse, from seeds on all diagonals or in some bands; a refused diagonal rests for SKIP bases."""
+    found, covered = [], 0
+    refused: dict[tuple, int] = {}
+    for pos, forward, at in _every_seed(org, coarse, opts) if bands is None else seeds(org, coarse, opts.map_seed_size, bands):
+        diagonal = (forward, (at - pos if forward else at + pos) // 16)
+        if pos < covered or pos < refused.get(diagonal, 0):
+            continue
+        if one := (yield from match_at(coarse, at, org, pos, forward, opts, covered)):
+            found.append(one)
+            if len(found) == most:
+                break
+            covered = one.original_end + 1
+        else:
+            refused[diagonal] = pos + SKIP
+    return found
+
+
+def first_match(org: str, coarse: str, opts: CompressOptions) -> Match | None:
+    return next(iter(next(together([matches(org, coarse, opts, 1)], opts.consec_match_clump_size))), None)
+
+
+def cover(org: str, found: list[Match], coarse_id: int | None) -> list[tuple]:
+    """(start, end exclusive, coarse_id or None, coarse_start, coarse_end, fwd, script): matches, and what they leave over."""
+    out, at = [], 0
+    literal = lambda start, end: (start, end, None, 0, end - start - 1, True, "")
+    for m in found:
+        if m.original_start > at:
+            out.append(literal(at, m.original_start))
+        at = m.original_end + 1
+        out.append((m.original_start, at, coarse_id, m.coarse_start, m.coarse_end, m.forward, script_of(m.org, m.coarse)))
+    return [*out, literal(at, len(org))] if at < len(org) or not out else out
+
+
+def pieces_of(org: str, coarse: str, coarse_id: int, opts: CompressOptions) -> list[tuple]:
+    return cover(org, next(together([matches(org, coarse, opts)], opts.consec_match_clump_size)), coarse_id)
+
+
+def heads_of(edges: DataFrame, cut) -> DataFrame:
+    """(v, head) for each end of edges (a, b): representatives, none of which is another's neighbour, and each other node next to one.
+
+    Rounds of Luby's algorithm: the order by hash makes them logarithmic.
+    """
+    order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("v"))
+    left = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "head-edges")
+    decided = None
+    while True:
+        least = left.groupBy(F.col("a").alias("v")).agg(F.min(order("b")).alias("least"))
+        heads = cut(least.filter(order("v") < F.col("least")).select("v"), "heads")
+        covered = left.join(heads.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+        now = heads.select("v", F.lit(True).alias("head")).unionByName(covered.select("v", F.lit(False).alias("head")))
+        every = left.select(F.col("a").alias("v")).distinct()
+        decided = cut(now if decided is None else decided.unionByName(now), "decided")
+        gone = decided.select("v")
+        rest = left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti")
+        # A node all of whose neighbours are covered is its own head.
+        alone = every.join(gone, "v", "left_anti").join(rest.join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select(F.col("a").alias("v")), "v", "left_anti")
+        decided = cut(decided.unionByName(alone.select("v", F.lit(True).alias("head"))), "decided")
+        left = cut(rest.join(gone.withColumnRenamed("v", "b"), "b", "left_anti"), "head-edges")
+        if left.isEmpty():
+            return decided
 
 
 def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,39 +158,57 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
     firsts = chunks.groupBy("key").agg(F.min("chunk_id").alias("chunk_id"))
     distinct = cut(chunks.join(firsts, ["key", "chunk_id"], "left_semi").select("chunk_id", "key", "residues"), "distinct-chunks")
 
-    k = max(opts.map_seed_size, CANDIDATE_K)
+    k = CANDIDATE_K
     marks = cut(sampled(distinct, k, RATE, "chunk_id"), "chunk-marks")
     hits = sample_hits(marks, marks.withColumnRenamed("chunk_id", "other"), opts.max_kmer_freq, "chunk_id", "other").filter("other < chunk_id")
     # A match leaves its k-mers on neighbouring diagonals.
-    band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / 64)
+    band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / BAND)
     enough = max(2, opts.min_match_len // (RATE * 8))
-    edges = hits.groupBy("chunk_id", "other", "fwd", band.alias("band")).agg(F.count("*").alias("n")).groupBy("chunk_id", "other").agg(F.max("n").alias("n")).filter(F.col("n") >= enough)
-    edges = cut(edges, "chunk-edges")
-    heads = distinct.join(edges.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id")
-    to_heads = edges.join(heads.select(F.col("chunk_id").alias("other")), "other").select("chunk_id", F.col("other").alias("target"), "n", F.lit(1).alias("kind"))
+
+    def near_pairs(found: DataFrame, other: str) -> DataFrame:
+        """chunk_id, other, n, bands: pairs with enough samples in a band, and all bands with some, at most as many as samples of a chunk."""
+        by_band = found.groupBy("chunk_id", other, "fwd", band.alias("band")).agg(F.count("*").alias("n"))
+        return by_band.groupBy("chunk_id", other).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("fwd", "band"))).alias("bands")).filter(F.col("n") >= enough)
+
+    edges = cut(near_pairs(hits, "other"), "chunk-edges")
     texts = distinct.select(F.col("chunk_id").alias("target"), F.lit(1).alias("kind"), F.col("residues").alias("target_residues"))
+    known = None
     if coarse is not None:
-        known = sample_hits(marks, sampled(coarse, k, RATE, "coarse_id"), opts.max_kmer_freq, "chunk_id", "coarse_id")
-        near = known.groupBy("chunk_id", "coarse_id").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
-        to_heads = to_heads.unionByName(near.select("chunk_id", F.col("coarse_id").alias("target"), "n", F.lit(0).alias("kind")))
+        met = sample_hits(marks, sampled(coarse, k, RATE, "coarse_id"), opts.max_kmer_freq, "chunk_id", "coarse_id")
+        known = cut(near_pairs(met, "coarse_id"), "chunk-known")
         texts = texts.unionByName(coarse.select(F.col("coarse_id").alias("target"), F.lit(0).alias("kind"), F.col("residues").alias("target_residues")))
-    best = to_heads.groupBy("chunk_id").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"), (-F.col("target")).alias("t"))).alias("x"))
-    best = cut(best.select("chunk_id", (-F.col("x.t")).alias("target"), (-F.col("x.k")).alias("kind")), "chunk-targets")
+        # Chunks near the database go to it; only whole chunks can be representatives.
+        near = known.select("chunk_id").distinct()
+        edges = cut(edges.join(near, "chunk_id", "left_anti").join(near.withColumnRenamed("chunk_id", "other"), "other", "left_anti"), "chunk-edges")
+    roles = heads_of(edges.select(F.col("chunk_id").alias("a"), F.col("other").alias("b")), cut)
+    # Seen from the other chunk, forward diagonals are negative, and those of a band lie in two.
+    turned = F.flatten(F.transform("bands", lambda x: F.when(x["fwd"], F.array(F.struct(x["fwd"].alias("fwd"), (-x["band"] - 1).alias("band")), F.struct(x["fwd"].alias("fwd"), (-x["band"]).alias("band")))).otherwise(F.array(x))))
+    both = edges.select("chunk_id", "other", "n", "bands").union(edges.select("other", "chunk_id", "n", turned))
+    to_heads = both.join(roles.filter("head").select(F.col("v").alias("other")), "other").select("chunk_id", F.col("other").alias("target"), "n", F.lit(1).alias("kind"), "bands")
+    if known is not None:
+        to_heads = to_heads.unionByName(known.select("chunk_id", F.col("coarse_id").alias("target"), "n", F.lit(0).alias("kind"), "bands"))
+    best = to_heads.groupBy("chunk_id").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"), (-F.col("target")).alias("t"), "bands")).alias("x"))
+    best = cut(best.select("chunk_id", (-F.col("x.t")).alias("target"), (-F.col("x.k")).alias("kind"), "x.bands"), "chunk-targets")
     # Targets of chunk edges keep their chunk's number as coarse_id; those of a database their own.
     paired = distinct.join(best, "chunk_id", "left").join(texts, ["target", "kind"], "left")
 
+    def around(bands: list) -> set[tuple[bool, int]]:
+        """The bands and those beside them."""
+        return {(bool(x["fwd"]), int(x["band"]) + d) for x in bands for d in (-1, 0, 1)}
+
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples():
+            tasks = (nothing() if r.target_residues is None else matches(r.residues, r.target_residues, opts, None, around(r.bands)) for r in pdf.itertuples())
+            for r, found in zip(pdf.itertuples(), together(tasks, opts.consec_match_clump_size, 200), strict=True):
                 target = None if r.target_residues is None else int(r.target) * (PER_CHUNK if r.kind == 1 else 1)
-                own = [(0, len(r.residues), None, 0, len(r.residues) - 1, True, "")] if target is None else pieces_of(r.residues, r.target_residues, target, opts, k)
-                for i, (start, end, cid, *rest) in enumerate(own):
+                for i, (start, end, cid, *rest) in enumerate(cover(r.residues, found, target)):
                     literal = cid is None
                     rows.append((r.chunk_id, start, end, r.chunk_id * PER_CHUNK + i if literal else cid, *rest, r.residues[start:end] if literal else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    pieces = cut(paired.select("chunk_id", "residues", "target", "kind", "target_residues").mapInPandas(align, PIECES), "pieces")
+    paired = dealt(paired.select("chunk_id", "residues", "target", "kind", "bands", "target_residues"), "chunk_id")
+    pieces = cut(paired.mapInPandas(align, PIECES), "pieces")
     new = pieces.filter("residues is not null").select("coarse_id", "residues", F.length("residues").alias("length"))
     named = chunks.select("seq_id", F.col("start").alias("at"), "key", "chunk_no").join(distinct.select("key", "chunk_id"), "key")
     placed = named.join(pieces.drop("residues"), "chunk_id").select("seq_id", (F.col("at") + F.col("start")).cast("long").alias("original_start"), (F.col("at") + F.col("end") - 1).cast("long").alias("original_end"), "coarse_id", "coarse_start", "coarse_end", "fwd", "script", "chunk_no")
@@ -155,7 +245,7 @@ def serial(seqs: DataFrame, opts: CompressOptions, cut) -> tuple[DataFrame, Data
                         diagonal = (c, forward, (at - pos if forward else at + pos) // 16)
                         if c >= before or pos < refused.get(diagonal, 0):  # a sequence does not match itself
                             continue
-                        found = match_at(coarse[c], at, org, pos, forward, opts, covered, min(len(org), covered + 2 * opts.max_chunk_size))
+                        found = next(together([match_at(coarse[c], at, org, pos, forward, opts, covered, min(len(org), covered + 2 * opts.max_chunk_size))], opts.consec_match_clump_size))
                         if found:
                             break
                         refused[diagonal] = pos + SKIP

@@ -304,7 +304,7 @@ def expansion_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cut(derived(spark, sf_dir), "seqs")
     links, coarse = compress.batch(own.select("seq_id", "residues"), CompressOptions(), cut)
     ranges = _bounds(spark, sf_dir).filter("exp_start <= exp_end").select("seq_id", "exp_start", "exp_end").distinct()
-    return search.expansion_residues(ranges, links, coarse).select("seq_id", "exp_start", "exp_end", "residues")
+    return search.expansion_residues(ranges, links, coarse, cut).select("seq_id", "exp_start", "exp_end", "residues")
 
 
 # ---- edit scripts and compression
