@@ -7,8 +7,6 @@ Words are runs of characters other than ASCII white space
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.scratch import file_system, temporary
+
 U64 = np.uint64
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Ids up to this many (tens of MB) may be broadcast after counting; beyond it the join shuffles.
@@ -26,33 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is set a local one is made, if Spark runs in this process only (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def forgotten(spark: SparkSession, path: str) -> str:
-    """path, which goes when the application ends."""
-    files, hadoop = _folder(spark, path)
-    files.deleteOnExit(hadoop)
-    return path
-
-
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     # Batches of whole texts are what a Python worker's memory goes into. The size
     # is read when a plan with Python in it is made: this one's, and none that
     # another thread makes meanwhile, as each session has its own settings.
@@ -62,7 +38,7 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, batch)
-    return spark.read.schema(df.schema).parquet(forgotten(spark, path)), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -95,7 +71,7 @@ class Scratch:
 
     def drop(self, *keys: int) -> None:
         for key in keys:
-            files, hadoop = _folder(self.spark, self.paths.pop(key)[1])
+            files, hadoop = file_system(self.spark, self.paths.pop(key)[1])
             files.delete(hadoop, True)
 
 

@@ -25,14 +25,14 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import BROADCAST_IDS, Scratch, forgotten, shared_dir, table
+from strandlake.llm.common import BROADCAST_IDS, Scratch, table
+from strandlake.scratch import temporary
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payload bytes of a file at most, unless a single record has more, and the sizes up to which classes of payloads go.
@@ -161,9 +161,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/op9-archives-{uuid.uuid4().hex}"
+    path = temporary(spark, "op9-archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, forgotten(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _SQL_LETTERS = " || ".join(f"substr('{BASE32}', CAST((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
