@@ -41,6 +41,8 @@ class SearchOptions:
     link_block_size: int = 30_000
     word_size: int = 11
     min_seeds: int = 3
+    band: int = 32  # diagonals whose seeds count together
+    karlin_k: float = 0.4  # the factor of e-values
     pooled: bool = False  # every query against every expansion, not only its own
     distinct_expansions: bool = True
     merged_expansions: bool = False  # one expansion where those of a query touch

@@ -93,3 +93,17 @@ def be_bytes(n: Column | str, width: int = 8) -> Column:
 
 def be_int(packed: Column | str) -> Column:
     return F.conv(F.hex(_col(packed)), 16, 10).cast("long")
+
+
+def mask(bits: int) -> Column:
+    """A number whose lowest bits, up to 63 of them, are set."""
+    return F.lit((1 << bits) - 1).cast("long")
+
+
+def shift_left(n: Column | str, bits: int) -> Column:
+    return F.shiftleft(_col(n).cast("long"), bits)
+
+
+def shift_right(n: Column | str, bits: int) -> Column:
+    """Without the sign: zeros come in from the left."""
+    return F.shiftrightunsigned(_col(n).cast("long"), bits)

@@ -2,8 +2,8 @@
 
 ``batch`` is the scalable form. Sequences are cut into chunks; equal chunks
 collapse; chunks that share a sample of long k-mers on a diagonal are neighbours.
-In rounds, chunks that come before all their undecided neighbours, in an order
-by hash, become representatives, and their neighbours are covered by them, until
+In rounds, chunks that come before all their undecided neighbours, those with
+most in common with neighbours first, become representatives, and their neighbours are covered by them, until
 every chunk is one or the other. A covered chunk is aligned, from seeds of the
 size asked for, against the representative, or the coarse piece of an existing
 database, that it shares most k-mers with. Every long enough match that is
@@ -127,16 +127,21 @@ def pieces_of(org: str, coarse: str, coarse_id: int, opts: CompressOptions) -> l
 
 
 def heads_of(edges: DataFrame, cut) -> DataFrame:
-    """(v, head) for each end of edges (a, b): representatives, none of which is another's neighbour, and each other node next to one.
+    """(v, head) for each end of edges (a, b, n): representatives, none of which is another's neighbour, and each other node next to one.
 
-    Rounds of Luby's algorithm: the order by hash makes them logarithmic.
+    Rounds of Luby's algorithm. Nodes with most in common with their neighbours,
+    in powers of two, come first, others in an order by hash; so rounds are
+    logarithmic for each power.
     """
-    order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("v"))
-    left = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "head-edges")
+    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n")).distinct()
+    weight = both.groupBy(F.col("a").alias("v")).agg(F.floor(F.log2(F.sum("n"))).alias("w"))
+    placed = cut(weight.select("v", F.struct((-F.col("w")).alias("w"), F.xxhash64("v").alias("o"), "v").alias("p")), "head-order")
+    ends = [placed.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
+    left = cut(both.select("a", "b").join(ends[0], "a").join(ends[1], "b"), "head-edges")
     decided = None
     while True:
-        least = left.groupBy(F.col("a").alias("v")).agg(F.min(order("b")).alias("least"))
-        heads = cut(least.filter(order("v") < F.col("least")).select("v"), "heads")
+        least = left.groupBy(F.col("a").alias("v")).agg(F.first("pa").alias("p"), F.min("pb").alias("least"))
+        heads = cut(least.filter("p < least").select("v"), "heads")
         covered = left.join(heads.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
         now = heads.select("v", F.lit(True).alias("head")).unionByName(covered.select("v", F.lit(False).alias("head")))
         every = left.select(F.col("a").alias("v")).distinct()
@@ -180,7 +185,7 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
         # Chunks near the database go to it; only whole chunks can be representatives.
         near = known.select("chunk_id").distinct()
         edges = cut(edges.join(near, "chunk_id", "left_anti").join(near.withColumnRenamed("chunk_id", "other"), "other", "left_anti"), "chunk-edges")
-    roles = heads_of(edges.select(F.col("chunk_id").alias("a"), F.col("other").alias("b")), cut)
+    roles = heads_of(edges.select(F.col("chunk_id").alias("a"), F.col("other").alias("b"), "n"), cut)
     # Seen from the other chunk, forward diagonals are negative, and those of a band lie in two.
     turned = F.flatten(F.transform("bands", lambda x: F.when(x["fwd"], F.array(F.struct(x["fwd"].alias("fwd"), (-x["band"] - 1).alias("band")), F.struct(x["fwd"].alias("fwd"), (-x["band"]).alias("band")))).otherwise(F.array(x))))
     both = edges.select("chunk_id", "other", "n", "bands").union(edges.select("other", "chunk_id", "n", turned))

@@ -90,25 +90,25 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def seed_places(seqs: DataFrame, k: int, key: str = "seq_id", step: int = 1) -> DataFrame:
-    """h, key, pos: every place of each k-mer."""
+def seed_places(seqs: DataFrame, k: int, key: str = "seq_id", step: int = 1, drop_last: bool = False) -> DataFrame:
+    """h, key, pos: every place of each k-mer; drop_last leaves out the last one of each sequence, as some indexes do."""
 
 
     def places(seq: str) -> dict[str, np.ndarray]:
-        h = codes(seq, k)[0][::step]
+        h = codes(seq[:-1] if drop_last else seq, k)[0][::step]
         at = np.flatnonzero(h >= 0)
         return {"h": h[at], "pos": (at * step).astype(np.int32)}
 
     return _numbered(seqs, key, f"{key} {_type_of(seqs, key)}, h long, pos int", places).select("h", key, "pos")
 
 
-def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1) -> DataFrame:
+def seed_table(seqs: DataFrame, k: int, most: int, key: str = "seq_id", step: int = 1, drop_last: bool = False) -> DataFrame:
     """h, key, pos, rn: at most ``most`` places of each k-mer, the first by key and position.
 
     The limit is part of the index's meaning; Spark applies it in each map task
     before the shuffle as well, so a k-mer that is everywhere stays small.
     """
-    ranked = seed_places(seqs, k, key, step).withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
+    ranked = seed_places(seqs, k, key, step, drop_last).withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy(key, "pos")))
     return ranked.filter(F.col("rn") <= most)
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from strandlake.config import CompressOptions, SearchOptions
 from strandlake.functions import dna, edits
 from strandlake.operators import align, compress, intervals, kmers, prefix, search
-from strandlake.operators.chunks import chunk_windows
-from strandlake.plans.database import Database, scratch
+from strandlake.operators.chunks import chunk_windows, dealt
+from strandlake.plans.database import Database
+from strandlake.scratch import scratch, temporary
 from strandlake.sources import blast_xml, fasta, psl
 
 K, CAP = 10, 500
@@ -30,15 +31,19 @@ SEQS_SQL = f"""seqs AS (
   SELECT doc_id AS seq_id, 'doc' || CAST(doc_id AS VARCHAR) AS name,
     regexp_replace(translate(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g'), '{LETTERS}', '{CODES}'), '[^ACGT]', 'N', 'g') AS residues
   FROM documents)"""
-KMERS_SQL = f""", tiles AS (
-  SELECT seq_id, substr(residues, CAST(t * 256 + 1 AS INTEGER), 256 + {K} - 1) AS tile, t * 256 AS base
-  FROM (SELECT seq_id, residues, unnest(range(0, (length(residues) - {K}) // 256 + 1)) AS t FROM seqs WHERE length(residues) >= {K})),
+def kmers_sql(k: int) -> str:
+    return f""", tiles AS (
+  SELECT seq_id, substr(residues, CAST(t * 256 + 1 AS INTEGER), 256 + {k} - 1) AS tile, t * 256 AS base
+  FROM (SELECT seq_id, residues, unnest(range(0, (length(residues) - {k}) // 256 + 1)) AS t FROM seqs WHERE length(residues) >= {k})),
 kmers AS (
-  SELECT seq_id, substr(tile, CAST(i + 1 AS INTEGER), {K}) AS kmer, base + i AS pos
-  FROM (SELECT seq_id, tile, base, unnest(range(0, length(tile) - {K} + 1)) AS i FROM tiles)),
+  SELECT seq_id, substr(tile, CAST(i + 1 AS INTEGER), {k}) AS kmer, base + i AS pos
+  FROM (SELECT seq_id, tile, base, unnest(range(0, length(tile) - {k} + 1)) AS i FROM tiles)),
 clean AS (SELECT * FROM kmers WHERE NOT contains(kmer, 'N'))"""
 
 
+KMERS_SQL = kmers_sql(K)
+
+
 def _hash_sql(kmer: str, k: int = K) -> str:
     return "(" + " + ".join(f"CAST(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1 AS BIGINT) * {4**i}" for i in range(k)) + ")"
 
@@ -100,11 +105,22 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).select("seq_id", dna.revcomp("residues").alias("rc"))
 
 
-@query(" SELECT seq_id, CAST(strpos('ACGT', substr(residues, 1, 1)) - 1 AS INTEGER) AS value, CASE WHEN length(residues) > 1 THEN substr(residues, 1, 1) = substr(residues, 2, 1) AND substr(residues, 1, 1) <> 'N' ELSE false END AS pairs FROM seqs WHERE residues <> ''")
+_BASES_SQL = """, spots AS (
+  SELECT seq_id, substr(tile, CAST(i + 1 AS INTEGER), 1) AS x, substr(tile, CAST(i + 2 AS INTEGER), 1) AS y
+  FROM (SELECT seq_id, tile, unnest(range(0, least(256, length(residues) - t * 256))) AS i
+    FROM (SELECT seq_id, residues, t, substr(residues, CAST(t * 256 + 1 AS INTEGER), 257) AS tile
+      FROM (SELECT seq_id, residues, unnest(range(0, (length(residues) - 1) // 256 + 1)) AS t FROM seqs WHERE residues <> ''))))"""
+
+
+@query(_BASES_SQL + """ SELECT seq_id, CAST(sum(strpos('ACGT', x) - 1) AS BIGINT) AS total, CAST(count(*) FILTER (x = y AND x <> 'N') AS BIGINT) AS same,
+  CAST(count(*) FILTER (x = translate(y, 'ACGT', 'TGCA') AND x <> 'N') AS BIGINT) AS opposite FROM spots GROUP BY seq_id""")
 def residue_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = F.substring("residues", 1, 1), F.substring("residues", 2, 1)
-    own = derived(spark, sf_dir).filter("residues <> ''")
-    return own.select("seq_id", dna.residue_value(first).cast("int").alias("value"), (dna.bases_match(first, second)).alias("pairs"))
+    """Over all bases of a sequence: the sum of their values, and how many pair with the next one, on the same strand and on the other."""
+    n = F.length("residues")
+    own = spread(spark, sf_dir).filter("residues <> ''").select("seq_id", n.alias("n"), "residues", F.explode(F.sequence(F.lit(0), n - 1, F.lit(256))).alias("at"))
+    tiles = own.select("seq_id", F.least(F.lit(256), F.col("n") - F.col("at")).alias("size"), F.col("residues").substr(F.col("at") + 1, F.lit(257)).alias("tile"))
+    spots = tiles.select("seq_id", "tile", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).select("seq_id", F.col("tile").substr(F.col("i") + 1, F.lit(1)).alias("x"), F.col("tile").substr(F.col("i") + 2, F.lit(1)).alias("y"))
+    return spots.groupBy("seq_id").agg(F.sum(dna.residue_value("x")).cast("long").alias("total"), F.count_if(dna.bases_match("x", "y")).alias("same"), F.count_if(dna.bases_match("x", "y", False)).alias("opposite"))
 
 
 @query(" SELECT seq_id, CAST(length(replace(replace(residues, 'N', '-'), '-', '')) AS BIGINT) AS n, replace(replace(residues, 'N', '-'), '-', '') AS bases FROM seqs")
@@ -120,9 +136,9 @@ def packed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f""" SELECT seq_id, translate(h, '{dna.HALF_BYTES[::-1]}', '{dna.HEX[::-1]}') || CASE WHEN length(h) % 2 = 1 THEN '1' ELSE '' END AS packed, h AS script
-FROM (SELECT seq_id, 's0' || substr(residues, 1, 99) || 'i17-' AS h FROM seqs)""")
+FROM (SELECT seq_id, 's0' || residues || 'i17-' AS h FROM seqs)""")
 def half_byte_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = F.concat(F.lit("s0"), F.substring("residues", 1, 99), F.lit("i17-"))
+    script = F.concat(F.lit("s0"), "residues", F.lit("i17-"))
     packed = dna.to_half_bytes(script)
     return derived(spark, sf_dir).select("seq_id", F.hex(packed).alias("packed"), dna.from_half_bytes(packed, F.length(script)).alias("script"))
 
@@ -193,21 +209,30 @@ def seed_join_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seed_join(spark, sf_dir, False)
 
 
-#: K-mers of so many places pair sequences: rarer ones pair nothing, others everything.
-PAIR_PLACES, PAIR_SHARED = (2, 20), 300
+#: Long k-mers pair sequences, as short ones are everywhere in a large collection; so many in common make a pair.
+PAIR_K, PAIR_SHARED = 20, 300
+
+_PAIRS_SQL = kmers_sql(PAIR_K) + """, place AS (SELECT kmer, seq_id, min(pos) AS pos FROM clean GROUP BY kmer, seq_id),
+head AS (SELECT kmer, min(seq_id) AS a FROM place GROUP BY kmer HAVING count(*) > 1)
+"""
+
+
+def _star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, shared, at: each sequence b with the first one, a, that holds a k-mer of it, counted over its distinct k-mers.
+
+    Every place of every k-mer counts, however many there are; as only the first
+    sequence of each k-mer is paired, rows grow with the input. at: the first
+    such k-mer of b, and where it is in a.
+    """
+    place = kmers.seed_places(spread(spark, sf_dir), PAIR_K).groupBy("h", "seq_id").agg(F.min("pos").alias("pos"))
+    heads = place.groupBy("h").agg(F.min(F.struct("seq_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("first.seq_id").alias("a"), F.col("first.pos").alias("pa"))
+    met = place.join(heads, "h").filter("seq_id > a")
+    return met.groupBy("a", F.col("seq_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.struct("pos", "pa")).alias("at")).filter(F.col("shared") >= PAIR_SHARED)
 
 
-@query(KMERS_SQL + f""", few AS (SELECT kmer FROM clean GROUP BY kmer HAVING count(*) BETWEEN {PAIR_PLACES[0]} AND {PAIR_PLACES[1]}),
-place AS (SELECT DISTINCT c.seq_id, c.kmer FROM clean c JOIN few ON few.kmer = c.kmer)
-SELECT a.seq_id AS a, b.seq_id AS b, count(*) AS shared FROM place a JOIN place b ON a.kmer = b.kmer AND a.seq_id < b.seq_id GROUP BY 1, 2 HAVING count(*) >= {PAIR_SHARED}""")
+@query(_PAIRS_SQL + f"SELECT h.a, p.seq_id AS b, count(*) AS shared FROM place p JOIN head h ON h.kmer = p.kmer AND p.seq_id > h.a GROUP BY 1, 2 HAVING count(*) >= {PAIR_SHARED}")
 def shared_kmer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sequences that share many k-mers, from k-mers of few places (at most 20, so pairs grow with the input only)."""
-    most = PAIR_PLACES[1]
-    # Places past the limit are cut before they are collected: the count then tells that a k-mer has too many.
-    capped = kmers.seed_table(spread(spark, sf_dir), K, most + 1)
-    groups = capped.groupBy("h").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("seq_id")).alias("ids")).filter(F.col("n").between(*PAIR_PLACES) & (F.size("ids") > 1))
-    pairs = groups.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= PAIR_SHARED)
+    return _star_pairs(spark, sf_dir).select("a", "b", "shared")
 
 
 # ---- chunks, prefix sums, links
@@ -310,14 +335,15 @@ def expansion_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- edit scripts and compression
 
 
-@query(""", p AS (SELECT seq_id, 's' || CAST(seq_id % 8 AS VARCHAR) || substr(replace(residues, 'N', 'A'), 1, 3) || 'i1' || CAST(seq_id % 7 AS VARCHAR) || substr(replace(residues, 'N', 'A'), 4, 2) || 's5-' AS script FROM seqs WHERE length(residues) >= 5)
-SELECT seq_id, op, CASE k WHEN 1 THEN seq_id % 8 WHEN 2 THEN 8 + seq_id % 7 ELSE 5 END AS dist, str FROM (
-  SELECT seq_id, 1 AS k, 's' AS op, substr(replace(residues, 'N', 'A'), 1, 3) AS str FROM seqs WHERE length(residues) >= 5
-  UNION ALL SELECT seq_id, 2, 'i', substr(replace(residues, 'N', 'A'), 4, 2) FROM seqs WHERE length(residues) >= 5
-  UNION ALL SELECT seq_id, 3, 's', '-' FROM seqs WHERE length(residues) >= 5)""")
+@query(""", p AS (SELECT seq_id, replace(residues, 'N', 'A') AS r, length(residues) // 2 AS h FROM seqs WHERE length(residues) >= 5)
+SELECT seq_id, op, CASE k WHEN 1 THEN seq_id % 8 WHEN 2 THEN h + seq_id % 7 ELSE 5 END AS dist, str FROM (
+  SELECT seq_id, h, 1 AS k, 's' AS op, substr(r, 1, h) AS str FROM p
+  UNION ALL SELECT seq_id, h, 2, 'i', substr(r, h + 1) FROM p
+  UNION ALL SELECT seq_id, h, 3, 's', '-' FROM p)""")
 def edit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = derived(spark, sf_dir).filter(F.length("residues") >= 5).withColumn("r", F.translate("residues", "N", "A"))
-    script = F.concat(F.lit("s"), (F.col("seq_id") % 8).cast("string"), F.substring("r", 1, 3), F.lit("i"), dna.octal(8 + F.col("seq_id") % 7), F.substring("r", 4, 2), F.lit("s5-"))
+    """Scripts of three edits that hold all bases of a sequence, taken apart."""
+    own = derived(spark, sf_dir).filter(F.length("residues") >= 5).withColumn("r", F.translate("residues", "N", "A")).withColumn("h", F.floor(F.length("residues") / 2).cast("int"))
+    script = F.concat(F.lit("s"), (F.col("seq_id") % 8).cast("string"), F.col("r").substr(F.lit(1), F.col("h")), F.lit("i"), dna.octal(F.col("h") + F.col("seq_id") % 7), F.col("r").substr(F.col("h") + 1, F.length("r")), F.lit("s5-"))
     return own.select("seq_id", F.explode(edits.tokens(script)).alias("t")).select("seq_id", "t.op", F.col("t.dist").cast("long").alias("dist"), "t.str")
 
 
@@ -350,6 +376,19 @@ def compress_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress.batch(cut(derived(spark, sf_dir).select("seq_id", "residues"), "seqs"), CompressOptions(), cut)[0]
 
 
+@query()
+def compression_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bases are kept as coarse pieces, and how many there were, for two sizes of seeds."""
+    cut, out = scratch(spark), None
+    own = cut(derived(spark, sf_dir).select("seq_id", "residues"), "seqs")
+    total = own.agg(F.sum(F.length("residues")).alias("total"))
+    for k in (K, 15):
+        links, coarse = compress.batch(own, CompressOptions(map_seed_size=k), cut)
+        row = coarse.agg(F.sum("length").alias("kept")).crossJoin(links.agg(F.count("*").alias("n_links"))).crossJoin(total).select(F.lit(k).alias("seed_size"), "kept", "n_links", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- sources and sinks
 
 
@@ -425,55 +464,64 @@ def strand_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sequences that share seeds: a, b and their residues."""
-    pairs = shared_kmer_pairs(spark, sf_dir)
+    """Pairs of sequences that share k-mers: a, b, their residues, and the place of the first shared k-mer in each."""
+    pairs = _star_pairs(spark, sf_dir).select("a", "b", F.col("at.pa").alias("pa"), F.col("at.pos").alias("pb"))
     texts = derived(spark, sf_dir).select("seq_id", "residues")
-    return pairs.join(texts.select(F.col("seq_id").alias("a"), F.col("residues").alias("ra")), "a").join(texts.select(F.col("seq_id").alias("b"), F.col("residues").alias("rb")), "b").select("a", "b", "ra", "rb")
+    return dealt(pairs.join(texts.select(F.col("seq_id").alias("a"), F.col("residues").alias("ra")), "a").join(texts.select(F.col("seq_id").alias("b"), F.col("residues").alias("rb")), "b"), "a", "b")
 
 
 def _kernel(frame: DataFrame, schema: str, f) -> DataFrame:
+    """f: gives the columns after a and b for all rows of a batch."""
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([(r.a, r.b, *f(r.ra, r.rb)) for r in pdf.itertuples()], columns=names)
+            rows = list(pdf.itertuples())
+            yield pd.DataFrame([(r.a, r.b, *x) for r, x in zip(rows, f(rows), strict=True)], columns=names)
 
     return frame.mapInPandas(run, schema)
 
 
+def _beyond(r) -> tuple[str, str]:
+    """What lies beyond the shared k-mer of a pair, towards the ends."""
+    return align.walks(r.ra, int(r.pa) + PAIR_K - 1, 1, r.rb, int(r.pb) + PAIR_K - 1, 1)
+
+
 @query()
 def ungapped_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the shared k-mer of each pair towards the ends."""
     opts = CompressOptions()
-    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, cheap int, length int, bad_window boolean", lambda x, y: (align.cheap_extension(x, y, opts), *align.ungapped(x, y, align.History(opts), opts)))
+    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, cheap int, length int, bad_window boolean", lambda rows: [(align.cheap_extension(*w, opts), *align.ungapped(*w, align.History(opts), opts)) for w in map(_beyond, rows)])
 
 
 @query()
 def nw_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, ref string, org string", lambda x, y: (align.gapped(x, y, 4) or (None, None))[:2])
+    """The square after the bases that compare without gaps."""
+    opts = CompressOptions()
+
+    def squares(rows: list) -> list:
+        walks = [(w, align.ungapped(*w, align.History(opts), opts)[0]) for w in map(_beyond, rows)]
+        return [(x or (None, None))[:2] for x in align.all_gapped([(c[n:], o[n:]) for (c, o), n in walks], opts.consec_match_clump_size)]
+
+    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, ref string, org string", squares)
 
 
 @query()
 def extend_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match around the shared k-mer of each pair, from a seed within it."""
     opts = CompressOptions()
 
-    def one(x: str, y: str) -> tuple:
-        m = compress.first_match(y, x, opts)
-        return (None,) * 5 if m is None else (m.coarse_start, m.coarse_end, m.original_start, m.original_end, m.forward)
+    def found(rows: list) -> list:
+        tasks = (align.match_at(r.ra, int(r.pa), r.rb, int(r.pb), True, opts) for r in rows)
+        return [(None,) * 5 if m is None else (m.coarse_start, m.coarse_end, m.original_start, m.original_end, m.forward) for m in align.together(tasks, opts.consec_match_clump_size)]
 
-    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, coarse_start int, coarse_end int, original_start int, original_end int, fwd boolean", one)
+    return _kernel(_pairs_of(spark, sf_dir), "a long, b long, coarse_start int, coarse_end int, original_start int, original_end int, fwd boolean", found)
 
 
 def _database(spark: SparkSession, sf_dir: str) -> Database:
-    import uuid
-
-    scratch(spark)
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/database-{uuid.uuid4().hex}"
-    db = Database.create(path, derived(spark, sf_dir))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return db
+    return Database.create(temporary(spark, "database"), derived(spark, sf_dir))
 
 
 @query()
@@ -491,15 +539,10 @@ def fine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" SELECT seq_id, residues FROM seqs WHERE residues <> ''")
 def stream_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, compressed incrementally, and rebuilt."""
-    import uuid
-
     from strandlake.streaming.incremental import compress_stream
 
-    scratch(spark)
-    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = temporary(spark, "stream")
     derived(spark, sf_dir).filter("residues <> ''").repartition(2, "seq_id").write.parquet(f"{root}/in")
     source = spark.readStream.schema("seq_id long, name string, residues string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     compress_stream(source, f"{root}/db", f"{root}/checkpoint").awaitTermination()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return Database.open(spark, f"{root}/db").decompress().select("seq_id", "residues")

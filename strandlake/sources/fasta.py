@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions.dna import masked
 from strandlake.operators.prefix import numbered
+from strandlake.scratch import file_system, temporary
 
 HEADER_TRIM, BODY_TRIM = "> \n\r\t", "* \n\r\t"
 
@@ -23,10 +27,13 @@ def parse_records(texts: DataFrame, column: str = "value", exclude: str = "") ->
 def read_fasta(spark: SparkSession, *paths: str, exclude: str = "") -> DataFrame:
     """seq_id, name, seq of every record of the files, seq_id in the order of paths and records.
 
-    Files are split at record starts, so one file is read by many tasks.
+    Files are split at record starts, so one file is read by many tasks. The path
+    "-" is the driver's standard input, which it copies into the shared folder.
     """
     found = None
     for i, path in enumerate(paths):
+        if path == "-":
+            path = _copied(spark, sys.stdin)
         part = spark.read.option("lineSep", "\n>").text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.lit(i).alias("arg"))
         found = part if found is None else found.unionByName(part)
     real = found.filter(F.btrim("value", F.lit("> \n\r\t")) != "")
@@ -41,6 +48,25 @@ def read_fasta(spark: SparkSession, *paths: str, exclude: str = "") -> DataFrame
     return out.select(F.col("seq_id").cast("long").alias("seq_id"), "name", "seq")
 
 
+def _copied(spark: SparkSession, stream: Iterable[str]) -> str:
+    """A file in the shared folder with the lines of a stream, written as they come."""
+    path = temporary(spark, "stdin")
+    files, hadoop = file_system(spark, path)
+    out = files.create(hadoop)
+    try:
+        for line in stream:
+            out.write(bytearray(line.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def read_fasta_stream(spark: SparkSession, folder: str, exclude: str = "") -> DataFrame:
+    """name, seq of the records of files as they appear in a folder."""
+    texts = spark.readStream.option("lineSep", "\n>").text(folder).filter(F.btrim("value", F.lit(HEADER_TRIM)) != "")
+    return parse_records(texts, exclude=exclude)
+
+
 def record_text(header: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), header, F.lit("\n"), seq)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from strandlake.config import BlatOptions, CompressOptions, SearchOptions
 from strandlake.functions.edits import reverse_complement
 from strandlake.operators import compress, intervals, search
-from strandlake.plans.database import Database, scratch
+from strandlake.plans.database import Database
+from strandlake.scratch import scratch
 from strandlake.sources.psl import parse_psl
 from strandlake.streaming.incremental import compress_stream
 from tests.test_align import bases, changed

@@ -1,0 +1,186 @@
+"""What a database gives back, broken additions, streams of FASTA, and names in SQL."""
+
+import glob
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.config import BlatOptions, CompressOptions, SearchOptions
+from strandlake.functions import dna
+from strandlake.functions.registration import register
+from strandlake.operators import compress, intervals
+from strandlake.operators.kmers import codes, seed_table
+from strandlake.plans.database import Database
+from strandlake.scratch import scratch
+from strandlake.sources import fasta
+from strandlake.streaming.incremental import compress_stream
+from tests.test_align import bases, changed
+
+SMALL = CompressOptions(max_chunk_size=1000, overlap=100)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(31)
+    base = bases(r, 2500)
+    return [base, changed(r, base), bases(r, 700), "", base[300:1500], "ACGT"]
+
+
+@pytest.fixture(scope="module")
+def db(spark, texts, tmp_path_factory):
+    seqs = spark.createDataFrame([(i, f"seq {i}", s) for i, s in enumerate(texts)], "seq_id long, name string, residues string")
+    return Database.create(str(tmp_path_factory.mktemp("db") / "db"), seqs, SMALL)
+
+
+def test_lookups(spark, db, texts):
+    assert {r["seq_id"]: r["length"] for r in db.original_lengths().collect()} == {i: len(s) for i, s in enumerate(texts) if s}
+    one = db.table("coarse").orderBy(F.desc("length")).first()
+    assert db.coarse_sequence(one["coarse_id"]).first()["residues"] == one["residues"]
+    ranges = spark.createDataFrame([(one["coarse_id"], 10, 40), (one["coarse_id"], 0, 1)], "coarse_id long, start int, end int")
+    assert sorted(r["residues"] for r in db.slices(ranges).collect()) == sorted([one["residues"][10:40], one["residues"][:1]])
+    at = 0
+    for r in db.link_index().orderBy("coarse_id").collect():
+        assert r["link_start"] == at
+        at += r["n_links"]
+    assert at == db.table("links").count()
+
+
+def test_dumps_and_fasta(spark, db, texts, tmp_path):
+    db.dump(str(tmp_path / "dump"))
+    assert fasta.read_fasta(spark, str(tmp_path / "dump/coarse")).count() == db.table("coarse").count()
+    lines = spark.read.text(str(tmp_path / "dump/links")).collect()
+    assert len(lines) == db.table("links").count() and all(x["value"].count("\t") >= 7 for x in lines)
+    db.write_fasta(str(tmp_path / "fasta"))
+    back = {r["name"]: r["seq"] for r in fasta.read_fasta(spark, str(tmp_path / "fasta")).collect()}
+    assert back == {f"seq {i}": s for i, s in enumerate(texts)}
+
+
+def test_files_for_other_programs(spark, db, texts, tmp_path):
+    queries = spark.createDataFrame([(3, "q", texts[0][400:900])], "query_no long, query_name string, residues string")
+    hits = db.coarse_hits(queries.select("query_no", "residues"), SearchOptions())
+    found = db.write_expansions(hits, str(tmp_path / "expanded"), BlatOptions(number_targets=True)).collect()
+    assert sorted(r["exp_id"] for r in found) == list(range(len(found)))
+    written = {r["name"]: r["seq"] for r in fasta.read_fasta(spark, str(tmp_path / "expanded")).collect()}
+    assert written == {f"{r['exp_id']} seq {r['seq_id']}": r["residues"] for r in found}
+    Database.write_queries(queries, str(tmp_path / "queries"))
+    assert [(r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "queries")).collect()] == [("3", texts[0][400:900])]
+
+
+def test_an_addition_that_broke_off_is_replaced(spark, texts, tmp_path):
+    path = str(tmp_path / "db")
+    rows = [(i, s) for i, s in enumerate(texts)]
+    frame = lambda x: spark.createDataFrame(x, "seq_id long, residues string")
+    db = Database.create(path, frame(rows[:2]), SMALL)
+    # As if the driver had gone after some tables were written.
+    db.add("more", frame(rows[2:]), SMALL)
+    import shutil
+
+    shutil.rmtree(f"{path}/commits/more")
+    assert db.dbsize == sum(map(len, texts[:2])) and db.decompress().count() == 2
+    for _ in range(2):
+        db.add("more", frame(rows[2:]), SMALL)
+        assert db.dbsize == sum(map(len, texts))
+        assert {r["seq_id"]: r["residues"] for r in db.decompress().collect()} == dict(rows)
+    with pytest.raises(FileNotFoundError):
+        Database.open(spark, str(tmp_path / "none"))
+
+
+def test_a_stream_of_fasta(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fa").write_text(">one\nACGT\nAC\n>two\nTTTT\n")
+    run = lambda: compress_stream(fasta.read_fasta_stream(spark, str(tmp_path / "in")).withColumnRenamed("seq", "residues"), str(tmp_path / "db"), str(tmp_path / "checkpoint"), SMALL).awaitTermination()
+    run()
+    (tmp_path / "in/b.fa").write_text(">three\nGGGGG\n")
+    run()
+    got = Database.open(spark, str(tmp_path / "db")).decompress().orderBy("seq_id").collect()
+    assert [r["seq_id"] for r in got] == [0, 1, 2]
+    assert {(r["name"], r["residues"]) for r in got} == {("one", "ACGTAC"), ("two", "TTTT"), ("three", "GGGGG")} and got[2]["name"] == "three"
+    monkeypatch.setattr("sys.stdin", io.StringIO(">x y\nAC\nGT\n>z\nT"))
+    assert [tuple(r) for r in fasta.read_fasta(spark, "-", str(tmp_path / "in/b.fa")).orderBy("seq_id").collect()] == [(0, "x y", "ACGT"), (1, "z", "T"), (2, "three", "GGGGG")]
+
+
+def test_names_in_sql(spark):
+    register(spark)
+    row = spark.sql("SELECT revcomp('ACGTN') a, kmer_hash('ACGT') b, kmer_hash('ACNT') c, edit_apply('s2T', 'ACGTACGT', true) d, nogap_length('A--C') e, normalised('acgx') f").first()
+    assert tuple(row) == ("NACGT", 228, -1, "ACTTACGT", 2, "ACGN")
+    spark.createDataFrame([(1, "ACGTA"), (2, "AC")], "id int, s string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, pos, kmer FROM texts, LATERAL kmers(s, 3) ORDER BY id, pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "ACG"), (1, 1, "CGT"), (1, 2, "GTA")]
+
+
+def test_bits(spark):
+    row = spark.range(1).select(dna.mask(0), dna.mask(5), dna.mask(63), dna.shift_left(F.lit(3), 4), dna.shift_right(F.lit(-1), 60)).first()
+    assert tuple(row) == (0, 31, 2**63 - 1, 48, 15)
+
+
+def test_numbers_of_kmers(spark):
+    from strandlake.functions.edits import reverse_complement
+
+    r = random.Random(1)
+    number = lambda w: -1 if "N" in w else sum("ACGT".index(b) * 4**i for i, b in enumerate(w))
+    for k in (1, 2, 3, 5, 10, 11, 15, 20):
+        s = "".join(r.choice("ACGTACGTN") for _ in range(60))
+        here, there = codes(s, k)
+        assert here.tolist() == [number(s[i : i + k]) for i in range(len(s) - k + 1)]
+        assert there.tolist() == [number(reverse_complement(s[i : i + k])) for i in range(len(s) - k + 1)]
+    assert len(codes("AC", 3)[0]) == len(codes("", 3)[0]) == 0
+    one = spark.createDataFrame([(0, "ACGTACGT")], "seq_id long, residues string")
+    assert (seed_table(one, 4, 9).count(), seed_table(one, 4, 9, drop_last=True).count(), seed_table(one, 4, 1).count()) == (5, 4, 4)
+
+
+def test_seeds_in_bands_equal_all_seeds():
+    from strandlake.functions.edits import reverse_complement
+
+    r = random.Random(9)
+    org = "".join(r.choice("AC") for _ in range(80))
+    coarse = bases(r, 150) + reverse_complement(org) + org + "N"
+    every = set(compress._every_seed(org, coarse, CompressOptions()))
+    assert set(compress.seeds(org, coarse, 10, {(f, b) for f in (True, False) for b in range(-10, 10)})) == every
+    inner = {x for x in every if x[1] and 192 <= x[2] - x[0] < 256}
+    assert set(compress.seeds(org, coarse, 10, {(True, 3)})) == inner
+
+
+def test_several_matches_of_a_chunk():
+    r = random.Random(41)
+    a, b = bases(r, 500), bases(r, 500)
+    cover = compress.pieces_of(a + bases(r, 400) + b, a + bases(r, 50) + b, 7, CompressOptions())
+    # Some bases beyond a match may agree by chance.
+    assert [c[2] for c in cover] == [7, None, 7] and cover[0][0] == 0 and 500 <= cover[0][1] < 560 and cover[2][0] <= 900 and cover[2][1] == 1400
+
+
+def test_representatives(spark):
+    r = random.Random(3)
+    edges = {tuple(sorted(r.sample(range(60), 2))) for _ in range(120)} | {(i, i + 1) for i in range(100, 400)}
+    names, plain = [], scratch(spark)
+    got = {x["v"]: x["head"] for x in compress.heads_of(spark.createDataFrame([(*e, 1) for e in edges], "a long, b long, n long"), lambda df, name: (names.append(name), plain(df, name))[1]).collect()}
+    assert set(got) == {v for e in edges for v in e}
+    assert not any(got[a] and got[b] for a, b in edges)
+    near = {v: [b if a == v else a for a, b in edges if v in (a, b)] for v in got}
+    assert all(head or any(got[x] for x in near[v]) for v, head in got.items())
+    assert names.count("heads") < 15  # a path in order takes no round for each node
+
+
+def test_what_compression_keeps(spark):
+    r = random.Random(29)
+    base = bases(r, 3000)
+    family = [base, *(changed(r, base, 0.06) for _ in range(5)), bases(r, 400) + base[:1500] + bases(r, 300) + base[1500:]]
+    seqs = spark.createDataFrame(list(enumerate(family)), "seq_id long, residues string")
+    kept = {}
+    for k in (10, 15):
+        for mode in ("batch", "serial"):
+            links, coarse = getattr(compress, mode)(seqs, CompressOptions(map_seed_size=k), scratch(spark))
+            kept[mode, k] = coarse.agg(F.sum("length")).first()[0]
+            assert {x["seq_id"]: x["residues"] for x in compress.decompress(links, coarse).collect()} == dict(enumerate(family))
+    total = sum(map(len, family))
+    assert kept["batch", 10] < 0.6 * total and kept["batch", 10] <= 1.5 * kept["serial", 10]
+    far = [(changed(r, base[i : i + 700], 0.14), base[i : i + 700]) for i in range(0, 2300, 100)]
+    linked = [sum(c[1] - c[0] for org, coarse in far for c in compress.pieces_of(org, coarse, 7, CompressOptions(map_seed_size=k)) if c[2] is not None) for k in (8, 15)]
+    assert linked[0] > linked[1]  # the seed size matters
+
+
+def test_merged_intervals(spark):
+    rows = [("a", 0, 5), ("a", 3, 4), ("a", 6, 8), ("a", 10, 12), ("b", 11, 12), ("a", 1, 2)]
+    got = intervals.merged(spark.createDataFrame(rows, "k string, s long, e long"), "s", "e", ("k",)).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 8), ("a", 10, 12), ("b", 11, 12)]
