@@ -2,7 +2,7 @@
 
 A document's character classes and its most common function words are two
 histograms. The references are the same histograms of each language, summed
-over all documents of that language (``references``): one row of a few dozen
+over all its documents that pass the base rules (``references``): one row of a few dozen
 numbers per language in ``COMMON``, so they may be broadcast whatever the
 corpus's size. A document is measured against its nearest language by
 Jensen-Shannon distance (base two), texts under the guard lengths not at all,
@@ -161,9 +161,13 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, _term)) / 2))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     counted = cut(measured(docs), "op8-counts")
-    refs = references(counted)
+    refs = references(counted.filter(~_base_failed()))
     joined = counted.crossJoin(F.broadcast(refs))  # a single row
 
     def class_distance(counts: Column) -> Column:
@@ -181,7 +185,7 @@ def judged(docs: DataFrame) -> DataFrame:
         return F.when(n >= LEAST_WORDS, F.array_min(F.transform("refs", one)))
 
     out = joined.withColumn("class_distance", class_distance(F.col("classes"))).withColumn("word_distance", word_distance(F.col("common"), F.col("n_words")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = _base_failed()
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "class_distance", "word_distance")
 

@@ -149,3 +149,31 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents"))[0])
+
+
+def _sql_spans(k: int) -> str:
+    """A list of (s, k, e) of rule k, in DuckDB: as in ``_spans``, what lies between matches tells where they are."""
+    _, pattern, group, least = RULES[k]
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda z: length(z))), 0)"
+    hits, values = f"regexp_extract_all(t, {pattern}, 0)", f"regexp_extract_all(t, {pattern}, {group})"
+    start = f"{size(f'regexp_split_to_array(t, {pattern})[1:i]')} + {size(f'{hits}[1:i - 1]')}"
+    found = f"list_transform(range(1, len({hits}) + 1), lambda i: {{'s': CAST({start} AS BIGINT), 'k': {k}, 'e': CAST({start} + length({hits}[i]) AS BIGINT), 'n': length({values}[i])}})"
+    return f"CASE WHEN regexp_matches(t, {pattern}) THEN list_filter({found}, lambda y: y.n >= {least}) ELSE [] END"
+
+
+_SQL_NAMES = "[" + ", ".join(f"'{r[0]}'" for r in RULES) + "]"
+#: For texts without repeated rows of an id or with them: every row is judged by itself.
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+  {" UNION ALL ".join(f"SELECT r, unnest({_sql_spans(k)}) AS x FROM d" for k in range(len(RULES)))}),
+n AS (SELECT r, x.s AS s, x.k AS k, {_SQL_NAMES}[x.k + 1] || ':' || x.s || ':' || x.e AS span FROM p),
+g AS (
+  SELECT r, {", ".join(f"count(*) FILTER (k = {k}) AS n_{RULES[k][0]}" for k in range(BASE))},
+    string_agg(span, ',' ORDER BY s, k) FILTER (k < {BASE}) AS base, string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM n GROUP BY r)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(g.n_{RULES[k][0]}, 0) AS BIGINT) AS n_{RULES[k][0]}" for k in range(BASE))},
+  sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans
+FROM d LEFT JOIN g ON g.r = d.r
+"""

@@ -80,6 +80,88 @@ def test_scores_do_not_read_the_labels_of_held_out_rows(spark):
     assert one.equals(two)
 
 
+def test_training_equals_a_plain_form():
+    """Follow-the-regularised-leader, a coordinate at a time."""
+    r, samples = np.random.default_rng(3), []
+    for _ in range(150):
+        at = np.unique(r.integers(0, 60, 8))
+        samples.append((at, r.random(len(at)), int(at[0] % 2)))
+    w, bias = quality.train(samples)
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def plain_bias():
+        return -zb / ((quality.BETA + math.sqrt(nb)) / quality.ALPHA)
+
+    order = np.random.default_rng(7)
+    for _ in range(quality.PASSES):
+        for k in order.permutation(len(samples)):
+            at, x, y = samples[k]
+            now = {i: weight(i) for i in at.tolist()}
+            error = 1 / (1 + math.exp(-(sum(now[i] * v for i, v in zip(at.tolist(), x.tolist())) + plain_bias()))) - y
+            for i, v in zip(at.tolist(), x.tolist()):
+                g = error * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * now[i]
+                n[i] += g * g
+            before = plain_bias()
+            zb += error - (math.sqrt(nb + error * error) - math.sqrt(nb)) / quality.ALPHA * before
+            nb += error * error
+    assert np.allclose(w[:60], [weight(i) for i in range(60)], atol=1e-9) and abs(bias - plain_bias()) < 1e-9 and not w[60:].any()
+
+
+def test_scores_are_sparse_dot_products(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    w, bias = quality.fit(docs, labels)
+    got = {r["doc_id"]: (r["text"], r["score"]) for r in quality.scored(docs, labels, "text").collect()}
+    tokens = quality._Tokens()
+    for text, score in got.values():
+        at, x = quality.grams(text, tokens)
+        dot = sum(float(np.float32(w[i])) * v for i, v in zip(at.tolist(), x.tolist())) + bias
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, dot))))) < 1e-9
+
+
+def test_toxicity_scores_equal_a_plain_form(spark):
+    """Every word against every term by edit distance, context by looking at each hit."""
+    terms = {("idiot", True): 3.0, ("worthless", True): 2.0, ("scum", True): 2.5, ("bomente", False): 1.5}
+    r = random.Random(12)
+    pool = ["idiot", "idoit", "worthles", "scum", "scam", "bomentes", "you", "said", "the", "quote", "a", "fine", "day", '"idiot"', "word", "term", "are"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 40))) for _ in range(60)] + ["", None, 'he said "you idiot" and left']
+
+    def kind(w):
+        if (w, True) in terms:
+            return 1, terms[w, True]
+        if any(levenshtein(w, t) <= toxicity.edits_allowed(t) for t, whole in terms if whole):
+            return 2, toxicity.NEAR_ODDS
+        stems = [terms[t, False] for t, whole in terms if not whole and w.startswith(t)]
+        return (3, max(stems)) if stems else (0, 0.0)
+
+    def plain(text):
+        spans = [m.span() for m in toxicity._WORD.finditer(text or "")]
+        words_ = [(text[i:j]).lower() for i, j in spans]
+        kinds = [kind(w) for w in words_]
+        hits = [k for k, x in enumerate(kinds) if x[0]]
+        if not hits:
+            return [0.0] * len(toxicity.FEATURES)
+        quoted = address = company = 0
+        for h in hits:
+            near = range(max(0, h - toxicity.CONTEXT), min(len(words_), h + toxicity.CONTEXT + 1))
+            before, after = text[spans[near[0]][0] : spans[h][0]], text[spans[h][1] : spans[near[-1]][1] + 1]
+            inside = len(toxicity._QUOTE.findall(before)) % 2 == 1 and bool(toxicity._QUOTE.search(after))
+            quoted += inside or any(words_[k] in toxicity.REPORTING for k in near)
+            address += any(words_[k] in toxicity.ADDRESS for k in near)
+            company += sum(kinds[k][0] > 0 for k in near) > 1
+        n = len(hits)
+        return [*(math.log1p(sum(x[0] == k for x in kinds)) for k in (1, 2, 3)), math.log1p(sum(kinds[h][1] for h in hits)), quoted / n, address / n, company / n, math.log1p(1000 * n / len(words_)) / 4, 1.0, float(n - quoted > 1)]
+
+    reader = toxicity.Reader(terms)
+    for t in texts:
+        assert np.allclose(reader.features(t), plain(t)), t
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -520,6 +602,46 @@ def test_rules_keep_clean_and_drop_divergent_text(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_distances_equal_a_plain_form(spark):
+    """The distances from references, counted and measured again in NumPy."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    import regex
+
+    texts = [(r["doc_id"], r["lang"], r["text"] or "") for r in docs.collect()]
+    patterns = [regex.compile(p) for _, p in quality_rules.CLASSES]
+
+    def measure(t):
+        classes, rest = [], t
+        for p in patterns:
+            left = p.sub("", rest)
+            classes.append(len(rest) - len(left))
+            rest = left
+        n = Counter(w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t) if w in quality_rules.SPELT)
+        total_ = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        common = [n[w] for w in quality_rules.WORDS]
+        return np.array([*classes, len(rest)], float), np.array([*common, total_ - sum(common)], float)
+
+    def distance(p, q):
+        m = (p + q) / 2
+        kl = lambda a: float(np.sum(a[a > 0] * np.log2(a[a > 0] / m[a > 0])))
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    own = {i: measure(t) for i, _, t in texts}
+    refs = {}
+    for i, lang, _ in texts:
+        if lang in quality_rules.COMMON and not got[i]["base_failed"]:
+            refs[lang] = tuple(a + b for a, b in zip(refs.get(lang, (0, 0)), own[i]))
+    refs = [tuple(x / x.sum() for x in both) for both in refs.values()]
+    for i, _, _ in texts:
+        classes, common = own[i]
+        want = (min(distance(classes / classes.sum(), c) for c, _ in refs) if classes.sum() >= quality_rules.LEAST_CHARS else None, min(distance(common / common.sum(), w) for _, w in refs) if common.sum() >= quality_rules.LEAST_WORDS else None)
+        for x, y in zip(want, (got[i]["class_distance"], got[i]["word_distance"])):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6), i
+        near = (want[0] or 0) <= quality_rules.MOST_CLASS and (want[1] or 0) <= quality_rules.MOST_WORD
+        assert got[i]["kept"] == (near and not got[i]["base_failed"])
+
+
 def test_divergence(spark):
     p, q = F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
     same, apart = spark.range(1).select(quality_rules.divergence(p, p), quality_rules.divergence(p, q)).first()
@@ -575,3 +697,76 @@ def test_pipeline_stages(spark):
     four = p.secret_scans(spark, docs, SF)
     assert secret_ledger.digest(secret_ledger.scan(four)[0]).filter("n_assign + n_access + n_hex > 0").count() == 0
     assert p.run(spark, SF).count() > 0 and three.columns == four.columns == docs.columns
+
+
+def test_pipeline_equals_brute_force(spark):
+    """From what the classifier keeps on: near copies, repeats and secrets in plain Python, and the pieces that are packed."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] or "" for r in QUERIES["op1_quality_classifier"](spark, SF).filter("score >= 0.5").join(docs, "doc_id").collect()}
+    sets, label = {i: shingles(t) for i, t in kept.items()}, {i: i for i in kept}
+    links = [(a, b) for a, b in combinations(sorted(sets), 2) if (both := len(sets[a] & sets[b])) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)]
+    for _ in links:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    first = {i: t for i, t in kept.items() if label[i] == i}
+    seen, texts = set(), {}
+    for i in sorted(first):
+        w = [x.decode() for x in first[i].encode().split()]
+        windows = [tuple(w[j : j + 20]) for j in range(len(w) - 19)]
+        gone = set()
+        for j, x in enumerate(windows):
+            if x in seen:
+                gone.update(range(j, j + 20))
+            seen.add(x)
+        texts[i] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else first[i]
+    assert len(texts) == len(first) and sum(bool(t) for t in texts.values()) > 0.9 * len(texts)  # no document vanishes
+
+    def without_secrets(t):
+        spans = sorted((m.start(), m.end()) for _, pattern, group, least in secret_ledger.RULES for m in re.finditer(pattern, t) if len(m.group(group)) >= least)
+        out, at, open_ = [], 0, 0
+        for a, b in spans:
+            if a >= open_:
+                out += [t[at:a], "[SECRET]"]
+            open_ = at = max(open_, b)
+        return "".join(out) + t[at:]
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in texts.items():
+        t = without_secrets(t)
+        ids = np.array([*(encode(t) if t else ()), 2], "<u4")
+        want.update((i, k, zlib.crc32(ids[start : start + n].tobytes())) for k, (start, n) in enumerate(packing.cuts(len(ids))))
+    got = p.run(spark, SF).toPandas()
+    assert Counter(zip(got.doc_id, got.piece, got.ids_crc32)) == want
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_packed_strings_of_long_texts_and_hot_grams():
+    """Texts in blocks, and grams ranked last, find the windows that brute force finds."""
+    from strandlake.llm import common
+
+    r = random.Random(15)
+    passage = " ".join(words(60, 5))
+    texts = [" ".join([*words(r.randrange(30, 200), 60 + i), *([passage] if i % 2 else []), "la " * 30 if i % 7 == 0 else ""]) for i in range(40)]
+    want = brute_repeats(list(enumerate(texts)))
+    hot = np.zeros(substrings.CELLS, bool)
+    h = common.WordHashes().array(passage.encode().split())
+    hot[substrings.mixed(substrings.rolling(h, substrings.GRAM)) >> np.uint64(44)] = True
+    for block, table_ in ((4 << 20, None), (50, None), (4 << 20, hot), (50, hot)):
+        plain, common.BLOCK = common.BLOCK, block
+        try:
+            rows = lambda packer: sorted([x for i, t in enumerate(texts) for df in packer.add(i, 0, t.encode(), places.get(i, [])) for x in df.itertuples(index=False)] + [x for df in packer.packed() for x in df.itertuples(index=False)])  # noqa: B023, E731
+            places = {}
+            counting = pd.DataFrame(rows(substrings.Packer(5, table_, True)), columns=["bucket", "body"])
+            found = pd.concat(substrings._count([counting]))
+            places = found.groupby("doc_id")["start"].agg(list).to_dict()
+            runs = pd.concat(substrings._scan([pd.DataFrame(rows(substrings.Packer(5, table_, False)), columns=["bucket", "body"])]))
+            for i, t in enumerate(texts):
+                own = runs[runs.doc_id == i][["start", "windows"]].to_numpy(np.int64)
+                left = [w for part, _ in substrings.kept_words(t, own) for w in part]
+                assert hashlib.sha256(b" ".join(left)).hexdigest() == want[i][2], (block, i)
+        finally:
+            common.BLOCK = plain
