@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import held_out, table
 from strandlake.llm.quality import labelled_sample
 
-#: Labelled documents learnt from at most, lexicon terms at most, documents a term must occur in.
-SAMPLE, TERMS, SUPPORT = 12_000, 400, 4
+#: Labelled documents learnt from at most, documents a term must occur in.
+SAMPLE, SUPPORT = 12_000, 4
 #: A term's toxic documents must outweigh the others by this factor of rates.
 ODDS = 20.0
 #: Words on either side of a hit.
@@ -194,7 +194,7 @@ class Reader:
 
 
 def lexicon(sample: DataFrame) -> dict[tuple[str, bool], float]:
-    """Log odds of (term, whole word): stated terms, and at most TERMS that the sample's labels single out; stems cover the words that begin with them."""
+    """Log odds of (term, whole word): stated terms, and all that the sample's labels single out; stems cover the words that begin with them."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,7 +212,7 @@ def lexicon(sample: DataFrame) -> dict[tuple[str, bool], float]:
         return {(t, True): STATED_ODDS for t in STATED}
     t, c = F.col("t"), F.col("c") - F.col("t")
     odds = (t + 0.5) / (toxic + 1) / ((c + 0.5) / (other + 1))
-    best = own.groupBy("term", "whole").agg(F.sum("y").cast("long").alias("t"), F.count("*").alias("c")).filter((t >= SUPPORT) & (odds >= ODDS)).orderBy(t.desc(), "whole", "term").limit(TERMS).collect()
+    best = own.groupBy("term", "whole").agg(F.sum("y").cast("long").alias("t"), F.count("*").alias("c")).filter((t >= SUPPORT) & (odds >= ODDS)).orderBy(t.desc(), "whole", "term").collect()  # no more than the texts of SAMPLE rows have
     stems: list[str] = []
     for r in sorted((r for r in best if not r["whole"]), key=lambda r: len(r["term"])):
         if not any(r["term"].startswith(s) for s in stems):
