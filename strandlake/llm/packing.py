@@ -152,7 +152,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
     # Rows are dealt by their place in the table found, not by an id that many of them may share.
     place = F.xxhash64(F.monotonically_increasing_id())
-    return found.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema)
+    # By range, so that no two shards meet in a task.
+    return found.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
