@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 A text is cut where no piece of the model can reach across: before a run of
-word marks, and between letters and other characters. Each distinct unit is
+word marks, between letters and other characters, and, in units longer than
+``LONG``, between any two characters that no piece has side by side, so that a
+line of a script without spaces does not become one row. Each distinct unit is
 encoded once: its substrings up to the longest piece are exploded and joined to
 the piece table (which is as large as the model, so it is broadcast), the edges
 are grouped by unit, and a higher-order aggregate folds them into the path.
@@ -18,6 +20,9 @@ Documents are then encoded by looking their units up: the most frequent
 ``HOT`` units are broadcast, the others reach their documents by a join.
 Characters without a piece become bytes.
 
+A unit that cannot be cut, such as a run of Latin letters, is one row whatever
+its length: its edges, sixteen for a letter at most, have to fit into memory.
+
 Defined results: null and empty text has no ids; null doc_id and repeated rows
 get a row each; an empty table gives no rows; other columns are ignored.
 """
@@ -48,8 +53,11 @@ HOT = 150_000
 WORDS, ROWS = 50_000, 500
 #: A rank beyond all ranks: never used up.
 NEVER = 2**31 - 1
-#: Edges before and after an edge that can reach across its border, at most: 16 letters, 16 lengths.
-AROUND = 256
+#: Characters of a unit beyond which it is cut wherever no piece reaches across.
+LONG = 24
+#: Letters of a piece at most, and edges before and after an edge that can reach across its border then.
+LONGEST = 16
+AROUND = LONGEST * LONGEST
 
 SPINE = "array<struct<o:int,d:int>>"
 PIECES = f"piece string, id int, rank int, rs {SPINE}, ls {SPINE}"
@@ -72,7 +80,9 @@ class Model:
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         self.rank = {self.names[i]: order[sp.get_score(i)] for i in plain}
         self.longest = max(map(len, self.ids))
-        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if self.longest > LONGEST:
+            raise ValueError(f"a piece has more than {LONGEST} characters, so that AROUND is too small")
+        pairs = self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         letter = lambda c: unicodedata.category(c)[0] == "L"
         if any(b == MARK and a != MARK for a, b in pairs):
             raise ValueError("pieces reach across word marks")
@@ -81,6 +91,13 @@ class Model:
         if any(a != MARK and letter(a) != letter(b) for a, b in pairs):
             self.unit = rf"{MARK}*[^{MARK}]+|{MARK}+"
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit, cut where no piece reaches across if it is long."""
+        if len(unit) <= LONG:
+            return [unit]
+        cuts = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def tree(self, piece: str) -> tuple | None:
         """(text, left, right) of the merges that make a piece, None if they don't."""
         nodes: list[tuple] = [(c, None, None) for c in piece]
@@ -181,6 +198,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pattern = regex.compile(model.unit)
 
+    def units_of(word: str) -> list[str]:
+        found = pattern.findall(word)
+        return found if len(word) <= LONG else [part for u in found for part in model.parts(u)]
+
     def words(text: object) -> list[str]:
         """A text's words with the marks before them; units never reach across."""
         if not isinstance(text, str) or not text:
@@ -202,7 +223,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         def units() -> pd.DataFrame:
             n: Counter[str] = Counter()
             for w, k in seen.items():
-                for u in pattern.findall(w):
+                for u in units_of(w):
                     n[u] += k
             seen.clear()
             return pd.DataFrame({"unit": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
@@ -228,7 +249,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     if (out := known_words.get(w)) is None:
                         if len(known_words) > WORDS:
                             known_words.clear()
-                        out = known_words[w] = [u for u in pattern.findall(w) if u not in shared.value]
+                        out = known_words[w] = [u for u in units_of(w) if u not in shared.value]
                     found.update(out)
                 rows += [(doc_id, u) for u in found]
             yield pd.DataFrame(rows, columns=["doc_id", "unit"], dtype=object).astype({"doc_id": "Int64"})
@@ -246,7 +267,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                         own = known_words.get(w)
                         if own is None:
                             own, whole = array("i"), True
-                            for u in pattern.findall(w):
+                            for u in units_of(w):
                                 whole = whole and u in shared.value
                                 own.extend(shared.value[u] if u in shared.value else extra[u])
                             if whole:  # of hot units only, so the same in every document

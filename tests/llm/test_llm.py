@@ -501,7 +501,7 @@ def test_pieces_equal_the_library(spark, edge_docs):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    more = [(30, "aaaaaaaaaaaaaaa  \n\n  <0x0A><s> ▁▁ x▁y"), (31, "ааа привет мир 12345.678 ###$$$ don't"), (32, "".join(random.Random(1).choice("aeinrst") for _ in range(3000)))]
+    more = [(30, "aaaaaaaaaaaaaaa  \n\n  <0x0A><s> ▁▁ x▁y"), (31, "ааа привет мир 12345.678 ###$$$ don't"), (32, "".join(random.Random(1).choice("aeinrst") for _ in range(3000))), (33, "日本語の文章は空白なしで書かれる。" * 300 + "ещё" * 50), (34, "▁" * 40 + "QmFzZTY0" * 200 + "#" * 60)]
     docs = edge_docs.unionByName(frame(spark, more))
     got = pieces.encode(docs).collect()
     assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == sorted((i or -1, sp.encode(t or "")) for i, t in [*EDGES, *more])
