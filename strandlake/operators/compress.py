@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,22 +139,21 @@ def heads_of(edges: DataFrame, cut) -> DataFrame:
     placed = cut(weight.select("v", F.struct((-F.col("w")).alias("w"), F.xxhash64("v").alias("o"), "v").alias("p")), "head-order")
     ends = [placed.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
     left = cut(both.select("a", "b").join(ends[0], "a").join(ends[1], "b"), "head-edges")
-    decided = None
+    rounds = []
     while True:
         least = left.groupBy(F.col("a").alias("v")).agg(F.first("pa").alias("p"), F.min("pb").alias("least"))
-        heads = cut(least.filter("p < least").select("v"), "heads")
+        heads = least.filter("p < least").select("v")
         covered = left.join(heads.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        now = heads.select("v", F.lit(True).alias("head")).unionByName(covered.select("v", F.lit(False).alias("head")))
-        every = left.select(F.col("a").alias("v")).distinct()
-        decided = cut(now if decided is None else decided.unionByName(now), "decided")
-        gone = decided.select("v")
-        rest = left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti")
-        # A node all of whose neighbours are covered is its own head.
-        alone = every.join(gone, "v", "left_anti").join(rest.join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select(F.col("a").alias("v")), "v", "left_anti")
-        decided = cut(decided.unionByName(alone.select("v", F.lit(True).alias("head"))), "decided")
-        left = cut(rest.join(gone.withColumnRenamed("v", "b"), "b", "left_anti"), "head-edges")
+        now = cut(heads.select("v", F.lit(True).alias("head")).unionByName(covered.select("v", F.lit(False).alias("head"))), "decided")
+        rounds.append(now)
+        gone = now.select("v")
+        left = cut(left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti"), "head-edges")
         if left.isEmpty():
-            return decided
+            break
+    decided = reduce(DataFrame.unionByName, rounds)
+    # A node all of whose neighbours were covered is its own head.
+    alone = placed.select("v").join(decided.select("v"), "v", "left_anti").select("v", F.lit(True).alias("head"))
+    return decided.unionByName(alone)
 
 
 def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
