@@ -71,12 +71,22 @@ def test_held_out_accuracy(spark, name, kind, least):
     assert (held.predicted == held[kind]).mean() >= least
 
 
-def test_scores_do_not_read_the_labels_of_held_out_rows(spark):
+@pytest.mark.parametrize(("module", "kind"), [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_do_not_read_the_labels_of_held_out_rows(spark, module, kind):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
-    one, two = (quality.scored(docs, x).toPandas().sort_values("doc_id", ignore_index=True) for x in (labels, turned))
+    turned = labels.withColumn(kind, F.when(held, 1 - F.col(kind)).otherwise(F.col(kind)))
+    one, two = (module.scored(docs, x).toPandas().sort_values("doc_id", ignore_index=True) for x in (labels, turned))
+    assert one.equals(two)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_read_the_text_only(spark, module):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.reverse("source"))
+    one, two = (module.scored(x, labels).toPandas().sort_values("doc_id", ignore_index=True) for x in (docs, other))
     assert one.equals(two)
 
 
