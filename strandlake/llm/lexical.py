@@ -182,7 +182,7 @@ class Opened:
         self.doc_ids, self.ms, self.data = r.doc_ids, np.asarray(r.ms, np.int64), r.data
         self.last, self.most, self.at = np.asarray(r.last, np.int64), np.asarray(r.most, np.int64), r.at
         ends = [int(x) for x in r.ends]
-        self.blocks_of = dict(zip(r.terms, zip([0, *ends[:-1]], ends, strict=True), strict=True))
+        self.blocks_of = dict(zip(r.terms, zip([0, *ends], ends), strict=True))
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
