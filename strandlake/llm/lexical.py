@@ -13,6 +13,8 @@ in it and the maximum of its impacts. A search moves the pointers of a query's
 terms together from one end of a block to the next, on these figures alone: an
 interval whose maxima add up to less than the score that is to be beaten is
 passed over, and blocks that only such intervals touch are never decompressed.
+A term with a single block in the shard is rare there: its postings are intervals
+of their own, so its maximum does not count between them.
 Intervals of the highest bounds are scored first, all their documents at once.
 The score to be beaten is that of the k-th best document of the shard so far, or
 of a sixteenth of all shards, which are searched first, whichever is higher: the
@@ -197,16 +199,23 @@ class Opened:
         terms = [(*self.blocks_of[t], w) for t, w in query if w and t in self.blocks_of]
         if not terms:
             return []
-        stops = np.unique(np.concatenate([self.last[a:b] for a, b, _ in terms]))  # the last places of intervals
+        # Terms of one block are rare here: they are opened, and their postings are intervals of their own.
+        rare = [(*self.block(a), w) for a, b, w in terms if b - a == 1]
+        terms = [x for x in terms if x[1] - x[0] > 1]
+        stops = np.unique(np.concatenate([self.last[a:b] for a, b, _ in terms] + [x for spots, _, _ in rare for x in (spots, spots - 1)]))  # the last places of intervals
         within = [np.searchsorted(self.last[a:b], stops) for a, b, _ in terms]  # the block of each term that an interval lies in
         bound = np.zeros(len(stops), np.int64)
         for (a, b, w), x in zip(terms, within, strict=True):
             bound += w * np.append(self.most[a:b], 0)[x]
+        for spots, impact, w in rare:
+            bound[np.searchsorted(stops, spots)] += w * impact
         left = np.argsort(-bound, kind="stable")
         places, scores, least, width = np.empty(0, np.int64), np.empty(0, np.int64), max(1, least), 8
         while len(left := left[bound[left] >= least]):
             now, left, width = left[:width], left[width:], 2 * width
             total = np.zeros(len(self.doc_ids), np.int64)
+            for spots, impact, w in rare:
+                total[spots] += w * impact
             for (a, b, w), x in zip(terms, within, strict=True):
                 for i in np.unique(x[now]).tolist():
                     if a + i < b:
