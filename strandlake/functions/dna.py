@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 BASES = "ACGT"
 COMPLEMENT = "TGCA"
+#: Prose as a sequence: the i-th letter of the alphabet, of either case, stands for base i mod 4.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+CODES = "ACGT" * 13
 
 
 def _col(x: Column | str) -> Column:
@@ -18,6 +21,11 @@ def normalised(seq: Column | str) -> Column:
     return F.regexp_replace(F.translate(_col(seq), "acgt", BASES), "[^ACGT]", "N")
 
 
+def text_residues(text: Column | str) -> Column:
+    """Prose as a sequence: white space goes, letters stand for bases, everything else for N."""
+    return F.regexp_replace(F.translate(F.regexp_replace(_col(text), "[ \\t\\r\\n]+", ""), LETTERS, CODES), "[^ACGT]", "N")
+
+
 def masked(seq: Column | str, exclude: str = "") -> Column:
     """Residues in exclude, and the stop sign, as X."""
     drop = "*" + exclude

@@ -21,8 +21,7 @@ from strandlake.scratch import scratch, temporary
 from strandlake.sources import blast_xml, fasta, psl
 
 K, CAP = 10, 500
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-CODES = "ACGT" * 13
+LETTERS, CODES = dna.LETTERS, dna.CODES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,8 +63,7 @@ def query(sql: str | None = None):
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, name, residues."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\r\\n]+", "")
-    residues = F.regexp_replace(F.translate(text, LETTERS, CODES), "[^ACGT]", "N")
+    residues = dna.text_residues(F.coalesce("text", F.lit("")))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), residues.alias("residues"))
 
@@ -180,8 +178,7 @@ def seed_table_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages as query sequences."""
     passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\r\\n]+", "")
-    return passages.select(F.col("item_id").alias("query_no"), F.regexp_replace(F.translate(text, LETTERS, CODES), "[^ACGT]", "N").alias("residues"))
+    return passages.select(F.col("item_id").alias("query_no"), dna.text_residues(F.coalesce("text", F.lit(""))).alias("residues"))
 
 
 def _probe_sql(hashed: str) -> str:
