@@ -31,6 +31,21 @@ class CompressOptions:
             raise ValueError("overlap must be less than max_chunk_size")
 
 
+@dataclass(frozen=True)
+class StoreOptions:
+    """How a database lays out its tables, from its first addition on."""
+
+    word_size: int = 11  # of the stored k-mers; searches with words of another size make theirs anew
+    seed_buckets: int = 0  # folders of k-mers, a power of two; 0: by size
+    pieces_per_part: int = 1 << 18  # coarse pieces in a folder
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.word_size <= 31 or self.pieces_per_part < 1:
+            raise ValueError("word_size must be from 1 to 31, pieces_per_part at least 1")
+        if self.seed_buckets & (self.seed_buckets - 1) or self.seed_buckets > 4**self.word_size:
+            raise ValueError("seed_buckets must be a power of two, and no more than there are k-mers")
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     """coarse_evalue and fine_evalue bound the hits kept; pad is added on both sides of an expansion."""
@@ -43,6 +58,13 @@ class SearchOptions:
     min_seeds: int = 3
     band: int = 32  # diagonals whose seeds count together
     karlin_k: float = 0.4  # the factor of e-values
+    match: int = 1
+    mismatch: int = -3
+    gap: int = -3
+    xdrop: int = 30  # an extension ends where its score is so far below its best
+    mask: bool = True  # no seeds in stretches of low complexity; extensions go over them
+    mask_window: int = 64
+    mask_level: float = 2.0
     pooled: bool = False  # every query against every expansion, not only its own
     distinct_expansions: bool = True
     merged_expansions: bool = False  # one expansion where those of a query touch
@@ -57,6 +79,7 @@ class BlatOptions(SearchOptions):
     pad: int = 10
     min_identity: float = 80.0
     max_target_span: int = 1000
+    chain_gap: int = 10_000  # hits of one alignment lie no further apart
     number_targets: bool = False
     show_offsets: bool = False
     complete_psl: bool = False

@@ -24,9 +24,21 @@ from strandlake.config import CompressOptions
 
 #: Scores and the greatest size of the dynamic-programming square.
 MATCH, MISMATCH, GAP, SQUARE = 1, -3, -3, 25
+#: Comparison without gaps goes so many bases at a time, and stops this far below its best in mismatches.
+STEP, MISMATCHES = 256, 2
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
+@dataclass(frozen=True)
+class Scores:
+    match: int = MATCH
+    mismatch: int = MISMATCH
+    gap: int = GAP
+
+
+DEFAULT = Scores()
+
+
 def walks(coarse: str, at: int, coarse_step: int, org: str, pos: int, org_step: int) -> tuple[str, str]:
     """What lies beyond coarse[at] and org[pos] in the given directions, in the coarse strand's letters."""
     c = coarse[at + 1 :] if coarse_step > 0 else coarse[:at][::-1] if at > 0 else ""
@@ -101,7 +113,7 @@ def ungapped(c: str, o: str, history: History, opts: CompressOptions) -> tuple[i
 Squares = Generator[tuple[str, str], "tuple[str, str, list[bool]] | None", Any]
 
 
-def squares(walks_: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+def squares(walks_: list[tuple[str, str]], scores: Scores = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """Scores and moves (0 both, 1 coarse only, 2 original only) of global alignment of pairs of short walks.
 
     Both are arrays (pairs, 1 + longest coarse, 1 + longest original); a tie
@@ -110,10 +122,10 @@ def squares(walks_: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     cs, os_ = (np.array([len(w[k]) for w in walks_]) for k in (0, 1))
     rows, columns = int(cs.max(initial=0)), int(os_.max(initial=0))
     c, o = (np.frombuffer("".join(w[k].ljust(n, "N") for w in walks_).encode(), np.uint8).reshape(len(walks_), n) for k, n in ((0, rows), (1, columns)))
-    gain = np.where((c[:, :, None] == o[:, None, :]) & (c != ord("N"))[:, :, None], MATCH, MISMATCH).astype(np.int32)
+    gain = np.where((c[:, :, None] == o[:, None, :]) & (c != ord("N"))[:, :, None], scores.match, scores.mismatch).astype(np.int32)
     n = len(walks_)
     score, move = np.zeros((n, rows + 1, columns + 1), np.int32), np.zeros((n, rows + 1, columns + 1), np.uint8)
-    score[:, 0], score[:, :, 0] = GAP * np.arange(columns + 1), GAP * np.arange(rows + 1)
+    score[:, 0], score[:, :, 0] = scores.gap * np.arange(columns + 1), scores.gap * np.arange(rows + 1)
     move[:, 0, 1:], move[:, 1:, 0] = 2, 1
     # Cells of one antidiagonal, i + j = d, depend on those of the two before only.
     wide = columns + 1
@@ -126,7 +138,7 @@ def squares(walks_: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         own = slice(low * wide + d - low, high * wide + d - high + 1, columns)
         at = lambda shift: flat[:, own.start - shift : own.stop - shift : columns]
         both = at(wide + 1) + flat_gain[:, (low - 1) * columns + d - low - 1 : (high - 1) * columns + d - high : max(1, columns - 1)]
-        left, up = at(1) + GAP, at(wide) + GAP
+        left, up = at(1) + scores.gap, at(wide) + scores.gap
         best = np.maximum(np.maximum(both, left), up)
         flat[:, own] = best
         flat_move[:, own] = np.where(both == best, 0, np.where(left == best, 2, 1))
@@ -138,12 +150,12 @@ def square(c: str, o: str) -> tuple[np.ndarray, np.ndarray]:
     return score[0], move[0]
 
 
-def all_gapped(walks_: list[tuple[str, str]], clump: int) -> Iterator[tuple[str, str, list[bool]] | None]:
+def all_gapped(walks_: list[tuple[str, str]], clump: int, scores: Scores = DEFAULT) -> Iterator[tuple[str, str, list[bool]] | None]:
     """For each pair the aligned strings and outcomes of the best path to the far edge, cut back to its last run of ``clump`` matches."""
     walks_ = [(c[:SQUARE], o[:SQUARE]) for c, o in walks_]
     if not walks_:
         return
-    score, move = squares(walks_)
+    score, move = squares(walks_, scores)
     n, last_row, last_column = np.arange(len(walks_)), *(np.array([len(w[k]) for w in walks_]) for k in (0, 1))
     # The far edge: the last row, then the last column; of equal ones the last.
     lowest = np.iinfo(np.int32).min
@@ -175,7 +187,7 @@ def gapped(c: str, o: str, clump: int) -> tuple[str, str, list[bool]] | None:
     return next(all_gapped([(c, o)], clump))
 
 
-def together(tasks: Iterable[Squares], clump: int, at_once: int = 2000) -> Iterator[Any]:
+def together(tasks: Iterable[Squares], clump: int, at_once: int = 2000, scores: Scores = DEFAULT) -> Iterator[Any]:
     """What each task returns, in order; at most ``at_once`` tasks run at a time."""
     tasks = iter(tasks)
     while group := list(islice(tasks, at_once)):
@@ -188,7 +200,7 @@ def together(tasks: Iterable[Squares], clump: int, at_once: int = 2000) -> Itera
                     asked[k] = group[k].send(answer)
                 except StopIteration as stop:
                     results[k] = stop.value
-            answers = dict(zip(asked, all_gapped(list(asked.values()), clump), strict=True))
+            answers = dict(zip(asked, all_gapped(list(asked.values()), clump, scores), strict=True))
         yield from results
 
 
@@ -226,6 +238,51 @@ def extension(c: str, o: str, opts: CompressOptions) -> Squares:
     return out
 
 
+@dataclass
+class Scored(Extension):
+    score: int = 0
+
+
+def dropping(c: str, o: str, scores: Scores, drop: int) -> Squares:
+    """The best-scoring extension until the score falls ``drop`` below its best: comparison without gaps, and squares where that fails."""
+    out, parts, score, columns, kept = Scored(), [], 0, 0, 0
+
+    def take(a: str, b: str, gains: np.ndarray) -> None:
+        nonlocal score, columns, kept
+        reached = score + np.cumsum(gains)
+        top = int(np.argmax(reached))
+        if reached[top] > out.score:
+            out.score, kept = int(reached[top]), columns + top + 1
+        parts.append((a, b))
+        score, columns = int(reached[-1]), columns + len(a)
+
+    i = j = 0
+    while i < len(c) and j < len(o):
+        same = agreement(c[i : i + STEP], o[j : j + STEP])
+        gains = np.where(same, scores.match, scores.mismatch)
+        reached = np.cumsum(gains)
+        # The highest place yet, the start among them, and where comparison has fallen too far below it.
+        highest = np.maximum.accumulate(np.concatenate([[0], reached]))
+        low = np.flatnonzero(reached <= highest[:-1] + MISMATCHES * scores.mismatch)
+        n = len(same) if not len(low) else int(np.argmax(np.concatenate([[0], reached[: low[0]]])))
+        if n:
+            take(c[i : i + n], o[j : j + n], gains[:n])
+            i, j = i + n, j + n
+        if not len(low):
+            continue
+        found = yield c[i : i + SQUARE], o[j : j + SQUARE]
+        if found is None:
+            break
+        a, b, ok = found
+        take(a, b, np.array([scores.match if fits else scores.gap if "-" in pair else scores.mismatch for fits, *pair in zip(ok, a, b, strict=True)]))
+        i, j = i + len(a) - a.count("-"), j + len(b) - b.count("-")
+        if score < out.score - drop:
+            break
+    out.coarse, out.org = ("".join(p[k] for p in parts)[:kept] for k in (0, 1))
+    out.coarse_used, out.org_used = len(out.coarse) - out.coarse.count("-"), len(out.org) - out.org.count("-")
+    return out
+
+
 def extend(c: str, o: str, opts: CompressOptions) -> Extension:
     return next(together([extension(c, o, opts)], opts.consec_match_clump_size))
 

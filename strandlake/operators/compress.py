@@ -1,19 +1,26 @@
 """Compression: representative (coarse) pieces, and links with edit scripts to them.
 
 ``batch`` is the scalable form. Sequences are cut into chunks; equal chunks
-collapse; chunks that share a sample of long k-mers on a diagonal are neighbours.
-In rounds, chunks that come before all their undecided neighbours, those with
-most in common with neighbours first, become representatives, and their neighbours are covered by them, until
-every chunk is one or the other. A covered chunk is aligned, from seeds of the
-size asked for, against the representative, or the coarse piece of an existing
-database, that it shares most k-mers with. Every long enough match that is
+collapse. Spaced seeds, chosen so that a matching stretch of the stated length
+and identity is missed with a known, small probability, make chunks candidates:
+each chunk is a neighbour of the first HELD chunks that hold its seeds, where two
+or more lie on a diagonal. In rounds, chunks that come before all their undecided
+neighbours, those with most in common with neighbours first, become
+representatives, until every other one with neighbours is next to one. Then all
+others look for representatives, or coarse pieces of an existing
+database, by their seeds once more; each is aligned, from seeds of the
+size asked for, against the one that it shares most with. Every long enough match that is
 accepted, one after the other, becomes a link; what matches leave over becomes
-coarse pieces of its own. Nothing depends on the order of execution.
+coarse pieces of its own. Nothing depends on the order of execution. As a seed
+pairs its holders with HELD of them at most, rows grow with the input, however
+often a seed stands in it; chunks beyond meet through those.
 
 ``serial`` covers one sequence after the other in one task, each against all
 coarse pieces before it, first match first: for small inputs and tests.
 
-Either way the links of a sequence, in order, cover it completely.
+Either way the links of a sequence, in order, cover it completely. Ids of
+sequences are any 64-bit numbers; coarse pieces get dense numbers, which go on
+from those that are there.
 """
 
 from __future__ import annotations
@@ -32,16 +39,17 @@ from strandlake.config import CompressOptions
 from strandlake.functions.edits import apply_script, reverse_complement, script_of
 from strandlake.operators.align import Match, Squares, match_at, together
 from strandlake.operators.chunks import chunk_windows, dealt
-from strandlake.operators.kmers import codes, sample_hits, sampled
+from strandlake.operators.kmers import codes, first_marks, marks, seed_plan, shared_marks
+from strandlake.operators.prefix import numbered, running_total
 
 LINKS = "seq_id long, link_no int, coarse_id long, original_start long, original_end long, coarse_start int, coarse_end int, fwd boolean, script string"
 COARSE = "coarse_id long, residues string, length int"
-PIECES = "chunk_id long, start int, end int, coarse_id long, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
-#: Chunks of one sequence are numbered below this; so are the coarse pieces cut from one chunk.
-PER_SEQUENCE, PER_CHUNK = 1 << 20, 1 << 10
-#: K-mers that make chunks candidates: long ones, as short ones are everywhere in a large
-#: collection, and one in RATE of them, chosen by content.
-CANDIDATE_K, RATE = 20, 8
+PIECES = "chunk_id long, start int, end int, no int, target long, kind int, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
+FINE = 4
+#: Of the pieces that hold a seed, so many are candidates for a chunk that has it.
+HELD = 16
+#: A stretch that passes every window has somewhat more than the windows' least identity.
+ABOVE_WINDOWS = 0.02
 #: Diagonals of a band in which samples are counted and seeds looked for.
 BAND = 64
 #: A seed on a diagonal that was refused is not tried again within so many bases.
@@ -131,11 +139,11 @@ def heads_of(edges: DataFrame, cut) -> DataFrame:
     """(v, head) for each end of edges (a, b, n): representatives, none of which is another's neighbour, and each other node next to one.
 
     Rounds of Luby's algorithm. Nodes with most in common with their neighbours,
-    in powers of two, come first, others in an order by hash; so rounds are
-    logarithmic for each power.
+    in FINE steps for each power of two, come first, others in an order by hash;
+    so rounds are logarithmic for each step.
     """
-    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n")).distinct()
-    weight = both.groupBy(F.col("a").alias("v")).agg(F.floor(F.log2(F.sum("n"))).alias("w"))
+    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n"))
+    weight = both.groupBy(F.col("a").alias("v")).agg(F.floor(FINE * F.log2(F.sum("n"))).alias("w"))
     placed = cut(weight.select("v", F.struct((-F.col("w")).alias("w"), F.xxhash64("v").alias("o"), "v").alias("p")), "head-order")
     ends = [placed.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
     left = cut(both.select("a", "b").join(ends[0], "a").join(ends[1], "b"), "head-edges")
@@ -156,45 +164,50 @@ def heads_of(edges: DataFrame, cut) -> DataFrame:
     return decided.unionByName(alone)
 
 
+def near_pairs(found: DataFrame, other: str, enough: int) -> DataFrame:
+    """chunk_id, other, n, bands of seeds in common: pairs with enough of them in two bands that touch, how many at most, and all such bands."""
+    band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / BAND)
+    by_band = found.groupBy("chunk_id", other, "fwd", band.alias("band")).agg(F.count("*").alias("c"))
+    own = by_band.groupBy("chunk_id", other).agg(F.sum("c").alias("_all"), F.sort_array(F.collect_list(F.struct("fwd", "band", "c"))).alias("x")).filter(F.col("_all") >= enough)
+
+    def beside(x, i, step: int):
+        y = F.get("x", i + step)
+        return F.when((y["fwd"] == x["fwd"]) & (y["band"] == x["band"] + step), y["c"]).otherwise(0)
+
+    counted = F.transform("x", lambda x, i: F.struct(x["fwd"].alias("fwd"), x["band"].alias("band"), (x["c"] + F.greatest(beside(x, i, 1), F.when(i > 0, beside(x, i, -1)).otherwise(0))).alias("c")))
+    kept = own.select("chunk_id", other, F.filter(counted, lambda x: x["c"] >= enough).alias("x")).filter(F.size("x") > 0)
+    return kept.select("chunk_id", other, F.array_max(F.transform("x", lambda x: x["c"])).alias("n"), F.transform("x", lambda x: F.struct(x["fwd"].alias("fwd"), x["band"].alias("band"))).alias("bands"))
+
+
 def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, new coarse pieces) of seqs (seq_id, residues, normalised). cut(df, name) writes df and reads it again."""
-    chunks = chunk_windows(seqs, opts.max_chunk_size, opts.overlap).withColumn("chunk_id", F.col("seq_id") * PER_SEQUENCE + F.col("chunk_no"))
-    chunks = cut(chunks.withColumn("key", F.sha2("residues", 256)), "chunks")
-    firsts = chunks.groupBy("key").agg(F.min("chunk_id").alias("chunk_id"))
-    distinct = cut(chunks.join(firsts, ["key", "chunk_id"], "left_semi").select("chunk_id", "key", "residues"), "distinct-chunks")
-
-    k = CANDIDATE_K
-    marks = cut(sampled(distinct, k, RATE, "chunk_id"), "chunk-marks")
-    hits = sample_hits(marks, marks.withColumnRenamed("chunk_id", "other"), opts.max_kmer_freq, "chunk_id", "other").filter("other < chunk_id")
-    # A match leaves its k-mers on neighbouring diagonals.
-    band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / BAND)
-    enough = max(2, opts.min_match_len // (RATE * 8))
-
-    def near_pairs(found: DataFrame, other: str) -> DataFrame:
-        """chunk_id, other, n, bands: pairs with enough samples in a band, and all bands with some, at most as many as samples of a chunk."""
-        by_band = found.groupBy("chunk_id", other, "fwd", band.alias("band")).agg(F.count("*").alias("n"))
-        return by_band.groupBy("chunk_id", other).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("fwd", "band"))).alias("bands")).filter(F.col("n") >= enough)
-
-    edges = cut(near_pairs(hits, "other"), "chunk-edges")
-    texts = distinct.select(F.col("chunk_id").alias("target"), F.lit(1).alias("kind"), F.col("residues").alias("target_residues"))
-    known = None
-    if coarse is not None:
-        met = sample_hits(marks, sampled(coarse, k, RATE, "coarse_id"), opts.max_kmer_freq, "chunk_id", "coarse_id")
-        known = cut(near_pairs(met, "coarse_id"), "chunk-known")
-        texts = texts.unionByName(coarse.select(F.col("coarse_id").alias("target"), F.lit(0).alias("kind"), F.col("residues").alias("target_residues")))
+    chunks = cut(chunk_windows(seqs, opts.max_chunk_size, opts.overlap).withColumn("key", F.sha2("residues", 256)), "chunks")
+    ids = cut(numbered(chunks.select("key").distinct(), "key", "chunk_id", 0, cut), "chunk-ids")
+    distinct = cut(chunks.select("key", "residues").dropDuplicates(["key"]).join(ids, "key").select("chunk_id", "residues"), "distinct-chunks")
+    known = coarse if coarse is None else coarse.select("coarse_id", "residues")
+    first, before = (0, 0) if known is None else known.agg(F.coalesce(F.max("coarse_id") + 1, F.lit(0)), F.coalesce(F.sum(F.length("residues")), F.lit(0))).first()
+
+    bases = before + distinct.agg(F.coalesce(F.sum(F.length("residues")), F.lit(0))).first()[0]
+    plan = seed_plan(1 << max(1, bases - 1).bit_length(), min(0.99, opts.window_ident_thresh / 100 + ABOVE_WINDOWS), opts.min_match_len)
+    own = cut(marks(distinct, plan, "chunk_id"), "chunk-marks")
+    free = own
+    if known is not None:
+        places = first_marks(marks(known, plan, "coarse_id"), "coarse_id", HELD)
+        met = cut(near_pairs(shared_marks(own, places, "chunk_id", "coarse_id"), "coarse_id", plan.enough), "chunk-known")
         # Chunks near the database go to it; only whole chunks can be representatives.
-        near = known.select("chunk_id").distinct()
-        edges = cut(edges.join(near, "chunk_id", "left_anti").join(near.withColumnRenamed("chunk_id", "other"), "other", "left_anti"), "chunk-edges")
-    roles = heads_of(edges.select(F.col("chunk_id").alias("a"), F.col("other").alias("b"), "n"), cut)
-    # Seen from the other chunk, forward diagonals are negative, and those of a band lie in two.
-    turned = F.flatten(F.transform("bands", lambda x: F.when(x["fwd"], F.array(F.struct(x["fwd"].alias("fwd"), (-x["band"] - 1).alias("band")), F.struct(x["fwd"].alias("fwd"), (-x["band"]).alias("band")))).otherwise(F.array(x))))
-    both = edges.select("chunk_id", "other", "n", "bands").union(edges.select("other", "chunk_id", "n", turned))
-    to_heads = both.join(roles.filter("head").select(F.col("v").alias("other")), "other").select("chunk_id", F.col("other").alias("target"), "n", F.lit(1).alias("kind"), "bands")
+        free = own.join(met.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    holders = first_marks(free, "chunk_id", HELD).withColumnRenamed("chunk_id", "other")
+    stars = shared_marks(free, holders, "chunk_id", "other").filter("other < chunk_id")
+    edges = cut(near_pairs(stars, "other", plan.enough).select(F.col("chunk_id").alias("a"), F.col("other").alias("b"), "n"), "chunk-edges")
+    heads = cut(heads_of(edges, cut).filter("head").select(F.col("v").alias("chunk_id")), "heads")
+    places = first_marks(free.join(heads, "chunk_id", "left_semi"), "chunk_id", HELD).withColumnRenamed("chunk_id", "target")
+    found = near_pairs(shared_marks(free.join(heads, "chunk_id", "left_anti"), places, "chunk_id", "target"), "target", plan.enough).withColumn("kind", F.lit(1))
+    texts = distinct.join(heads, "chunk_id", "left_semi").select(F.col("chunk_id").alias("target"), F.lit(1).alias("kind"), F.col("residues").alias("target_residues"))
     if known is not None:
-        to_heads = to_heads.unionByName(known.select("chunk_id", F.col("coarse_id").alias("target"), "n", F.lit(0).alias("kind"), "bands"))
-    best = to_heads.groupBy("chunk_id").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"), (-F.col("target")).alias("t"), "bands")).alias("x"))
-    best = cut(best.select("chunk_id", (-F.col("x.t")).alias("target"), (-F.col("x.k")).alias("kind"), "x.bands"), "chunk-targets")
-    # Targets of chunk edges keep their chunk's number as coarse_id; those of a database their own.
+        found = found.unionByName(met.withColumnRenamed("coarse_id", "target").withColumn("kind", F.lit(0)))
+        texts = texts.unionByName(known.select(F.col("coarse_id").alias("target"), F.lit(0).alias("kind"), F.col("residues").alias("target_residues")))
+    best = found.groupBy("chunk_id").agg(F.max(F.struct("n", (-F.col("target")).alias("t"), "kind", "bands")).alias("x"))
+    best = cut(best.select("chunk_id", (-F.col("x.t")).alias("target"), "x.kind", "x.bands"), "chunk-targets")
     paired = distinct.join(best, "chunk_id", "left").join(texts, ["target", "kind"], "left")
 
     def around(bands: list) -> set[tuple[bool, int]]:
@@ -206,24 +219,36 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
             rows = []
             tasks = (nothing() if r.target_residues is None else matches(r.residues, r.target_residues, opts, None, around(r.bands)) for r in pdf.itertuples())
             for r, found in zip(pdf.itertuples(), together(tasks, opts.consec_match_clump_size, 200), strict=True):
-                target = None if r.target_residues is None else int(r.target) * (PER_CHUNK if r.kind == 1 else 1)
-                for i, (start, end, cid, *rest) in enumerate(cover(r.residues, found, target)):
-                    literal = cid is None
-                    rows.append((r.chunk_id, start, end, r.chunk_id * PER_CHUNK + i if literal else cid, *rest, r.residues[start:end] if literal else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+                target, kind = (None, None) if r.target_residues is None else (int(r.target), int(r.kind))
+                literals = 0
+                for start, end, linked, *rest in cover(r.residues, found, target):
+                    if linked is None:
+                        rows.append((r.chunk_id, start, end, literals, None, None, *rest, r.residues[start:end]))
+                        literals += 1
+                    else:
+                        rows.append((r.chunk_id, start, end, None, target, kind, *rest, None))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+            yield out.astype({"no": "Int32", "target": "Int64", "kind": "Int32"})
 
     paired = dealt(paired.select("chunk_id", "residues", "target", "kind", "bands", "target_residues"), "chunk_id")
     pieces = cut(paired.mapInPandas(align, PIECES), "pieces")
-    new = pieces.filter("residues is not null").select("coarse_id", "residues", F.length("residues").alias("length"))
-    named = chunks.select("seq_id", F.col("start").alias("at"), "key", "chunk_no").join(distinct.select("key", "chunk_id"), "key")
-    placed = named.join(pieces.drop("residues"), "chunk_id").select("seq_id", (F.col("at") + F.col("start")).cast("long").alias("original_start"), (F.col("at") + F.col("end") - 1).cast("long").alias("original_end"), "coarse_id", "coarse_start", "coarse_end", "fwd", "script", "chunk_no")
+    # The literal pieces of a chunk are numbered after those of all chunks before it.
+    literal = pieces.filter("residues is not null")
+    begin = cut(running_total(literal.groupBy("chunk_id").agg(F.count("*").alias("_n")), "chunk_id", F.col("_n"), "begin", cut).select(F.col("chunk_id").alias("owner"), (F.col("begin") + first).alias("begin")), "piece-ids")
+    new = literal.withColumnRenamed("chunk_id", "owner").join(begin, "owner").select((F.col("begin") + F.col("no")).alias("coarse_id"), "residues", F.length("residues").alias("length"))
+    # A representative is whole, so it is the first literal piece of its chunk.
+    owner = F.when(F.col("target").isNull(), F.col("chunk_id")).when(F.col("kind") == 1, F.col("target"))
+    coarse_id = F.when(F.col("kind") == 0, F.col("target")).otherwise(F.col("begin") + F.coalesce("no", F.lit(0)))
+    placed = pieces.drop("residues").withColumn("owner", owner).join(begin, "owner", "left").withColumn("coarse_id", coarse_id)
+    named = chunks.select("seq_id", F.col("start").alias("at"), "key", "chunk_no").join(ids, "key")
+    spots = named.join(placed, "chunk_id").select("seq_id", (F.col("at") + F.col("start")).cast("long").alias("original_start"), (F.col("at") + F.col("end") - 1).cast("long").alias("original_end"), "coarse_id", "coarse_start", "coarse_end", "fwd", "script", "chunk_no")
     number = F.row_number().over(Window.partitionBy("seq_id").orderBy("chunk_no", "original_start")) - 1
-    links = placed.withColumn("link_no", number.cast("int")).select(*(c.split()[0] for c in LINKS.split(", ")))
+    links = spots.withColumn("link_no", number.cast("int")).select(*(c.split()[0] for c in LINKS.split(", ")))
     return cut(links, "links"), cut(new, "coarse")
 
 
-def serial(seqs: DataFrame, opts: CompressOptions, cut) -> tuple[DataFrame, DataFrame]:
-    """The same by one greedy scan in one task."""
+def serial(seqs: DataFrame, opts: CompressOptions, cut, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The same by one greedy scan in one task, coarse pieces numbered from first."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         index: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -274,6 +299,7 @@ def serial(seqs: DataFrame, opts: CompressOptions, cut) -> tuple[DataFrame, Data
 
     schema = "seq_id long, original_start long, original_end long, coarse_id long, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
     found = cut(seqs.filter(F.length("residues") > 0).select("seq_id", "residues", F.lit(0).alias("g")).groupBy("g").applyInPandas(lambda key, pdf: run(key, pdf), schema), "serial")
+    found = found.withColumn("coarse_id", F.col("coarse_id") + first)
     number = F.row_number().over(Window.partitionBy("seq_id").orderBy("original_start")) - 1
     links = found.withColumn("link_no", number.cast("int")).select(*(c.split()[0] for c in LINKS.split(", ")))
     return links, found.filter("residues is not null").select("coarse_id", "residues", F.length("residues").alias("length"))

@@ -8,7 +8,11 @@ was measured at a fifth of the time of strings, their reversal and conversion.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -137,19 +141,104 @@ def sampled(seqs: DataFrame, k: int, rate: int, key: str, residues: str = "resid
 
     def places(seq: str) -> dict[str, np.ndarray]:
         here, there = codes(seq, k)
-        x = np.minimum(here, there).astype(np.uint64)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # spreads every bit
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
+        x = spread(np.minimum(here, there).astype(np.uint64))
         at = np.flatnonzero((here >= 0) & (x % np.uint64(rate) == 0))
         return {"h": x[at].view(np.int64), "pos": at.astype(np.int32), "flipped": there[at] < here[at]}
 
     return _numbered(seqs, key, f"{key} {_type_of(seqs, key)}, h long, pos int, flipped boolean", places, residues)
 
 
-def sample_hits(left: DataFrame, right: DataFrame, most: int, left_key: str, right_key: str) -> DataFrame:
-    """left_key, qpos, right_key, pos, fwd: samples of one k-mer; of right at most ``most`` places of each, the first."""
-    rank = F.row_number().over(Window.partitionBy("h").orderBy(right_key, "pos"))
-    places = right.withColumn("rn", rank).filter(F.col("rn") <= most).select("h", right_key, "pos", F.col("flipped").alias("turned"))
+def spaced_codes(seq: str, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As codes(), of the bases at the given offsets from each position; offsets must read the same from both ends."""
+    span, v = offsets[-1] + 1, _VALUES[np.frombuffer(seq.encode(), np.uint8)].astype(np.int64)
+    n = len(v) - span + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 2
+    forward, backward, clean = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    for i, at in enumerate(offsets):
+        x = v[at : at + n]
+        forward += x << (2 * i)
+        backward += (3 - x) << (2 * (len(offsets) - 1 - i))
+        clean &= x >= 0
+    return np.where(clean, forward, -1), np.where(clean, backward, -1)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of unsigned 64-bit numbers; different ones stay different."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class SeedPlan:
+    """Spaced seeds, all of one weight, of which one in ``rate`` is kept by content; a pair needs ``enough`` of them. miss: computed."""
+
+    patterns: tuple[tuple[int, ...], ...]
+    rate: int
+    enough: int
+    miss: float
+
+
+def missed(patterns: tuple[tuple[int, ...], ...], rate: int, enough: int, identity: float, length: int, trials: int = 4000) -> float:
+    """The share of alignments without gaps, of this length and identity, that fewer than ``enough`` kept seeds hit: by drawing them, always the same ones."""
+    draw = np.random.default_rng(1)
+    same, hits = draw.random((trials, length)) < identity, np.zeros(trials, np.int64)
+    for offsets in patterns:
+        n = length - offsets[-1]
+        if n > 0:
+            met = np.logical_and.reduce([same[:, at : at + n] for at in offsets])
+            hits += (met & (draw.random((trials, n)) < 1 / rate)).sum(axis=1)
+    return float((hits < enough).mean())
+
+
+def pattern(weight: int, number: int) -> tuple[int, ...]:
+    """The number-th pattern of a weight: ``weight`` offsets within half as many again, ends included, the same from both ends."""
+    span = weight + 2 * (weight // 4)
+    draw, half = random.Random(1000 * weight + number), list(range(1, span // 2))
+    left = sorted([0, *draw.sample(half, weight // 2 - 1)])
+    return tuple(left + [span // 2] * (weight % 2) + [span - 1 - x for x in reversed(left)])
+
+
+@cache
+def seed_plan(bases: int, identity: float, length: int, miss: float = 0.05, enough: int = 2) -> SeedPlan:
+    """The cheapest seeds that miss a matching stretch of this length and identity with at most this probability.
+
+    Their weight grows with the collection, so that a seed has a sixty-fourth of a chance place in it.
+    """
+    weight = min(30, max(12, math.ceil(math.log(max(bases, 1), 4)) + 3))
+    best = sorted(range(12), key=lambda i: (missed((pattern(weight, i),), 1, 4, identity, length, 400), i))
+    for count, rate in ((1, 8), (1, 4), (1, 2), (1, 1), (2, 1), (4, 1), (8, 1)):
+        patterns = tuple(pattern(weight, i) for i in best[:count])
+        plan = SeedPlan(patterns, rate, enough, missed(patterns, rate, enough, identity, length))
+        if plan.miss <= miss:
+            break
+    return plan
+
+
+def marks(seqs: DataFrame, plan: SeedPlan, key: str, residues: str = "residues") -> DataFrame:
+    """key, h, pos, flipped: the kept seeds, chosen by their content and read on their smaller strand; those of different patterns differ."""
+    patterns, rate = plan.patterns, np.uint64(plan.rate)
+
+    def places(seq: str) -> dict[str, np.ndarray]:
+        found = []
+        for i, offsets in enumerate(patterns):
+            here, there = spaced_codes(seq, offsets)
+            x = spread(np.minimum(here, there).astype(np.uint64) + np.uint64(i << 60))
+            at = np.flatnonzero((here >= 0) & (x % rate == 0))
+            found.append((x[at].view(np.int64), at.astype(np.int32), there[at] < here[at]))
+        return dict(zip(("h", "pos", "flipped"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+
+    return _numbered(seqs, key, f"{key} {_type_of(seqs, key)}, h long, pos int, flipped boolean", places, residues)
+
+
+def shared_marks(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left_key, qpos, right_key, pos, fwd: seeds that both have."""
     own = left.select("h", left_key, F.col("pos").alias("qpos"), "flipped")
-    return own.join(places, "h").select(left_key, "qpos", right_key, "pos", (F.col("flipped") == F.col("turned")).alias("fwd"))
+    return own.join(right.select("h", right_key, "pos", F.col("flipped").alias("turned")), "h").select(left_key, "qpos", right_key, "pos", (F.col("flipped") == F.col("turned")).alias("fwd"))
+
+
+def first_marks(found: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each seed the first ``most`` places by key and position; Spark applies the limit before the shuffle, too."""
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(key, "pos"))
+    return found.withColumn("_rn", rank).filter(F.col("_rn") <= most).drop("_rn")

@@ -1,0 +1,357 @@
+"""Ids that can't collide, stored seeds and reverse links, candidates with a known sensitivity, masking, extension, culling and chains."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.config import BlatOptions, CompressOptions, SearchOptions, StoreOptions
+from strandlake.functions.edits import reverse_complement
+from strandlake.operators import chain, compress, kmers, search
+from strandlake.operators.align import DEFAULT, Scores, dropping, together
+from strandlake.operators.masking import low_complexity
+from strandlake.operators.prefix import numbered, running_total
+from strandlake.plans.database import Database
+from strandlake.scratch import scratch
+from strandlake.sources.psl import read_psl, write_psl
+from tests.test_align import bases, changed
+
+SMALL = CompressOptions(max_chunk_size=1000, overlap=100)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "seq_id long, residues string")
+
+
+def rebuilt(db):
+    return sorted((r["seq_id"], r["residues"]) for r in db.decompress().collect())
+
+
+# ---- ids
+
+
+def test_more_pieces_in_a_chunk_than_any_packing_holds(spark):
+    """Two sequences of one family, with large chunks and small matches: over a thousand pieces in a chunk."""
+    r = random.Random(5)
+    base = bases(r, 120_000)
+    # A stretch of 60 stays, one of 40 is replaced.
+    other = "".join(base[i : i + 60] + bases(r, 40) for i in range(0, len(base), 100))
+    opts = CompressOptions(max_chunk_size=125_000, overlap=100, min_match_len=30, min_progress=20)
+    links, coarse = compress.batch(frame(spark, [(1, base), (2, other)]), opts, scratch(spark))
+    assert links.groupBy("seq_id").count().agg(F.max("count")).first()[0] > 1024
+    ids = sorted(x["coarse_id"] for x in coarse.select("coarse_id").collect())
+    assert ids == list(range(len(ids)))
+    assert {x["seq_id"]: x["residues"] for x in compress.decompress(links, coarse).collect()} == {1: base, 2: other}
+
+
+@pytest.mark.parametrize("mode", ["batch", "serial"])
+def test_any_64_bit_ids(spark, tmp_path, mode):
+    r = random.Random(6)
+    base = bases(r, 1500)
+    rows = [(2**40, base), (-(2**63), changed(r, base)), (2**63 - 1, bases(r, 500)), (0, base), (-1, "")]
+    db = Database.create(str(tmp_path / "db"), frame(spark, rows), SMALL, mode)
+    more = [(2**62, changed(r, base)), (7, bases(r, 300))]
+    db.add("more", frame(spark, more), SMALL, mode)
+    assert rebuilt(db) == sorted(rows + more)
+    assert [x["residues"] for x in db.sequence(2**40).collect()] == [base]
+    ids = sorted(x["coarse_id"] for x in db.table("coarse").collect())
+    assert ids == list(range(len(ids)))
+
+
+def test_ids_must_be_new(spark, tmp_path):
+    r = random.Random(7)
+    path, rows = str(tmp_path / "db"), [(1, bases(r, 900)), (2, bases(r, 400))]
+    db = Database.create(path, frame(spark, rows), SMALL)
+    for wrong in ([(1, bases(r, 500))], [(3, "ACGT"), (3, "ACGT")], [(None, "ACGT")]):
+        with pytest.raises(ValueError, match="ids"):
+            db.append(frame(spark, wrong), SMALL)
+        assert rebuilt(db) == rows
+    db.append(frame(spark, [(3, "ACGT")]), SMALL)
+    assert rebuilt(db) == [*rows, (3, "ACGT")]
+
+
+def test_what_is_left_of_a_broken_creation_is_replaced(spark, tmp_path):
+    import shutil
+
+    path, rows = str(tmp_path / "db"), [(1, "ACGT" * 100)]
+    Database.create(path, frame(spark, [(9, "TTTT"), (8, "GG")]), SMALL)
+    shutil.rmtree(f"{path}/commits")
+    db = Database.create(path, frame(spark, rows), SMALL)
+    assert rebuilt(db) == rows
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/file").write_text("x")
+    with pytest.raises(FileExistsError):
+        Database.create(str(tmp_path / "other"), frame(spark, rows), SMALL)
+
+
+def test_numbers_of_keys_far_apart(spark):
+    keys = [i << 30 for i in range(5000)] + [-(1 << 62), (1 << 62) + 5]
+    df = spark.createDataFrame([(k, k % 7 + 7) for k in keys], "id long, n long").repartition(5)
+    want, at = [], 0
+    for k in sorted(keys):
+        want.append((k, at))
+        at += k % 7 + 7
+    total = running_total(df, "id", F.col("n"), "t")
+    assert sorted((r["id"], r["t"]) for r in total.collect()) == want
+    assert sorted((r["id"], r["k"]) for r in numbered(df, "id", "k").collect()) == [(k, i) for i, k in enumerate(sorted(keys), 1)]
+    placed = total._jdf.queryExecution().executedPlan().toString()
+    assert placed.count("SinglePartition") <= 2  # of the totals, one row for a partition, in the first plan and the last
+    assert running_total(df.limit(0), "id", F.col("n"), "t").collect() == []
+
+
+# ---- stored seeds and reverse links
+
+
+@pytest.fixture(scope="module")
+def families(spark, tmp_path_factory):
+    """A database in two additions, in small folders, and its texts."""
+    r = random.Random(11)
+    heads = [bases(r, 1200) for _ in range(12)]
+    texts = {i: changed(r, heads[i % 12]) if i >= 12 else heads[i] for i in range(36)}
+    store = StoreOptions(word_size=11, seed_buckets=64, pieces_per_part=4)
+    db = Database.create(str(tmp_path_factory.mktemp("families") / "db"), frame(spark, list(texts.items())[:24]), SMALL, store=store)
+    db.append(frame(spark, list(texts.items())[24:]), SMALL)
+    return db, texts, heads
+
+
+def test_layout_is_kept(families):
+    db, _, _ = families
+    assert db.layout() == StoreOptions(11, 64, 4)
+    n = db.table("coarse").count()
+    assert db.table("seeds").select("coarse_id").distinct().count() <= n
+    want = sum(max(0, r["length"] - 10) for r in db.table("coarse").collect())
+    assert db.table("seeds").count() == want  # every place, once; an addition has those of its own pieces only
+    assert db.table("by_coarse").count() == db.table("links").count()
+
+
+def files_read(spark, df):
+    """Files that scans of df read, by running it without adaptive changes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        return sum(int(leaves.apply(i).metrics().apply("numFiles").value()) for i in range(leaves.length()) if leaves.apply(i).nodeName().startswith("Scan parquet"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_search_reads_stored_seeds_where_they_lie(spark, families):
+    db, texts, heads = families
+    queries = spark.createDataFrame([(5, heads[3][100:500])], "query_no long, residues string")
+    asked = kmers.probes(queries, 11, "query_no")
+    places = db.seeds_of(SearchOptions())(asked)
+    joined = places.join(F.broadcast(asked), "h")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    scan = plan[: plan.index("Scan parquet")]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "bucket" in plan and scan.count("BroadcastExchange") == plan.count("BroadcastExchange") or "PartitionFilters" in plan
+    few = db.seeds_of(SearchOptions())(spark.createDataFrame([(0,)], "h long"))
+    assert files_read(spark, few) <= 2 < files_read(spark, db.table("seeds"))  # one bucket of each addition
+    # The same hits as with seeds made for the search.
+    key = lambda df: sorted(map(str, df.collect()))
+    anew = db.seeds_of
+    try:
+        want = key(db.coarse_hits(queries, SearchOptions()))
+        db.seeds_of = lambda opts: lambda asked: kmers.seed_places(db.table("coarse").select(F.col("coarse_id").alias("target"), "residues"), 11, "target")
+        assert key(db.coarse_hits(queries, SearchOptions())) == want and want
+    finally:
+        db.seeds_of = anew
+    assert {r["seq_id"] for r in db.search(queries).collect()} == {3, 15, 27}
+    assert {r["seq_id"] for r in db.search(queries, SearchOptions(word_size=12)).collect()} == {3, 15, 27}
+
+
+def test_expanding_a_hit_reads_its_own_folder(spark, families):
+    db, _, _ = families
+    one = spark.createDataFrame([(0,)], "coarse_id long").select(F.expr("coarse_id div 4").alias("part"))
+    every, some = files_read(spark, db.table("by_coarse")), files_read(spark, db.within("by_coarse", "part", one))
+    assert some <= 2 and every >= 8
+    assert files_read(spark, db.pieces(spark.createDataFrame([(0,), (1,)], "coarse_id long"))) <= 2 < files_read(spark, db.table("coarse"))
+    assert [r["coarse_id"] for r in db.coarse_sequence(5, 6).orderBy("coarse_id").collect()] == [5, 6]
+
+
+# ---- candidates
+
+
+def test_patterns_are_symmetric_and_codes_are_those_of_both_strands():
+    r = random.Random(2)
+    seq = bases(r, 200) + "N" + bases(r, 50)
+    for weight in (12, 13, 15, 22, 30):
+        offsets = kmers.pattern(weight, 3)
+        assert len(set(offsets)) == weight and offsets[0] == 0 and [offsets[-1] - x for x in reversed(offsets)] == list(offsets)
+        here, there = kmers.spaced_codes(seq, offsets)
+        back_here, back_there = kmers.spaced_codes(reverse_complement(seq), offsets)
+        assert here.tolist() == back_there[::-1].tolist() and there.tolist() == back_here[::-1].tolist()
+        number = lambda w: -1 if "N" in w else sum("ACGT".index(b) * 4**i for i, b in enumerate(w))
+        assert here.tolist() == [number([seq[i + x] for x in offsets]) for i in range(len(seq) - offsets[-1])]
+    assert len(kmers.spaced_codes("ACGT", kmers.pattern(12, 0))[0]) == 0
+
+
+@pytest.mark.parametrize(("size", "identity"), [(10**4, 0.87), (10**7, 0.87), (10**9, 0.9)])
+def test_seeds_miss_as_computed(size, identity):
+    plan = kmers.seed_plan(size, identity, 300)
+    assert plan.miss <= 0.05
+    r, missed = random.Random(4), 0
+    for _ in range(300):
+        a = bases(r, 300)
+        b = "".join(x if r.random() < identity else r.choice([y for y in "ACGT" if y != x]) for x in a)
+        hits = 0
+        for i, offsets in enumerate(plan.patterns):
+            codes = [np.minimum(*kmers.spaced_codes(s, offsets)).astype(np.uint64) + np.uint64(i << 60) for s in (a, b)]
+            x, y = (kmers.spread(c) for c in codes)
+            hits += int(((x == y) & (x % np.uint64(plan.rate) == 0)).sum())
+        missed += hits < plan.enough
+    assert missed <= 300 * 0.05 + 10
+
+
+def with_changes(r, text, share):
+    """Substitutions only, so that the share is exact."""
+    at = set(r.sample(range(len(text)), round(share * len(text))))
+    return "".join(r.choice([y for y in "ACGT" if y != x]) if i in at else x for i, x in enumerate(text))
+
+
+@pytest.mark.parametrize("share", [0.04, 0.08, 0.12])
+def test_batch_saves_what_serial_saves(spark, share):
+    """Sequences that share a stretch of 450 bases with another one, at a given share of changes."""
+    saved = {"batch": 0, "serial": 0}
+    for seed in (1, 2):
+        r = random.Random(seed)
+        shared = [bases(r, 450) for _ in range(6)]
+        rows = [(i, bases(r, 300) + shared[i] + bases(r, 300)) for i in range(6)] + [(6 + i, bases(r, 200) + with_changes(r, shared[i], share) + bases(r, 400)) for i in range(6)]
+        total = sum(len(s) for _, s in rows)
+        for mode in saved:
+            links, coarse = getattr(compress, mode)(frame(spark, rows), CompressOptions(), scratch(spark))
+            saved[mode] += total - coarse.agg(F.sum("length")).first()[0]
+            assert {x["seq_id"]: x["residues"] for x in compress.decompress(links, coarse).collect()} == dict(rows)
+    assert saved["batch"] >= 0.95 * saved["serial"]
+
+
+# ---- search
+
+
+def test_low_complexity():
+    r = random.Random(8)
+    assert not low_complexity(bases(r, 2000)).any()
+    left, right = bases(r, 300), bases(r, 300)
+    for run in ("A" * 60, "AC" * 40, "ACG" * 30, "A" * 400):
+        masked = low_complexity(left + run + right)
+        inner = masked[300 : 300 + len(run)]
+        assert inner.mean() > 0.95 and masked[:290].sum() == masked[310 + len(run) :].sum() == 0
+    assert not low_complexity("N" * 100).any() and len(low_complexity("")) == 0 and not low_complexity("AC").any()
+
+
+def hits_in(spark, query, target, **options):
+    queries, targets = spark.createDataFrame([(0, query)], "query_no long, residues string"), spark.createDataFrame([(0, target)], "target long, residues string")
+    return search.local_hits(queries, targets, SearchOptions(**options), 1e-5, 10**5).collect()
+
+
+def test_a_run_of_one_base_gives_one_hit_or_none(spark):
+    r = random.Random(9)
+    a, b = bases(r, 200), bases(r, 200)
+    for n in (400, 800):
+        query, target = bases(r, 100) + "A" * n + bases(r, 100), bases(r, 150) + "A" * n + bases(r, 50)
+        assert hits_in(spark, query, target) == []
+        assert len(hits_in(spark, query, target, mask=False)) == 1
+    # Flanks of a run are found as without it, and the extension goes over the run.
+    (hit,) = hits_in(spark, a + "A" * 50 + b, bases(r, 70) + a + "A" * 50 + b)
+    assert (hit["query_from"], hit["query_to"], hit["hit_from"], hit["score"]) == (0, 449, 70, 450)
+
+
+def plain_best(c, o, scores):
+    """The best score of any alignment of two prefixes."""
+    best, row = 0, [scores.gap * j for j in range(len(o) + 1)]
+    for i in range(1, len(c) + 1):
+        new = [scores.gap * i]
+        for j in range(1, len(o) + 1):
+            new.append(max(row[j - 1] + (scores.match if c[i - 1] == o[j - 1] != "N" else scores.mismatch), row[j] + scores.gap, new[-1] + scores.gap))
+        row = new
+        best = max(best, *row)
+    return best
+
+
+def test_dropping_extension():
+    r = random.Random(12)
+    near = 0
+    for scores in (DEFAULT, Scores(2, -3, -5)):
+        tasks, want, texts = [], [], []
+        for _ in range(25):
+            c = bases(r, 300)
+            o = changed(r, c, 0.05)[:250] + bases(r, 200)
+            texts.append((c, o))
+            tasks.append(dropping(c, o, scores, 30))
+            want.append(plain_best(c, o, scores))
+        for (c, o), ext, best in zip(texts, together(tasks, search.CLUMP, scores=scores), want, strict=True):
+            score = sum(scores.gap if "-" in (x, y) else scores.match if x == y != "N" else scores.mismatch for x, y in zip(ext.coarse, ext.org, strict=True))
+            assert score == ext.score <= best
+            assert (ext.coarse.replace("-", ""), ext.org.replace("-", "")) == (c[: ext.coarse_used], o[: ext.org_used])
+            near += ext.score >= 0.9 * best
+    assert near >= 45
+    ends = next(together([dropping("ACGTACGTAC" + "T" * 50, "ACGTACGTAC" + "G" * 50, DEFAULT, 10)], 4))
+    assert (ends.score, ends.coarse) == (10, "ACGTACGTAC")
+    assert next(together([dropping("", "ACGT", DEFAULT, 10)], 4)).score == 0
+
+
+def test_scores_are_options(spark):
+    r = random.Random(13)
+    a = bases(r, 300)
+    b = with_changes(r, a, 0.1)
+    strict, lenient = hits_in(spark, a, b, mismatch=-8), hits_in(spark, a, b, match=2, mismatch=-2, gap=-4)
+    assert max((h["query_to"] - h["query_from"] for h in strict), default=0) < max(h["query_to"] - h["query_from"] for h in lenient)
+    assert max(h["score"] for h in lenient) > max((h["score"] for h in strict), default=0)
+
+
+def test_blocks():
+    assert search.blocks_of("ACG--TTA", "A-GCCT-A", 10, 5) == ([1, 1, 1, 1], [5, 6, 9, 10], [10, 12, 13, 15])
+    assert search.blocks_of("ACGT", "ACGT", 3, 0) == ([4], [0], [3])
+
+
+def test_the_first_chain_is_the_best():
+    r = random.Random(14)
+    for _ in range(60):
+        n = r.randrange(1, 8)
+        q = [(a, a + r.randrange(10, 60)) for a in (r.randrange(300) for _ in range(n))]
+        t = [(a, a + r.randrange(10, 60)) for a in (r.randrange(400) for _ in range(n))]
+        scores = [r.randrange(5, 60) for _ in range(n)]
+        found = chain.chains(q, t, scores, 150)
+        assert sorted(i for _, c in found for i in c) == list(range(n))
+
+        def worth(order, q=q, t=t, scores=scores):
+            total = scores[order[0]]
+            for j, i in itertools.pairwise(order):
+                dq, dt = q[i][0] - q[j][1], t[i][0] - t[j][1]
+                if not (0 <= dq <= 150 and 0 <= dt <= 150):
+                    return None
+                total += scores[i] - chain.gap_cost(dq, dt)
+            return total
+
+        every = [worth(sorted(x, key=lambda i: (t[i][0], q[i][0], i))) for size in range(1, n + 1) for x in itertools.combinations(range(n), size)]
+        assert found[0][0] == max(x for x in every if x is not None) == worth(found[0][1])
+
+
+def test_alignments_of_several_blocks(spark, tmp_path):
+    """Planted alignments on both strands, with an insertion on either side, as PSL."""
+    r = random.Random(15)
+    a, b, c = bases(r, 400), bases(r, 300), bases(r, 350)
+    target = bases(r, 500) + a + bases(r, 600) + b + c[:200] + c[207:] + bases(r, 300)
+    db = Database.create(str(tmp_path / "db"), spark.createDataFrame([(4, "chr 4", target), (5, "other", bases(r, 900))], "seq_id long, name string, residues string"))
+    query = a + bases(r, 90) + b + c
+    queries = spark.createDataFrame([(1, "plus", query), (2, "minus", reverse_complement(query)), (3, "none", bases(r, 500))], "query_no long, query_name string, residues string")
+    rows = db.alignments(queries, BlatOptions(max_target_span=10_000)).cache()
+    got = {x["q_name"]: x for x in rows.filter("matches > 500").collect()}
+    assert set(got) == {"plus", "minus"}
+    for name, strand in (("plus", "+"), ("minus", "-")):
+        x = got[name]
+        assert (x["strand"], x["t_name"], x["t_size"], x["q_size"], x["q_start"], x["q_end"]) == (strand, "chr 4", len(target), len(query), 0, len(query))
+        assert x["block_count"] == len(x["block_sizes"]) == len(x["q_starts"]) == len(x["t_starts"]) >= 3
+        assert (x["t_start"], x["t_end"]) == (500, len(target) - 300) == (x["t_starts"][0], x["t_starts"][-1] + x["block_sizes"][-1])
+        own = query  # on the strand that was found, in the target's direction
+        same = sum(own[q + i] == target[t + i] for size, q, t in zip(x["block_sizes"], x["q_starts"], x["t_starts"], strict=True) for i in range(size))
+        assert same == x["matches"] >= len(a) + len(b) + len(c) - 30 and sum(x["block_sizes"]) == same + x["mismatches"] + x["n_count"]
+        gaps = [(q2 - q1 - s, t2 - t1 - s) for s, q1, q2, t1, t2 in zip(x["block_sizes"], x["q_starts"], x["q_starts"][1:], x["t_starts"], x["t_starts"][1:], strict=False)]
+        assert (x["q_num_insert"], x["q_base_insert"]) == (sum(g[0] > 0 for g in gaps), sum(g[0] for g in gaps))
+        assert (x["t_num_insert"], x["t_base_insert"]) == (sum(g[1] > 0 for g in gaps), sum(g[1] for g in gaps))
+    write_psl(rows, str(tmp_path / "psl"))
+    assert read_psl(spark, str(tmp_path / "psl")).count() == rows.count()
