@@ -46,6 +46,8 @@ LINKS = "seq_id long, link_no int, coarse_id long, original_start long, original
 COARSE = "coarse_id long, residues string, length int"
 PIECES = "chunk_id long, start int, end int, no int, target long, kind int, coarse_start int, coarse_end int, fwd boolean, script string, residues string"
 FINE = 4
+#: Of the edges of a chunk those count, when representatives are chosen, that have one in WEAK of the strongest one's seeds.
+WEAK = 4
 #: Of the pieces that hold a seed, so many are candidates for a chunk that has it.
 HELD = 16
 #: A stretch that passes every window has somewhat more than the windows' least identity.
@@ -164,8 +166,15 @@ def heads_of(edges: DataFrame, cut) -> DataFrame:
     return decided.unionByName(alone)
 
 
+def strong(edges: DataFrame) -> DataFrame:
+    """edges (a, b, n) without those that are weak beside the strongest of either end: a chunk isn't covered by a chance neighbour while it has a near copy."""
+    most = edges.select(F.col("a").alias("v"), "n").union(edges.select("b", "n")).groupBy("v").agg(F.max("n").alias("most"))
+    ends = [most.select(F.col("v").alias(c), F.col("most").alias(f"most_{c}")) for c in "ab"]
+    return edges.join(ends[0], "a").join(ends[1], "b").filter(F.col("n") * WEAK >= F.greatest("most_a", "most_b")).select("a", "b", "n")
+
+
 def near_pairs(found: DataFrame, other: str, enough: int) -> DataFrame:
-    """chunk_id, other, n, bands of seeds in common: pairs with enough of them in two bands that touch, how many at most, and all such bands."""
+    """chunk_id, other, n, bands of seeds in common: pairs with enough of them in two bands that touch, how many at most, and all bands with some."""
     band = F.floor(F.when(F.col("fwd"), F.col("pos") - F.col("qpos")).otherwise(F.col("pos") + F.col("qpos")) / BAND)
     by_band = found.groupBy("chunk_id", other, "fwd", band.alias("band")).agg(F.count("*").alias("c"))
     own = by_band.groupBy("chunk_id", other).agg(F.sum("c").alias("_all"), F.sort_array(F.collect_list(F.struct("fwd", "band", "c"))).alias("x")).filter(F.col("_all") >= enough)
@@ -175,8 +184,8 @@ def near_pairs(found: DataFrame, other: str, enough: int) -> DataFrame:
         return F.when((y["fwd"] == x["fwd"]) & (y["band"] == x["band"] + step), y["c"]).otherwise(0)
 
     counted = F.transform("x", lambda x, i: F.struct(x["fwd"].alias("fwd"), x["band"].alias("band"), (x["c"] + F.greatest(beside(x, i, 1), F.when(i > 0, beside(x, i, -1)).otherwise(0))).alias("c")))
-    kept = own.select("chunk_id", other, F.filter(counted, lambda x: x["c"] >= enough).alias("x")).filter(F.size("x") > 0)
-    return kept.select("chunk_id", other, F.array_max(F.transform("x", lambda x: x["c"])).alias("n"), F.transform("x", lambda x: F.struct(x["fwd"].alias("fwd"), x["band"].alias("band"))).alias("bands"))
+    most = F.array_max(F.transform(counted, lambda x: x["c"]))
+    return own.select("chunk_id", other, most.alias("n"), F.transform("x", lambda x: F.struct(x["fwd"].alias("fwd"), x["band"].alias("band"))).alias("bands")).filter(F.col("n") >= enough)
 
 
 def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +208,7 @@ def batch(seqs: DataFrame, opts: CompressOptions, cut, coarse: DataFrame | None
     holders = first_marks(free, "chunk_id", HELD).withColumnRenamed("chunk_id", "other")
     stars = shared_marks(free, holders, "chunk_id", "other").filter("other < chunk_id")
     edges = cut(near_pairs(stars, "other", plan.enough).select(F.col("chunk_id").alias("a"), F.col("other").alias("b"), "n"), "chunk-edges")
-    heads = cut(heads_of(edges, cut).filter("head").select(F.col("v").alias("chunk_id")), "heads")
+    heads = cut(heads_of(strong(edges), cut).filter("head").select(F.col("v").alias("chunk_id")), "heads")
     places = first_marks(free.join(heads, "chunk_id", "left_semi"), "chunk_id", HELD).withColumnRenamed("chunk_id", "target")
     found = near_pairs(shared_marks(free.join(heads, "chunk_id", "left_anti"), places, "chunk_id", "target"), "target", plan.enough).withColumn("kind", F.lit(1))
     texts = distinct.join(heads, "chunk_id", "left_semi").select(F.col("chunk_id").alias("target"), F.lit(1).alias("kind"), F.col("residues").alias("target_residues"))
