@@ -49,6 +49,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return _write(df, name)[0]
 
 
+def tasks_for(spark: SparkSession, lots: int) -> int:
+    """Partitions for so many lots (buckets, shards): as many, up to a few for each core; a task then takes several lots, one after the other."""
+    return max(1, min(lots, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+
+
 class Scratch:
     """Tables in the shared folder that one computation needs: they go when it ends, or when others take their place."""
 

@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, table
+from strandlake.llm.common import cut, table, tasks_for
 
 CAPACITY, SEPARATOR = 1024, 2
 #: Pieces that one task packs; the loss at a shard's end is a fraction of a bin.
@@ -152,8 +152,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
     # Rows are dealt by their place in the table found, not by an id that many of them may share.
     place = F.xxhash64(F.monotonically_increasing_id())
-    # By range, so that no two shards meet in a task.
-    return found.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(run, schema)
+    # By range, so that tasks get the same number of shards; a task packs one after the other.
+    return found.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).repartitionByRange(tasks_for(found.sparkSession, shards), "shard").groupBy("shard").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -85,11 +85,13 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text, y of at most ``most`` labelled rows outside the held-out third, the same at every run."""
+    """doc_id, text, y of at most ``most`` labels outside the held-out third, the same at every run; a row for each."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)  # bounded, so it may be broadcast
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)  # bounded, so it may be broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(F.broadcast(chosen), "doc_id")
+    # However often an id is repeated among the documents, one of its texts is learnt from.
+    one = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return one.select("doc_id", "x.text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:

@@ -20,7 +20,9 @@ no other gram. Which grams are ranked so changes the buckets, not the result,
 as long as all tasks agree. And a packed string that a task has already sent
 under a smaller document and start is not sent again, all its windows being
 repeats: a passage copied into a third of all rows reaches its bucket about
-once per task.
+once per task. When minimisers are counted, one that stands often in a chunk of
+a task goes to its bucket once, and its other places past it. Buckets are many, tasks a few for
+each core: a task sorts its buckets, and holds one at a time.
 
 Defined results: null, empty or white text has no words and hashes the empty
 string; texts under 20 words lose nothing; rows with null doc_id are left
@@ -44,7 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import U64, WordHashes, as_bytes, cut, mixed, rolling, table, word_blocks
+from strandlake.llm.common import U64, WordHashes, as_bytes, cut, mixed, rolling, table, tasks_for, word_blocks
 
 WINDOW, GRAM = 20, 5
 #: Grams per window.
@@ -214,10 +216,24 @@ class Packer:
             yield b if b >= 0 else -1 - b, to_body(self.zip, docs[segments], versions[segments], local, start[part], windows[part], words)
 
     def _minimisers(self, docs: np.ndarray, versions: np.ndarray, segment: np.ndarray, start: np.ndarray, least: np.ndarray, twice: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """Five bytes of each minimiser, twice where its string may repeat windows of its own."""
+        """Five bytes of each minimiser, twice where its string may repeat windows of its own or the chunk has it again.
+
+        Of one that stands again in the chunk only the first goes to its bucket; the other
+        places are known to be asked for, and go to any bucket (with windows), which hands them on.
+        """
         key = mixed(least)
+        _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        again = n[inverse] > 1
+        head = np.zeros(len(key), bool)
+        head[first] = True
+        twice, known = twice | again & head, np.flatnonzero(again & ~head)
+        if len(known):
+            segments, local = np.unique(segment[known], return_inverse=True)
+            any_ = int(mixed(key[known[:1]] + U64(len(known)) + docs[segments[:1]].view(U64))[0] % U64(self.buckets))
+            yield any_, to_body(self.zip, docs[segments], versions[segments], local, start[known], np.ones(len(known)), np.empty(0, np.uint8))
         bucket = (key % U64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.flatnonzero(~again | head)
+        order = order[np.argsort(bucket[order], kind="stable")]
         order = np.repeat(order, 1 + twice[order])
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             segments, local = np.unique(segment[part], return_inverse=True)
@@ -271,14 +287,19 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Iterator[li
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """PLACES of minimisers that stand twice in their bucket."""
+    """PLACES of minimisers that stand twice in their bucket, and places that are known to. What is held grows with chunks, not with copies in a chunk."""
     for _, bodies in _buckets(batches):
         docs, versions, starts, keys = [], [], [], []
-        for d, v, local, start, _, raw in bodies:
+        for d, v, local, start, known, raw in bodies:
+            if len(known):
+                yield pd.DataFrame({"doc_id": d[local], "version": v[local], "start": start})
+                continue
             docs.append(d[local]), versions.append(v[local]), starts.append(start)
             key = np.zeros((len(start), 8), np.uint8)
             key[:, :5] = raw.reshape(-1, 5)
             keys.append(key.view(U64).ravel())
+        if not keys:
+            continue
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
@@ -391,7 +412,7 @@ def _with_runs(docs: DataFrame, how: str) -> DataFrame:
 
     def dealt(df: DataFrame, bytes_: int, counting: bool) -> DataFrame:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // bytes_))
-        return df.mapInPandas(pack(buckets, hot, counting), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        return df.mapInPandas(pack(buckets, hot, counting), PACKED).repartition(tasks_for(spark, buckets), "bucket").sortWithinPartitions("bucket")
 
     places = dealt(texts, COUNTING_BUCKET, True).mapInPandas(_count, PLACES)
     asked = places.groupBy("doc_id", "version").agg(F.collect_list("start").alias("places"))

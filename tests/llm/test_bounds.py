@@ -1,0 +1,88 @@
+"""What a hot group or a large input may put into one task."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import zstandard
+
+from strandlake.llm import packing, quality, substrings
+from strandlake.llm.common import tasks_for
+from strandlake.llm.packing import pack
+
+
+def test_lots_are_dealt_to_a_bounded_number_of_tasks(spark):
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    assert [tasks_for(spark, n) for n in (0, 1, most, most + 1, 10**7)] == [1, 1, most, most, most]
+
+
+def test_a_passage_in_a_third_of_all_rows_reaches_its_bucket_once_a_chunk():
+    """100,000 texts, a third of which hold one passage: what a bucket holds of it grows with chunks, and all its places are found."""
+    r = random.Random(1)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    packer, rows = substrings.Packer(64, None, True), []
+    with_passage = set(range(0, 100_000, 3))
+    for i in range(100_000):
+        words = own(3) + passage + own(3) if i in with_passage else own(24)
+        rows += packer.add(i, 0, " ".join(words).encode())
+    rows += packer.packed()
+    table = pd.concat(rows).sort_values("bucket", kind="stable")
+    unzip = zstandard.ZstdDecompressor()
+    bodies = [substrings.from_body(unzip, b) for b in table["body"]]
+    chunks = len(rows)
+    counted = pd.Series(np.concatenate([np.concatenate([[b] * (len(x[5]) // 5), []]) for b, x in zip(table["bucket"], bodies, strict=True) if not len(x[4])]))
+    # Every other text has a minimiser or two of its own; those of the passage's strings come on top, a few for each chunk.
+    assert counted.value_counts().max() < 2 * len(counted) / 64 and len(counted) < 600_000 and chunks < 20
+    found = pd.concat(substrings._count([table]))
+    assert with_passage <= set(found["doc_id"]) and len(set(found["doc_id"]) - with_passage) < 100
+    held = [len(x[5]) // 5 for x in bodies if not len(x[4])]
+    assert max(held) < 60_000
+
+
+def plain_best_fit(lengths, capacity):
+    """Large pieces, largest first, each with the largest other one that fits beside it; then the rest, largest first, into the fullest bin that has room."""
+    order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    large, small = [k for k in order if 3 * lengths[k] > capacity], [k for k in order if 3 * lengths[k] <= capacity]
+    bins = []
+    while large:
+        k = large.pop(0)
+        own = [k]
+        partner = next((x for x in large if lengths[x] + lengths[k] <= capacity), None)
+        if partner is not None:
+            large.remove(partner)
+            own.append(partner)
+        bins.append(own)
+    for k in small:
+        room = [capacity - sum(lengths[x] for x in b) for b in bins]
+        fits = [i for i, free in enumerate(room) if free >= lengths[k]]
+        if fits:
+            bins[min(fits, key=lambda i: room[i])].append(k)
+        else:
+            bins.append([k])
+    return bins
+
+
+def test_packing_equals_plain_best_fit():
+    r = random.Random(2)
+    for capacity, n in ((1024, 300), (100, 200), (30, 60)):
+        for _ in range(10):
+            lengths = np.array([r.randrange(1, capacity + 1) if r.random() < 0.5 else r.randrange(1, capacity // 3 + 1) for _ in range(n)])
+            bins, _ = pack(lengths, capacity)
+            plain = plain_best_fit(lengths.tolist(), capacity)
+            assert len(set(bins)) == len(plain)
+            fill = lambda groups: sorted(tuple(sorted(lengths[k] for k in g)) for g in groups)
+            got = [np.flatnonzero(np.asarray(bins) == b).tolist() for b in sorted(set(bins))]
+            large = lambda groups: sorted(tuple(sorted(lengths[k] for k in g if 3 * lengths[k] > capacity)) for g in groups)
+            assert large(got) == large(plain) and max(map(sum, fill(got))) <= capacity
+            assert max(sum(3 * lengths[k] > capacity for k in g) for g in got) <= 2
+    assert packing.CAPACITY == 1024
+
+
+def test_an_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(2, "a")] * 500 + [(2, "b"), (3, None), (4, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1)] * 30 + [(2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, quality int")
+    used = {i for i in (2, 3, 4) if quality.labelled_sample(docs, labels, "quality").filter(f"doc_id = {i}").count()}
+    got = quality.labelled_sample(docs, labels, "quality").collect()
+    assert used and sorted((r["doc_id"], r["y"]) for r in got) == sorted({(i, y) for i, y in ((2, 1), (2, 0), (3, 1), (4, 1)) if i in used})
+    assert len({r["text"] for r in got if r["doc_id"] == 2}) <= 1
