@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandlake.config import CompressOptions, SearchOptions
+from strandlake.config import BlatOptions, CompressOptions, SearchOptions
 from strandlake.functions import dna, edits
 from strandlake.operators import align, compress, intervals, kmers, prefix, search
 from strandlake.operators.chunks import chunk_windows, dealt
@@ -386,6 +387,16 @@ def compression_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(" SELECT seq_id, CAST(0 AS BIGINT) AS first_base, CAST(length(residues) - 1 AS BIGINT) AS last_base, CAST(0 AS BIGINT) AS gaps FROM seqs WHERE residues <> ''")
+def link_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links of a compression cover of each sequence, and after how many of them bases are left out; the SQL says all, and none."""
+    cut = scratch(spark)
+    links, _ = compress.batch(cut(derived(spark, sf_dir).select("seq_id", "residues"), "seqs"), CompressOptions(), cut)
+    before = Window.partitionBy("seq_id").orderBy("link_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = links.withColumn("reached", F.coalesce(F.max("original_end").over(before), F.lit(-1)))
+    return placed.groupBy("seq_id").agg(F.min("original_start").alias("first_base"), F.max("original_end").alias("last_base"), F.count_if(F.col("original_start") > F.col("reached") + 1).alias("gaps"))
+
+
 # ---- sources and sinks
 
 
@@ -533,6 +544,24 @@ def fine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _database(spark, sf_dir).search(_probes(spark, sf_dir))
 
 
+#: Slices of every sequence without its unknown bases, searched in the compressed form of all of them.
+SLICE_FROM, SLICE = 100, 400
+
+
+@query(f""", clean AS (SELECT seq_id, replace(residues, 'N', '') AS r FROM seqs)
+SELECT seq_id, CAST(seq_id AS VARCHAR) AS q_name, name AS t_name, '+' AS strand, CAST({SLICE} AS BIGINT) AS q_size, CAST(length(r) AS BIGINT) AS t_size, CAST({SLICE} AS INTEGER) AS matches, CAST(0 AS INTEGER) AS mismatches,
+  CAST(0 AS INTEGER) AS q_start, CAST({SLICE} AS INTEGER) AS q_end, CAST(p AS INTEGER) AS t_start, CAST(p + {SLICE} AS INTEGER) AS t_end, CAST(1 AS INTEGER) AS block_count
+FROM (SELECT seq_id, 'doc' || CAST(seq_id AS VARCHAR) AS name, r, strpos(r, substr(r, {SLICE_FROM + 1}, {SLICE})) - 1 AS p FROM clean WHERE length(r) >= {SLICE_FROM + SLICE})""")
+def search_own_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's slice, found where it stands first in it: the best alignment in PSL of the sequence with itself, through coarse search, links and fine search."""
+    own = scratch(spark)(derived(spark, sf_dir).withColumn("residues", F.translate("residues", "N", "")), "clean")
+    db = Database.create(temporary(spark, "database"), own)
+    slices = own.filter(F.length("residues") >= SLICE_FROM + SLICE).select(F.col("seq_id").alias("query_no"), F.col("residues").substr(SLICE_FROM + 1, SLICE).alias("residues"))
+    found = db.alignments(slices, BlatOptions(pad=SLICE, mask=False)).filter("query_no = seq_id")
+    best = Window.partitionBy("seq_id").orderBy(F.desc("score"), "t_start")
+    return found.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("seq_id", "q_name", "t_name", "strand", "q_size", "t_size", "matches", "mismatches", "q_start", "q_end", "t_start", "t_end", "block_count")
+
+
 @query(" SELECT seq_id, residues FROM seqs WHERE residues <> ''")
 def stream_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, compressed incrementally, and rebuilt."""
