@@ -558,7 +558,7 @@ def search_own_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = Database.create(temporary(spark, "database"), own)
     slices = own.filter(F.length("residues") >= SLICE_FROM + SLICE).select(F.col("seq_id").alias("query_no"), F.col("residues").substr(SLICE_FROM + 1, SLICE).alias("residues"))
     found = db.alignments(slices, BlatOptions(pad=SLICE, mask=False)).filter("query_no = seq_id")
-    best = Window.partitionBy("seq_id").orderBy(F.desc("score"), "t_start")
+    best = Window.partitionBy("seq_id").orderBy(F.desc("score"), "strand", "t_start")
     return found.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("seq_id", "q_name", "t_name", "strand", "q_size", "t_size", "matches", "mismatches", "q_start", "q_end", "t_start", "t_end", "block_count")
 
 
