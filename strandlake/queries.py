@@ -52,11 +52,11 @@ def _revcomp_sql(s: str) -> str:
     return f"reverse(translate({s}, 'ACGT', 'TGCA'))"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = "WITH " + SEQS_SQL + sql
+            ORACLE_SQL[f.__name__] = ("WITH RECURSIVE " if recursive else "WITH ") + SEQS_SQL + sql
         return f
 
     return register
@@ -497,14 +497,73 @@ def _beyond(r) -> tuple[str, str]:
     return align.walks(r.ra, int(r.pa) + PAIR_K - 1, 1, r.rb, int(r.pb) + PAIR_K - 1, 1)
 
 
-@query()
+_OPTS = CompressOptions()
+#: Every base of the walks beyond shared k-mers, with what the scan knows there: run, the length of the run of matches that ends here
+#: (before the first base lies a full one); solid, whether that run accepts all before it; upto, the bases accepted; recent, matches in the window.
+_WALKS_SQL = kmers_sql(PAIR_K) + f""", place AS (SELECT kmer, seq_id, min(pos) AS pos FROM clean GROUP BY kmer, seq_id),
+head AS (SELECT kmer, min(seq_id) AS a, arg_min(pos, seq_id) AS pa FROM place GROUP BY kmer HAVING count(*) > 1),
+pairs AS (
+  SELECT h.a, p.seq_id AS b, min(p.pos) AS pb, arg_min(h.pa, p.pos) AS pa
+  FROM place p JOIN head h ON h.kmer = p.kmer AND p.seq_id > h.a GROUP BY 1, 2 HAVING count(*) >= {PAIR_SHARED}),
+walks AS (
+  SELECT a, b, substr(x.residues, CAST(pa + {PAIR_K + 1} AS INTEGER)) AS c, substr(y.residues, CAST(pb + {PAIR_K + 1} AS INTEGER)) AS o
+  FROM pairs JOIN seqs x ON x.seq_id = a JOIN seqs y ON y.seq_id = b),
+bases AS (SELECT a, b, unnest(range(greatest(length(c), length(o)))) AS i, unnest(string_split(c, '')) AS x, unnest(string_split(o, '')) AS y FROM walks),
+agree AS (SELECT a, b, i, x = y AND x <> 'N' AS ok FROM bases WHERE x <> '' AND y <> ''),
+runs AS (
+  SELECT a, b, i, ok, i - coalesce(max(CASE WHEN NOT ok THEN i END) OVER past, {-1 - _OPTS.consec_match_clump_size}) AS run, count(*) FILTER (ok) OVER past AS oks,
+    count(*) FILTER (ok) OVER (PARTITION BY a, b ORDER BY i ROWS {_OPTS.gapped_window_size - 1} PRECEDING) + greatest(0, {_OPTS.gapped_window_size - 1} - i) AS recent,
+    i >= {_OPTS.max_consec_mismatch - 1} AND count(*) FILTER (ok) OVER (PARTITION BY a, b ORDER BY i ROWS {_OPTS.max_consec_mismatch - 1} PRECEDING) = 0 AS lost
+  FROM agree WINDOW past AS (PARTITION BY a, b ORDER BY i ROWS UNBOUNDED PRECEDING)),
+scanned AS (
+  SELECT *, ok AND run >= {_OPTS.consec_match_clump_size} AS solid,
+    coalesce(max(CASE WHEN ok AND run >= {_OPTS.consec_match_clump_size} THEN i + 1 END) OVER past, 0) AS upto,
+    oks - coalesce(max(CASE WHEN ok AND run >= {_OPTS.consec_match_clump_size} THEN oks END) OVER past, 0) AS loose
+  FROM runs WINDOW past AS (PARTITION BY a, b ORDER BY i ROWS UNBOUNDED PRECEDING)),
+spoilt AS (SELECT a, b, min(i) AS g FROM scanned WHERE recent < {_OPTS.window_ident_thresh} GROUP BY 1, 2),
+ends AS (
+  SELECT s.a, s.b, min(i) FILTER (solid AND i >= g) AS bad, min(i) FILTER (NOT ok AND i + 1 - upto >= {_OPTS.btwn_match_min_dist_check} AND 2 * loose < i + 1 - upto) AS halt,
+    arg_min(upto, i) FILTER (NOT ok AND i + 1 - upto >= {_OPTS.btwn_match_min_dist_check} AND 2 * loose < i + 1 - upto) AS halted_at, any_value(g) AS g,
+    min(i) FILTER (lost AND i <= {_OPTS.min_progress}) + 1 AS gone
+  FROM scanned s LEFT JOIN spoilt USING (a, b) GROUP BY 1, 2),
+plain AS (
+  SELECT a, b, c, o, CAST(coalesce(gone, least(length(c), length(o), {_OPTS.min_progress + 1})) AS INTEGER) AS cheap,
+    coalesce(bad < coalesce(halt, bad + 1), false) AS bad_window,
+    CAST(CASE WHEN bad < coalesce(halt, bad + 1) THEN g WHEN halt IS NOT NULL THEN halted_at ELSE least(length(c), length(o)) END AS INTEGER) AS length
+  FROM walks LEFT JOIN ends USING (a, b))"""
+
+
+@query(_WALKS_SQL + " SELECT a, b, cheap, length, bad_window FROM plain")
 def ungapped_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the shared k-mer of each pair towards the ends."""
     opts = CompressOptions()
     return _kernel(_pairs_of(spark, sf_dir), "a long, b long, cheap int, length int, bad_window boolean", lambda rows: [(align.cheap_extension(*w, opts), *align.ungapped(*w, align.History(opts), opts)) for w in map(_beyond, rows)])
 
 
-@query()
+#: Global alignment of squares an antidiagonal d at a time: a row for each column j holds its cell of d (score s, aligned strings r and q) and its cell of d - 1.
+_NW_SQL = _WALKS_SQL + f""", sides AS (SELECT a, b, substr(c, length + 1, {align.SQUARE}) AS c, substr(o, length + 1, {align.SQUARE}) AS o FROM plain),
+cells AS (
+  SELECT a, b, c, o, j, 0 AS d, CASE WHEN j = 0 THEN 0 END AS s, '' AS r, '' AS q, CAST(NULL AS INTEGER) AS s1, '' AS r1, '' AS q1
+  FROM (SELECT *, unnest(range(length(o) + 1)) AS j FROM sides)
+  UNION ALL
+  SELECT a, b, c, o, j, d,
+    CASE WHEN d < j OR d - j > length(c) THEN NULL WHEN d = j THEN {align.GAP} * d WHEN j = 0 THEN {align.GAP} * d ELSE greatest(sb, sl, su) END,
+    CASE WHEN d = j THEN repeat('-', d) WHEN j = 0 THEN c[:d] WHEN sb >= sl AND sb >= su THEN rb || c[d - j:d - j] WHEN sl >= su THEN rl || '-' ELSE ru || c[d - j:d - j] END,
+    CASE WHEN d = j THEN o[:d] WHEN j = 0 THEN repeat('-', d) WHEN sb >= sl AND sb >= su THEN qb || o[j:j] WHEN sl >= su THEN ql || o[j:j] ELSE qu || '-' END,
+    su - {align.GAP}, ru, qu
+  FROM (
+    SELECT a, b, c, o, j, CAST(d + 1 AS INTEGER) AS d, s + {align.GAP} AS su, r AS ru, q AS qu, lag(s) OVER prior + {align.GAP} AS sl, lag(r) OVER prior AS rl, lag(q) OVER prior AS ql,
+      lag(s1) OVER prior + CASE WHEN c[d + 1 - j:d + 1 - j] = o[j:j] AND o[j:j] <> 'N' THEN {align.MATCH} ELSE {align.MISMATCH} END AS sb, lag(r1) OVER prior AS rb, lag(q1) OVER prior AS qb
+    FROM cells WHERE d < length(c) + length(o) WINDOW prior AS (PARTITION BY a, b ORDER BY j))),
+best AS (
+  SELECT a, b, r, q, row_number() OVER (PARTITION BY a, b ORDER BY s DESC, j = length(o) DESC, CASE WHEN j = length(o) THEN d - j ELSE j END DESC) AS rn
+  FROM cells WHERE s IS NOT NULL AND (d - j = length(c) OR j = length(o))),
+kept AS (
+  SELECT a, b, r, q, length(regexp_extract(array_to_string(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN r[i:i] = q[i:i] AND r[i:i] <> 'N' THEN 'M' ELSE 'x' END), ''), '^.*{"M" * _OPTS.consec_match_clump_size}')) AS n
+  FROM best WHERE rn = 1)"""
+
+
+@query(_NW_SQL + " SELECT a, b, CASE WHEN n > 0 THEN r[:n] END AS ref, CASE WHEN n > 0 THEN q[:n] END AS org FROM kept", recursive=True)
 def nw_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The square after the bases that compare without gaps."""
     opts = CompressOptions()
