@@ -413,6 +413,17 @@ def fasta_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.parse_records(records).select("seq_id", "name", "seq")
 
 
+FASTA_CHUNK = 1000
+
+
+@query(f" SELECT name, CAST(c AS BIGINT) AS chunk, substr(residues, CAST(c * {FASTA_CHUNK} + 1 AS INTEGER), {FASTA_CHUNK}) AS residues FROM (SELECT name, residues, unnest(range(0, greatest(length(residues) - 1, 0) // {FASTA_CHUNK} + 1)) AS c FROM seqs)")
+def fasta_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences written as FASTA files, with lines of 60, and read back in chunks."""
+    path = temporary(spark, "fasta")
+    fasta.write_fasta(derived(spark, sf_dir).select(fasta.record_text(F.col("name"), F.regexp_replace("residues", "(.{60})", "$1\n")).alias("value")), path)
+    return fasta.read_fasta_chunks(spark, path, size=FASTA_CHUNK).select("name", "chunk", "residues")
+
+
 @query(" SELECT seq_id, ' ' || name AS plain, ' ' || CAST(seq_id + 1 AS VARCHAR) || ' ' || name AS numbered, ' ' || name || ' (offset ' || CAST(seq_id * 10 AS VARCHAR) || ')' AS placed, ' ' || CAST(seq_id + 1 AS VARCHAR) || ' ' || name || ' (offset ' || CAST(seq_id * 10 AS VARCHAR) || ')' AS both FROM seqs")
 def fine_fasta_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, offset = F.col("seq_id") + 1, F.col("seq_id") * 10
