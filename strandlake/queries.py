@@ -27,9 +27,10 @@ LETTERS, CODES = dna.LETTERS, dna.CODES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+_BASES = f"regexp_replace(translate(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g'), '{LETTERS}', '{CODES}'), '[^ACGT]', 'N', 'g')"
 SEQS_SQL = f"""seqs AS (
   SELECT doc_id AS seq_id, 'doc' || CAST(doc_id AS VARCHAR) AS name,
-    regexp_replace(translate(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g'), '{LETTERS}', '{CODES}'), '[^ACGT]', 'N', 'g') AS residues
+    {_BASES} AS residues
   FROM documents)"""
 def kmers_sql(k: int) -> str:
     return f""", tiles AS (
@@ -184,7 +185,7 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probe_sql(hashed: str) -> str:
     return f"""{_SEEDS_SQL}, probes AS (
-  SELECT item_id AS query_no, regexp_replace(translate(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g'), '{LETTERS}', '{CODES}'), '[^ACGT]', 'N', 'g') AS residues FROM benchmark),
+  SELECT item_id AS query_no, {_BASES} AS residues FROM benchmark),
 probe_kmers AS (
   SELECT query_no, substr(residues, CAST(i + 1 AS INTEGER), {K}) AS kmer, i AS qpos
   FROM (SELECT query_no, residues, unnest(range(0, length(residues) - {K} + 1)) AS i FROM probes WHERE length(residues) >= {K}))
@@ -479,6 +480,28 @@ def strand_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).select("seq_id", low.cast("long").alias("low"), high.cast("long").alias("high"))
 
 
+@query(f""", every AS (SELECT 0 AS arg, seq_id AS id, name, residues FROM seqs UNION ALL SELECT 1, item_id, CAST(item_id AS VARCHAR), {_BASES} FROM benchmark)
+SELECT row_number() OVER (ORDER BY arg, id) - 1 AS seq_id, name, residues AS seq FROM every""")
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences, and the benchmark passages as queries, written as FASTA to two folders and read as one input, with ids in its order."""
+    path = temporary(spark, "fasta")
+    fasta.write_fasta(derived(spark, sf_dir).orderBy("seq_id").select(fasta.record_text(F.col("name"), F.col("residues")).alias("value")), f"{path}/seqs")
+    Database.write_queries(_probes(spark, sf_dir), f"{path}/queries")
+    return fasta.read_fasta(spark, f"{path}/seqs", f"{path}/queries")
+
+
+@query(" SELECT seq_id AS query_no, seq_id AS coarse_id, CAST(10 AS INTEGER) AS hit_from, CAST(length(residues) + 16 AS INTEGER) AS hit_to FROM seqs WHERE length(residues) + 7 <= 1000")
+def psl_coarse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse hits of another program's PSL; those that span more of a target than the options allow are left out."""
+    rows = psl.parse_psl(_psl(spark, sf_dir)).withColumn("q_name", F.col("seq_id").cast("string"))
+    return Database.hits_of_psl(rows, BlatOptions())
+
+
+@query(" SELECT seq_id, contains(residues, 'ACGA') AS held, substr(residues, 6, 20) AS part FROM seqs")
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir).select("seq_id", F.col("residues").contains("ACGA").alias("held"), dna.slice_between("residues", F.lit(5), F.lit(25)).alias("part"))
+
+
 # ---- kernels and search
 
 
@@ -632,6 +655,74 @@ def search_own_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("seq_id", "q_name", "t_name", "strand", "q_size", "t_size", "matches", "mismatches", "q_start", "q_end", "t_start", "t_end", "block_count")
 
 
+def _own_slices(spark: SparkSession, sf_dir: str) -> tuple[Database, DataFrame]:
+    """A database of the sequences without unknown bases, and a slice of each that is long enough: query_no, residues."""
+    own = scratch(spark)(derived(spark, sf_dir).withColumn("residues", F.translate("residues", "N", "")), "clean")
+    slices = own.filter(F.length("residues") >= SLICE_FROM + SLICE).select(F.col("seq_id").alias("query_no"), F.col("residues").substr(SLICE_FROM + 1, SLICE).alias("residues"))
+    return Database.create(temporary(spark, "database"), own), slices
+
+
+_OWN_SLICES_SQL = f""", clean AS (SELECT seq_id, replace(residues, 'N', '') AS r FROM seqs),
+slices AS (SELECT seq_id, r, substr(r, {SLICE_FROM + 1}, {SLICE}) AS q FROM clean WHERE length(r) >= {SLICE_FROM + SLICE})"""
+
+
+@query(_OWN_SLICES_SQL + " SELECT seq_id, q AS residues FROM slices")
+def own_slice_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies behind the coarse hits of each sequence's slice: the bases of the slice, as its own sequence's expansion has them."""
+    db, slices = _own_slices(spark, sf_dir)
+    opts = SearchOptions(pad=SLICE, mask=False, merged_expansions=True)
+    found = db.expansions(db.coarse_hits(slices, opts), opts)
+    own = found.filter(F.col("query_no") == F.col("seq_id")).filter((F.col("exp_start") <= SLICE_FROM) & (F.col("exp_end") >= SLICE_FROM + SLICE - 1))
+    at = F.lit(SLICE_FROM) - F.col("exp_start")
+    return own.select("seq_id", dna.slice_between("residues", at, at + SLICE).alias("residues"))
+
+
+_DEFAULTS = SearchOptions()
+
+
+@query(_OWN_SLICES_SQL + f""", total AS (SELECT sum(length(r)) AS dbsize FROM clean)
+SELECT seq_id, true AS fwd, CAST(0 AS INTEGER) AS query_from, CAST({SLICE - 1} AS INTEGER) AS query_to, CAST(strpos(r, q) - 1 AS BIGINT) AS hit_from, CAST(strpos(r, q) + {SLICE - 2} AS BIGINT) AS hit_to,
+  CAST({SLICE * _DEFAULTS.match} AS INTEGER) AS score, 100.0::DOUBLE AS identity,
+  CAST(round(1e6 * (ln({_DEFAULTS.karlin_k}::DOUBLE * {SLICE} * dbsize) - {search.karlin_lambda(_DEFAULTS.match, _DEFAULTS.mismatch)!r}::DOUBLE * {SLICE * _DEFAULTS.match})) AS BIGINT) AS micro_ln_evalue
+FROM slices, total""")
+def own_slice_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hit of each sequence's slice in its own sequence, with its score, identity and e-value (the natural logarithm, in millionths)."""
+    db, slices = _own_slices(spark, sf_dir)
+    found = db.search(slices, SearchOptions(pad=SLICE, mask=False)).filter("query_no = seq_id")
+    best = Window.partitionBy("seq_id").orderBy(F.desc("score"), F.desc("fwd"), "hit_from")
+    first = found.withColumn("rn", F.row_number().over(best)).filter("rn = 1")
+    return first.select("seq_id", "fwd", "query_from", "query_to", F.col("hit_from").cast("long").alias("hit_from"), F.col("hit_to").cast("long").alias("hit_to"), "score", "identity", F.round(F.log("evalue") * 1e6).cast("long").alias("micro_ln_evalue"))
+
+
+@query(" SELECT seq_id, name, CAST(length(residues) AS BIGINT) AS by_links, CAST(length(residues) AS INTEGER) AS by_name FROM seqs WHERE residues <> ''")
+def store_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of stored sequences, as links tell them and as they were noted."""
+    db = _database(spark, sf_dir)
+    noted = db.table("seqs_meta").select("seq_id", "name", F.col("length").alias("by_name"))
+    return db.original_lengths().withColumnRenamed("length", "by_links").join(noted, "seq_id")
+
+
+LONGEST = 20
+
+
+@query(f" SELECT seq_id, residues FROM seqs WHERE residues <> '' ORDER BY length(residues) DESC, seq_id LIMIT {LONGEST}")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest sequences, looked up by id in the database of all."""
+    db = _database(spark, sf_dir)
+    longest = db.table("seqs_meta").filter("length > 0").orderBy(F.desc("length"), "seq_id").limit(LONGEST)
+    return db.sequence(*(r.seq_id for r in longest.select("seq_id").collect()))
+
+
+@query(" SELECT seq_id, residues FROM seqs WHERE residues <> ''")
+def store_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence, rebuilt from the text that a database is dumped to; the coarse pieces are numbered by their place in it."""
+    db, path = _database(spark, sf_dir), temporary(spark, "dump")
+    db.dump(path)
+    coarse = fasta.read_fasta(spark, f"{path}/coarse").select(F.col("seq_id").alias("coarse_id"), F.col("seq").alias("residues"))
+    links = spark.read.schema(compress.LINKS).option("sep", "\t").option("quote", "").csv(f"{path}/links")
+    return compress.decompress(links.fillna("", ["script"]), coarse)
+
+
 @query(" SELECT seq_id, residues FROM seqs WHERE residues <> ''")
 def stream_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, compressed incrementally, and rebuilt."""
