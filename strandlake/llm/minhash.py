@@ -10,7 +10,8 @@ No bucket is expanded into all of its pairs. In rounds, each class is tried
 against the one bucket head it shares most bands with, heads changing from
 round to round; this joins large groups of copies into components with one
 comparison per member and round. Then every pair that shares a bucket and is
-still in different components is compared, so no link that could join two
+still in different components is compared, in slices that widen, with
+components found anew after each, so no link that could join two
 components is passed over; pairs are left out only where bounds on their
 intersection rule a link out: a histogram of each set over ``CELLS`` cells, and
 the number of shingles that no other document at hand has.
@@ -49,6 +50,8 @@ NO_BAND, PERMUTATIONS = 3e-7, 200
 CELLS = 128
 #: Rounds of one trial per class go on while they halve the pairs left and more than this are left per class.
 PAIRS_PER_CLASS = 1
+#: Each slice of the pairs that are left takes up to so many times what was taken before it.
+WIDER = 8
 #: Chosen probability to prune a pair that reaches the threshold, per batch of BATCH hashes.
 MISS, BATCH = 1e-7, 32
 
@@ -292,13 +295,35 @@ def stars(placed: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataF
 
 def _still_open(met: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
     """met with each class's component, in the buckets that hold several, and main, the largest of them there."""
-    placed = met.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    placed = met.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select(*met.columns, F.coalesce("component", "doc").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("x")).filter("k > 1").select("key", F.col("x.c").alias("main"))
     keys = scratch.cut(keys, "op5-open")
     return scratch.cut(placed.join(keys, "key"), "op5-placed", keys)
 
 
+def slices_for(pairs: int, n_classes: int) -> int:
+    """A power of two: so many slices that the first has about PAIRS_PER_CLASS pairs for each class."""
+    return 1 << max(0, math.ceil(math.log2(max(1, pairs / max(1, PAIRS_PER_CLASS * n_classes)))))
+
+
+def _across(placed: DataFrame, percent: int, slices: int, done: int, upto: int, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and that no bound rules out, whose slice is from done up to, not including, upto.
+
+    A class is in a slice by hash, a pair in the earlier one of its two, whichever way round it stands.
+    """
+    # A pair that shares several buckets comes from the first of them only.
+    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most one for each band
+    rows = scratch.cut(placed.join(keys, "doc").join(reps.select("doc", "cells"), "doc").withColumn("s", F.pmod(F.xxhash64("doc"), F.lit(slices))), "op5-rows")
+    left, right = (rows.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells", "s")), *(["main"] if side == "p" else ())) for side in "pq")
+    pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe", percent) & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key")) & cells_allow("pn", "pcells", "qn", "qcells", percent)
+    left, here = left.filter("pc <> main"), lambda c: (F.col(c) >= done) & (F.col(c) < upto)
+    found = left.filter(F.col("ps") >= done).join(right.filter(here("qs")), "key").filter(pair)
+    if upto < slices:
+        found = found.unionByName(left.filter(here("ps")).join(right.filter(F.col("qs") >= upto), "key").filter(pair))
+    return found.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; percent: the similarity that links."""
     with Scratch(docs.sparkSession) as scratch:
@@ -338,15 +363,18 @@ def _near_duplicates(docs: DataFrame, percent: int, scratch: Scratch) -> DataFra
         sets = scratch.cut(sets_of(docs, reps, placed.select("doc").distinct()), "op5-sets")
         alone = scratch.cut(shared_sizes(sets), "op5-alone", sets)
         placed = scratch.cut(placed.join(alone, "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e", percent)).drop("u"), "op5-placed")
-    # A pair that shares several buckets comes from the first of them only.
-    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most one for each band
-    rows = scratch.cut(placed.join(keys, "doc").join(reps.select("doc", "cells"), "doc"), "op5-rows")
-    left, right = (rows.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells")), *(["main"] if side == "p" else ())) for side in "pq")
-    pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe", percent) & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key"))
-    across = left.filter("pc <> main").join(right, "key").filter(pair & cells_allow("pn", "pcells", "qn", "qcells", percent))
-    more = verified(across.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct(), reps, docs, percent, scratch)
-    if not more.isEmpty():
-        whole = components(links.unionByName(more), scratch)
+    # Where many pairs are left, they come in slices, so that a class that finds its component early is spared the others.
+    slices, done = slices_for(rest, n_classes), 0
+    while True:
+        upto = min(slices, max(1, WIDER * done))
+        more = verified(_across(placed, percent, slices, done, upto, reps, scratch), reps, docs, percent, scratch)
+        if not more.isEmpty():
+            links = scratch.cut(links.unionByName(more), "op5-all-links", links)
+            whole = components(links, scratch)
+        done = upto
+        if done == slices:
+            break
+        placed = _still_open(placed.drop("c", "main"), whole, scratch)
     named = reps.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("digest", "doc_id", F.coalesce("component", "doc").alias("component"))
     # Every class knows its smallest document, so a component does.
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
