@@ -3,11 +3,14 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake import queries
 from strandlake.functions import dna
 from strandlake.operators import kmers
+from strandlake.scratch import BATCH, scratch
 from tests.conftest import SF
 
 
@@ -59,3 +62,12 @@ def test_places_of_short_kmers_are_ranked_where_they_are(spark, most):
                 n[w] += 1
                 want += [(sum("ACGT".index(c) * 4**k for k, c in enumerate(w)), i, at, n[w])] if n[w] <= most else []
     assert Counter(map(tuple, found.collect())) == Counter(want)
+
+
+def test_python_holds_few_rows_at_once(spark):
+    """So many rows reach Python at once as are asked for, and the setting is as before."""
+    size = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "int")
+    before = spark.conf.get(BATCH)
+    got = scratch(spark, 50)(spark.range(0, 1000, 1, 2).select(size("id").alias("n")), "sizes")
+    assert got.agg(F.max("n")).first()[0] == 50 and got.count() == 1000 and spark.conf.get(BATCH) == before
+    assert "ArrowEvalPython" not in plan(queries.QUERIES["roundtrip_edit_script"](spark, SF))
