@@ -36,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import BROADCAST_IDS, U64, Scratch, WordHashes, as_bytes, cut, mixed, rolling, table
@@ -204,8 +204,8 @@ def cells_allow(n: str, cells: str, other_n: str, other_cells: str, percent: int
     return most * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Of candidate pairs (a, b) those that the signatures keep and the full sets confirm."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, sets: DataFrame | None = None) -> DataFrame:
+    """Of candidate pairs (a, b) those that the signatures keep and the full sets confirm. sets (doc, s), if given, holds those of all classes that pairs name."""
     least = least_matches(percent)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +227,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, s
         a, b = (df.select(F.col("doc").alias(c), F.col(value).alias(f"{value}_{c}")) for c in "ab")
         return found.join(a, "a").join(b, "b").select("a", "b", f"{value}_a", f"{value}_b")
 
-    kept = scratch.cut(with_both(pairs, reps, "sig").mapInPandas(prune, "a long, b long"), "op5-survivors")
+    kept = with_both(pairs, reps, "sig").mapInPandas(prune, "a long, b long")
+    if sets is not None:
+        return scratch.cut(with_both(kept, sets, "s").mapInPandas(confirm, "a long, b long"), "op5-links")
+    kept = scratch.cut(kept, "op5-survivors")
     wanted = kept.select(F.col("a").alias("doc")).union(kept.select("b")).distinct()
     sets = scratch.cut(sets_of(docs, reps, wanted), "op5-sets")
     links = scratch.cut(with_both(kept, sets, "s").mapInPandas(confirm, "a long, b long"), "op5-links", sets)
@@ -246,29 +249,41 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     graph = scratch.cut(around.union(around.select("b", "a")).distinct(), "cc-graph")
     labels = None
     while True:
-        step = scratch.cut(graph.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to")), "cc-step")
+        # A node is a component's name or has a smaller neighbour; every pointer's end is a node, too.
+        step, first = None, graph.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to"))
         while True:
-            # Every pointer's end is a node, too.
-            ahead = step.select(F.col("v").alias("to"), F.col("to").alias("then"))
-            jumped = scratch.cut(step.join(ahead, "to").select("v", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")), "cc-step")
-            done = jumped.filter("moved").isEmpty()
-            scratch.drop(id(step))
-            step = jumped
-            if done:
+            now, told = first if step is None else step, Observation()
+            ahead = now.select(F.col("v").alias("to"), F.col("to").alias("then"))
+            jumped = now.join(ahead, "to").select("v", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")).observe(told, F.count_if("moved").alias("n"))
+            step = scratch.cut(jumped, "cc-step", step)
+            if not told.get["n"]:
                 break
         if labels is None:
             labels = scratch.cut(step.select("v", F.col("to").alias("component")), "cc-labels")
         else:
             further = step.select(F.col("v").alias("component"), "to")
             labels = scratch.cut(labels.join(further, "component", "left").select("v", F.coalesce("to", "component").alias("component")), "cc-labels", labels)
-        ends = [step.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
-        graph = scratch.cut(graph.join(ends[0], "a").join(ends[1], "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "cc-graph", graph)
+        ends, told = [step.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")], Observation()
+        left = graph.join(ends[0], "a").join(ends[1], "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
+        graph = scratch.cut(left.observe(told, F.count("*").alias("n")), "cc-graph", graph)
         scratch.drop(id(step))
-        if graph.isEmpty():
+        if not told.get["n"]:
             scratch.drop(id(graph))
             return labels
 
 
+def joined_up(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (v, component) as further links (a, b) join components; only these become nodes, and v that had no link."""
+    named = links
+    for c in "ab":
+        named = named.join(labels.select(F.col("v").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(c, F.coalesce(f"{c}_in", c)).drop(f"{c}_in")
+    further = components(named.select("a", "b"), scratch)
+    moved = labels.join(further.select(F.col("v").alias("component"), F.col("component").alias("to")), "component", "left").select("v", F.coalesce("to", "component").alias("component"))
+    out = scratch.cut(moved.unionByName(further.join(labels, "v", "left_anti")), "op5-components", labels)
+    scratch.drop(id(further))
+    return out
+
+
 def stars(placed: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataFrame:
     """One pair (a, b) for each class: with the head it shares most bands with, of a component other than its own.
 
@@ -293,12 +308,16 @@ def stars(placed: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataF
     return pairs
 
 
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """key, main: the buckets that hold classes of several components (c), and the largest of these there."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    return sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("x")).filter("k > 1").select("key", F.col("x.c").alias("main"))
+
+
 def _still_open(met: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
     """met with each class's component, in the buckets that hold several, and main, the largest of them there."""
     placed = met.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select(*met.columns, F.coalesce("component", "doc").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    keys = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("x")).filter("k > 1").select("key", F.col("x.c").alias("main"))
-    keys = scratch.cut(keys, "op5-open")
+    keys = scratch.cut(_open_keys(placed), "op5-open")
     return scratch.cut(placed.join(keys, "key"), "op5-placed", keys)
 
 
@@ -307,18 +326,32 @@ def slices_for(pairs: int, n_classes: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, pairs / max(1, PAIRS_PER_CLASS * n_classes)))))
 
 
-def _across(placed: DataFrame, percent: int, slices: int, done: int, upto: int, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _unlike(placed: DataFrame) -> DataFrame:
+    """placed without the buckets whose classes are exactly those of another: the same pairs meet there."""
+    held = placed.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    return placed.join(held.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _by_class(placed: DataFrame, reps: DataFrame, slices: int, scratch: Scratch) -> DataFrame:
+    """A row for each class of placed: doc, n, e, keys (its buckets, at most one for each band), cells, s (its slice, by hash)."""
+    own = placed.groupBy("doc").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("key").alias("keys"))
+    return scratch.cut(own.join(reps.select("doc", "cells"), "doc").withColumn("s", F.pmod(F.xxhash64("doc"), F.lit(slices))), "op5-open-classes")
+
+
+def _across(own: DataFrame, whole: DataFrame, percent: int, slices: int, done: int, upto: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that no bound rules out, whose slice is from done up to, not including, upto.
 
-    A class is in a slice by hash, a pair in the earlier one of its two, whichever way round it stands.
+    A pair is in the earlier slice of its two classes, whichever way round it stands.
+    own: a row for each class, so that what is known of it joins it once, and not once in each bucket.
     """
+    classes = own.filter(F.col("s") >= done).join(whole.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    spots = scratch.cut(classes.select("*", F.explode("keys").alias("key")), "op5-spots")
+    left, right = (spots.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells", "s"))) for side in "pq")
     # A pair that shares several buckets comes from the first of them only.
-    keys = placed.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # at most one for each band
-    rows = scratch.cut(placed.join(keys, "doc").join(reps.select("doc", "cells"), "doc").withColumn("s", F.pmod(F.xxhash64("doc"), F.lit(slices))), "op5-rows")
-    left, right = (rows.select("key", *(F.col(x).alias(f"{side}{x}") for x in ("doc", "n", "e", "c", "keys", "cells", "s")), *(["main"] if side == "p" else ())) for side in "pq")
     pair = (F.col("pc") != F.col("qc")) & known_allow("pn", "pe", "qn", "qe", percent) & (F.array_min(F.array_intersect("pkeys", "qkeys")) == F.col("key")) & cells_allow("pn", "pcells", "qn", "qcells", percent)
-    left, here = left.filter("pc <> main"), lambda c: (F.col(c) >= done) & (F.col(c) < upto)
-    found = left.filter(F.col("ps") >= done).join(right.filter(here("qs")), "key").filter(pair)
+    # One of the two is not of the bucket's largest component.
+    left, here = left.join(scratch.cut(_open_keys(spots), "op5-open"), "key").filter("pc <> main"), lambda c: F.col(c) < upto
+    found = left.join(right.filter(here("qs")), "key").filter(pair)
     if upto < slices:
         found = found.unionByName(left.filter(here("ps")).join(right.filter(F.col("qs") >= upto), "key").filter(pair))
     return found.select(F.least("pdoc", "qdoc").alias("a"), F.greatest("pdoc", "qdoc").alias("b")).distinct()
@@ -338,18 +371,18 @@ def _near_duplicates(docs: DataFrame, percent: int, scratch: Scratch) -> DataFra
 
     crowded = scratch.cut(bands(reps, percent).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "op5-crowded")
     met = scratch.cut(bands(reps, percent).join(crowded, "key"), "op5-met", crowded)  # only buckets where classes meet
-    placed, links, turn, before = met.withColumn("c", F.col("doc")), None, 0, None
+    placed, whole, turn, before = met.withColumn("c", F.col("doc")), None, 0, None
     n_classes = reps.count()
     while True:
         pairs = stars(placed, turn, percent, scratch)
         new = verified(pairs, reps, docs, percent, scratch)
         scratch.drop(id(pairs))
-        if links is None:
-            links = new
+        if whole is None:
+            whole = components(new, scratch)
         else:
-            links = scratch.cut(links.unionByName(new), "op5-all-links", links)
-            scratch.drop(id(new), id(whole), id(placed))
-        whole = components(links, scratch)
+            scratch.drop(id(placed))
+            whole = joined_up(whole, new, scratch)
+        scratch.drop(id(new))
         placed = _still_open(met, whole, scratch)
         rest = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("main")).alias("m")).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
         turn += 1
@@ -357,24 +390,22 @@ def _near_duplicates(docs: DataFrame, percent: int, scratch: Scratch) -> DataFra
             break
         before = rest
     scratch.drop(id(met))
-    placed = placed.withColumn("e", F.col("n"))
+    left, sets = _unlike(placed).withColumn("e", F.col("n")), None
     if rest > PAIRS_PER_CLASS * n_classes:
         # Many pairs are left: documents with too many shingles of their own can't link with any.
         sets = scratch.cut(sets_of(docs, reps, placed.select("doc").distinct()), "op5-sets")
-        alone = scratch.cut(shared_sizes(sets), "op5-alone", sets)
-        placed = scratch.cut(placed.join(alone, "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e", percent)).drop("u"), "op5-placed")
+        left = left.join(shared_sizes(sets), "doc", "left").withColumn("e", F.col("n") - F.coalesce("u", F.lit(0))).filter(known_allow("n", "e", "e", "e", percent)).drop("u")
     # Where many pairs are left, they come in slices, so that a class that finds its component early is spared the others.
     slices, done = slices_for(rest, n_classes), 0
+    own = _by_class(left, reps, slices, scratch)
     while True:
         upto = min(slices, max(1, WIDER * done))
-        more = verified(_across(placed, percent, slices, done, upto, reps, scratch), reps, docs, percent, scratch)
+        more = verified(_across(own, whole, percent, slices, done, upto, scratch), reps, docs, percent, scratch, sets)
         if not more.isEmpty():
-            links = scratch.cut(links.unionByName(more), "op5-all-links", links)
-            whole = components(links, scratch)
+            whole = joined_up(whole, more, scratch)
         done = upto
         if done == slices:
             break
-        placed = _still_open(placed.drop("c", "main"), whole, scratch)
     named = reps.join(whole.withColumnRenamed("v", "doc"), "doc", "left").select("digest", "doc_id", F.coalesce("component", "doc").alias("component"))
     # Every class knows its smallest document, so a component does.
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -7,8 +7,10 @@ import numpy as np
 import pandas as pd
 import zstandard
 
-from strandlake.llm import packing, quality, substrings
-from strandlake.llm.common import tasks_for
+from pyspark.sql import functions as F
+
+from strandlake.llm import minhash, packing, quality, substrings
+from strandlake.llm.common import Scratch, tasks_for
 from strandlake.llm.packing import pack
 
 
@@ -88,3 +90,32 @@ def test_an_id_is_learnt_from_once(spark):
     got = quality.labelled_sample(docs, labels, "quality").collect()
     assert sorted((r["doc_id"], r["y"]) for r in got) == [(a, 0), (a, 1), (b, 1), (c, 1)]
     assert len({r["text"] for r in got if r["doc_id"] == a}) == 1
+
+
+def test_a_class_joins_what_is_known_of_it_once_however_many_buckets_it_is_in(spark):
+    """Classes of many buckets: rows by class, buckets with equal classes once, and still every pair of different components in one slice."""
+    r, n = random.Random(3), 40
+    held = {k: sorted(r.sample(range(n), 12)) for k in range(20)} | {100 + k: [1, 2, 3] for k in range(10)}
+    component = {d: d // 3 * 3 for d in range(0, n, 2)}
+    component |= {c: c for c in component.values()}
+    placed = spark.createDataFrame([(k, d, 50, 50) for k, ds in held.items() for d in ds], "key long, doc long, n long, e long")
+    reps = spark.range(n).select(F.col("id").alias("doc"), F.array(*[F.lit(1)] * 50).alias("cells"))
+    whole = spark.createDataFrame(list(component.items()), "v long, component long")
+    with Scratch(spark) as scratch:
+        left = minhash._unlike(placed)
+        assert left.select("key").distinct().count() == 21
+        own = minhash._by_class(left, reps, 4, scratch)
+        assert own.count() == placed.select("doc").distinct().count()
+        got = [tuple(x) for done, upto in ((0, 1), (1, 3), (3, 4)) for x in minhash._across(own, whole, 85, 4, done, upto, scratch).collect()]
+    want = {(a, b) for ds in held.values() for a in ds for b in ds if a < b and component.get(a, a) != component.get(b, b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_components_are_joined_by_further_links_alone(spark):
+    """As if they had been found from all links at once."""
+    r = random.Random(4)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)]
+    rows = lambda x: spark.createDataFrame(x, "a long, b long")
+    with Scratch(spark) as scratch:
+        labels = minhash.joined_up(minhash.components(rows(edges[:40]), scratch), rows(edges[40:]), scratch)
+        assert sorted(labels.collect()) == sorted(minhash.components(rows(edges), scratch).collect())
