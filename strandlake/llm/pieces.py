@@ -1,27 +1,27 @@
-"""SentencePiece encoding and decoding with a relational lattice.
+"""SentencePiece encoding and decoding with a lattice of pieces.
 
 A text is cut where no piece of the model can reach across: before a run of
 word marks, between letters and other characters, and, in units longer than
 ``LONG``, between any two characters that no piece has side by side, so that a
-line of a script without spaces does not become one row. Each distinct unit is
-encoded once: its substrings up to the longest piece are exploded and joined to
-the piece table (which is as large as the model, so it is broadcast), the edges
-are grouped by unit, and a higher-order aggregate folds them into the path.
+line of a script without spaces does not become one row. A task encodes each
+unit once as it first meets it, and remembers words up to a bound: the edges of its
+lattice (start, end, piece) come from the pieces that begin at each character, and are
+folded into the path as they come. Documents are put together
+from their words, so that no text and no unit travels: most words of a
+collection are rare, and a dictionary of all of them, shuffled to the documents that
+hold them, was larger than the texts.
 
 The fold is a Viterbi pass whose transitions are allowed or not, as the models
 at hand are of the merging kind: a path is the encoding exactly if each pair of
 neighbours is, and a pair is unless some piece across their border would have
 been merged before either side had used up the part that it needs. The ranks at
 which the parts along a piece's left and right edge are used up (its spines)
-come with the piece table. Every prefix has one such path, so one edge is kept
-per position.
+tell that. Every prefix has one such path, so one edge is kept per position.
 
-Documents are then encoded by looking their units up: the most frequent
-``HOT`` units are broadcast, the others reach their documents by a join.
 Characters without a piece become bytes.
 
 A unit that cannot be cut, such as a run of Latin letters, is one row whatever
-its length: its edges, sixteen for a letter at most, have to fit into memory.
+its length; one edge is kept for each of its characters.
 
 Defined results: null and empty text has no ids; null doc_id and repeated rows
 get a row each; an empty table gives no rows; other columns are ignored.
@@ -30,37 +30,30 @@ get a row each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import cut, table
-from strandlake.llm.quality_rules import bound
+from strandlake.llm.common import table
 
 MARK = "▁"
-#: Units that are broadcast at most (tens of MB).
-HOT = 150_000
-#: Words that a task remembers, rows it hands on at once.
-WORDS, ROWS = 50_000, 500
+#: Units and words that a task remembers, documents that it hands on at once.
+UNITS, WORDS, ROWS = 500_000, 200_000, 500
+#: Pairs of neighbours whose verdict a task remembers.
+PAIRS = 400_000
 #: A rank beyond all ranks: never used up.
 NEVER = 2**31 - 1
 #: Characters of a unit beyond which it is cut wherever no piece reaches across.
 LONG = 24
-#: Letters of a piece at most, and edges before and after an edge that can reach across its border then.
-LONGEST = 16
-AROUND = LONGEST * LONGEST
-
-SPINE = "array<struct<o:int,d:int>>"
-PIECES = f"piece string, id int, rank int, rs {SPINE}, ls {SPINE}"
+#: Edges of characters without a piece have the character's number from here on.
+OTHERS = 1 << 20
 
 
 class Model:
@@ -80,8 +73,9 @@ class Model:
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         self.rank = {self.names[i]: order[sp.get_score(i)] for i in plain}
         self.longest = max(map(len, self.ids))
-        if self.longest > LONGEST:
-            raise ValueError(f"a piece has more than {LONGEST} characters, so that AROUND is too small")
+        #: Pieces that merges make, with their ranks; with their ids, and None for what they begin with.
+        self.made = {p: r for p, r in self.rank.items() if self.tree(p) is not None}
+        self.begun = {p[:k]: None for p in self.made for k in range(1, len(p))} | {p: self.ids[p] for p in self.made}
         pairs = self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         letter = lambda c: unicodedata.category(c)[0] == "L"
         if any(b == MARK and a != MARK for a, b in pairs):
@@ -109,19 +103,20 @@ class Model:
             nodes[k : k + 2] = [(nodes[k][0] + nodes[k + 1][0], nodes[k], nodes[k + 1])]
         return nodes[0]
 
-    def rows(self) -> Iterator[tuple]:
-        for piece, i in self.ids.items():
-            if (top := self.tree(piece)) is None:
-                continue
-            spines = []
-            for side in (2, 1):
-                node, used, spine = top, NEVER, []
-                while node is not None:
-                    spine.append((len(piece) - len(node[0]) if side == 2 else len(node[0]), used))
-                    used, node = self.rank.get(node[0], NEVER), node[side]
-                spines.append(spine)
-            yield piece, i, self.rank[piece], *spines
-
+    def spines(self, piece: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]] | None:
+        """The parts along the right and the left edge of a piece, each with the rank at which it is used up; None if merges don't make the piece."""
+        if piece not in self.ids:
+            return ([(piece, NEVER)],) * 2
+        if (top := self.tree(piece)) is None:
+            return None
+        found = []
+        for side in (2, 1):
+            node, used, spine = top, NEVER, []
+            while node is not None:
+                spine.append((node[0], used))
+                used, node = self.rank.get(node[0], NEVER), node[side]
+            found.append(spine)
+        return found[0], found[1]
 
     def raw(self) -> list[bytes]:
         """The UTF-8 that each id stands for, marks included."""
@@ -134,154 +129,119 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _path(edges: Column, n: Column) -> Column:
-    """The edges (id, s, e) of the encoding of a unit of n characters. edges: by end, longest first."""
-
-    def across(b: Column, a: Column, k: Column, every: Column) -> Column:
-        def early(c: Column) -> Column:
-            left = F.exists(a["rs"], lambda x: (a["s"] + x["o"] == c["s"]) & (c["rank"] < x["d"]))
-            right = F.exists(b["ls"], lambda y: (b["s"] + y["o"] == c["e"]) & (c["rank"] <= y["d"]))
-            return (c["s"] < b["s"]) & (c["e"] > b["s"]) & (c["s"] >= a["s"]) & (c["e"] <= b["e"]) & left & right
-
-        return F.exists(F.slice(every, F.greatest(F.lit(1), k + 1 - AROUND), F.lit(2 * AROUND)), early)
-
-    def fold(every: Column) -> Column:
-        start = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("at"))
-
-        def step(acc: Column, b: Column) -> Column:
-            before = F.get(every, F.get(acc["at"], b["s"] - 1))
-            fits = (F.size(acc["at"]) < b["e"]) & ((b["s"] == 0) | ~across(b, before, acc["k"], every))
-            return F.struct((acc["k"] + 1).alias("k"), F.when(fits, F.concat(acc["at"], F.array(acc["k"]))).otherwise(acc["at"]).alias("at"))
-
-        return F.aggregate(every, start, step, lambda acc: acc["at"])
-
-    def back(every: Column, at: Column) -> Column:
-        start = F.struct(n.alias("pos"), F.array().cast("array<struct<id:int,s:int,e:int>>").alias("out"))
-
-        def step(acc: Column, _: Column) -> Column:
-            x = F.get(every, F.get(at, acc["pos"] - 1))
-            more = F.concat(F.array(F.struct(x["id"].alias("id"), x["s"].alias("s"), x["e"].alias("e"))), acc["out"])
-            return F.struct(F.when(acc["pos"] > 0, x["s"]).otherwise(0).alias("pos"), F.when(acc["pos"] > 0, more).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["out"])
-
-    return bound(edges, lambda every: bound(fold(every), lambda at: back(every, at)))
-
-
-def dictionary(units: DataFrame, path: str) -> DataFrame:
-    """unit, n, ids for each row of units (unit, distinct, and n, any number)."""
-    spark, model = units.sparkSession, load(path)
-    pieces = spark.createDataFrame(list(model.rows()), PIECES)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # From here to the grouping by unit nothing is shuffled.
-    spots = units.repartition(parts, "unit").select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    cells = spots.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("s")))).alias("l"))
-    edges = cells.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
-    alone = lambda o: F.array(F.struct(F.lit(o).alias("o"), F.lit(NEVER).alias("d")))
-    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("rs", alone(0)).alias("rs"), F.coalesce("ls", alone(1)).alias("ls"))
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    found = grouped.select("unit", "n", _path(F.col("edges"), F.length("unit")).alias("path"))
-    as_byte = F.array(*(F.lit(model.bytes[b]) for b in range(256)))
-
-    def ids(x: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(F.col("unit"), x["s"] + 1, F.lit(1)), "UTF-8"))
-        own = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(as_byte, F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(own)
-
-    return found.select("unit", "n", F.flatten(F.transform("path", ids)).alias("ids"))
+class Transitions(dict):
+    """Whether one edge may follow another, by their ids; remembers pairs up to a bound, then starts anew."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.sides = model, {}
+
+    def side(self, i: int) -> tuple:
+        if (found := self.sides.get(i)) is None:
+            found = self.sides[i] = self.model.spines(chr(i - OTHERS) if i >= OTHERS else self.model.names[i])
+        return found
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        found = self[pair] = self.fits(self.side(pair[0])[0], self.side(pair[1])[1])
+        return found
+
+    def fits(self, right: list[tuple[str, int]], left: list[tuple[str, int]]) -> bool:
+        ranks = self.model.made
+        for a, x in right:
+            for b, y in left:
+                if (r := ranks.get(a + b, NEVER)) < x and r <= y and r != NEVER:
+                    return False
+        return True
+
+
+def folded(unit: str, begun: dict[str, int | None], allowed: Transitions) -> list[int]:
+    """The ids along the path through the lattice of a unit, whose edges (start, end, id) are every character and every piece.
+
+    Edges come by start: of those that end at one place the longest whose transition is allowed counts, and it comes first.
+    """
+    n = len(unit)
+    last, begin = [-1] * (n + 1), [0] * (n + 1)
+    for s in range(n):
+        before = last[s]
+        for e in range(s + 1, n + 1):
+            piece = unit[s:e]
+            if (i := begun.get(piece, -1)) == -1 and e > s + 1:
+                break
+            if last[e] < 0:
+                if i is None or i < 0:
+                    if e > s + 1:
+                        continue
+                    i = OTHERS + ord(piece)
+                if not s or allowed[before, i]:
+                    last[e], begin[e] = i, s
+    out = []
+    while n:
+        out.append(last[n])
+        n = begin[n]
+    return out[::-1]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, round_trip (whether decoding gives the text again) for every row of docs."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    model = load(path)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pattern = regex.compile(model.unit)
-
-    def units_of(word: str) -> list[str]:
-        found = pattern.findall(word)
-        return found if len(word) <= LONG else [part for u in found for part in model.parts(u)]
+    if (tasks := docs.sparkSession.sparkContext.defaultParallelism) > own.rdd.getNumPartitions():
+        own = own.repartition(tasks)
 
-    def words(text: object) -> list[str]:
-        """A text's words with the marks before them; units never reach across."""
-        if not isinstance(text, str) or not text:
+    def words(text: str | None) -> list[str]:
+        """A text's words, each with the marks before it but the first one; units never reach across."""
+        if not text:
             return []
-        found = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
+        found = text.replace(MARK, " ").split(" ")
         if "" not in found:
-            return [MARK + w for w in found]
-        out, marks = [], 0
+            return found
+        out, marks = [], -1
         for w in found:
             marks += 1
             if w:
                 out.append(MARK * marks + w)
-                marks = 0
-        return out + [MARK * marks] * (marks > 0)
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-
-        def units() -> pd.DataFrame:
-            n: Counter[str] = Counter()
-            for w, k in seen.items():
-                for u in units_of(w):
-                    n[u] += k
-            seen.clear()
-            return pd.DataFrame({"unit": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
-
-        for pdf in batches:
-            seen.update(chain.from_iterable(map(words, pdf["text"].array)))
-            if len(seen) > 4 * WORDS:
-                yield units()
-        yield units()
-
-    units = cut(own.select("text").mapInPandas(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "op6-units")
-    known = cut(dictionary(units, path), "op6-dictionary")
-    hot = {r["unit"]: array("i", r["ids"]) for r in known.orderBy(F.desc("n"), "unit").limit(HOT).select("unit", "ids").toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known_words: dict[str, list[str]] = {}
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
-                found = set()
-                for w in set(words(text)):
-                    if (out := known_words.get(w)) is None:
-                        if len(known_words) > WORDS:
-                            known_words.clear()
-                        out = known_words[w] = [u for u in units_of(w) if u not in shared.value]
-                    found.update(out)
-                rows += [(doc_id, u) for u in found]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit"], dtype=object).astype({"doc_id": "Int64"})
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known_words: dict[str, array] = {}
-        raw = model.raw()
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROWS):
-                part, out, same = pdf.iloc[lo : lo + ROWS], [], []
-                for text, more in zip(part["text"].array, part["more"], strict=True):
-                    extra = {x["unit"]: x["ids"] for x in more} if more is not None else {}
-                    ids = array("i")
-                    for w in words(text):
-                        own = known_words.get(w)
-                        if own is None:
-                            own, whole = array("i"), True
-                            for u in units_of(w):
-                                whole = whole and u in shared.value
-                                own.extend(shared.value[u] if u in shared.value else extra[u])
-                            if whole:  # of hot units only, so the same in every document
-                                if len(known_words) > WORDS:
-                                    known_words.clear()
-                                known_words[w] = own
-                        ids.extend(own)
-                    out.append(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32))
-                    same.append(decoded(ids, raw) == (text.replace(MARK, " ") if isinstance(text, str) else ""))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": pd.Series(out, index=part.index, dtype=object), "round_trip": pd.Series(same, index=part.index, dtype=bool)})
-
-    others = own.mapInPandas(rare, "doc_id long, unit string").join(known.select("unit", "ids"), "unit")
-    fills = cut(others.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "ids")).alias("more")), "op6-rare").withColumnRenamed("doc_id", "_id")
-    return own.join(fills, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "more").mapInPandas(look_up, "doc_id long, ids array<int>, round_trip boolean")
+                marks = -1
+        return out + [MARK * marks] * (marks >= 0)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        pattern, allowed, raw = regex.compile(model.unit), Transitions(model), model.raw()
+
+        class Units(dict):
+            """The ids of a unit, as bytes."""
+
+            def __missing__(self, unit: str) -> bytes:
+                ids = folded(unit, model.begun, allowed)
+                if max(ids) >= OTHERS:
+                    ids = [j for i in ids for j in ((model.bytes[b] for b in chr(i - OTHERS).encode()) if i >= OTHERS else (i,))]
+                if len(self) >= UNITS:
+                    self.clear()
+                found = self[unit] = np.array(ids, np.int32).tobytes()
+                return found
+
+        class Words(dict):
+            """The ids of a word, as bytes."""
+
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= WORDS:
+                    self.clear()
+                found = self[word] = b"".join([units[x] for u in pattern.findall(MARK + word) for x in model.parts(u)])
+                return found
+
+        units, known = Units(), Words()
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                texts = part.column(1).to_pylist()
+                ids = [np.frombuffer(b"".join(map(known.__getitem__, words(t))), np.int32) for t in texts]
+                same = [decoded(x.tolist(), raw) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+
+    return own.mapInArrow(look_up, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decoded(ids: object, raw: list[bytes]) -> str:
